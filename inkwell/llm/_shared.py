@@ -35,22 +35,24 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def split_hot(counted: DataFrame, total: int, n_col: str = "n", parts: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """Split one row per key with its row count into (hot, cold).
+def join_skewed(rows: DataFrame, counted: DataFrame, key: str, total: int, spread: str, parts: int = 10_000, salts: int = 64, how: str = "inner") -> DataFrame:
+    """Join many rows with one row per key, where a key may hold a large part of all `total` rows.
 
-    Hot keys hold at least 1/parts of all rows, so there are at most `parts` of them whatever the input: that bounds
-    what is broadcast. No cold key has enough rows to slow a shuffled join.
+    counted has the key, its number of rows as n, and what the join is to add (n is dropped). Keys with at least
+    1/parts of all rows are hot; there are at most `parts` of them at any size, so their keys alone can be broadcast to
+    mark rows. Hot rows are dealt over `salts` copies of the key's row, by a hash of the column `spread`.
     """
     least = max(2, -(-total // parts))
-    return counted.where(F.col(n_col) >= least), counted.where(F.col(n_col) < least)
+    hot = counted.where(F.col("n") >= least).select(key, F.lit(True).alias("hot_"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    marked = marked.withColumn("salt_", F.when(F.col("hot_"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop("hot_")
+    copies = F.when(F.col("n") >= least, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return marked.join(counted.withColumn("salt_", F.explode(copies)).drop("n"), [key, "salt_"], how).drop("salt_")
 
 
-def join_skewed(rows: DataFrame, counted: DataFrame, key: str, total: int, n_col: str = "n") -> DataFrame:
-    """Inner join of many rows with one row per key, where some keys may hold a large part of all rows."""
-    hot, cold = split_hot(counted, total, n_col)
-    by_hot = rows.join(F.broadcast(hot), key)
-    by_cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
-    return by_hot.unionByName(by_cold)
+def keep_rows(rows: DataFrame, keys: DataFrame, key: str, how: str = "left_semi", most: int = 2_000_000) -> DataFrame:
+    """Semi or anti join on one long column. keys is broadcast only if it has at most `most` rows, else shuffled."""
+    return rows.join(F.broadcast(keys) if keys.count() <= most else keys, key, how)
 
 
 # --- vectorised word hashing inside tasks -------------------------------------------------------------------------
