@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
+from .line_dedup import LINE_TAGS, NOT_TEXT, line_dedup
+from .mixing import mix
+from .secrets import scan_secrets
 from .substring_dedup import substring_dedup
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,6 +28,56 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "pages"))
+
+
+OP7_SQL = f"""
+WITH t AS (
+  SELECT page_id, coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS host,
+         regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{NOT_TEXT}', '', 'g'), '{LINE_TAGS}', chr(10), 'g'), '<[^>]*>', '', 'g') AS body
+  FROM pages),
+l AS (SELECT page_id, host, list_filter(list_transform(string_split_regex(body, '[\\r\\n]+'), lambda x: trim(x)), lambda x: x <> '') AS lines FROM t),
+n AS (SELECT host, count(*) AS total FROM l GROUP BY host),
+c AS (SELECT host, line, count(*) AS seen FROM (SELECT page_id, host, unnest(list_distinct(lines)) AS line FROM l) GROUP BY host, line),
+b AS (SELECT host, list(line) AS boiler FROM c JOIN n USING (host) WHERE seen >= 3 AND seen > 0.3 * total GROUP BY host),
+k AS (SELECT page_id, host, len(lines) AS n_lines, list_filter(lines, lambda x: NOT list_contains(coalesce(boiler, []), x)) AS kept FROM l LEFT JOIN b USING (host))
+SELECT page_id, host, n_lines, n_lines - len(kept) AS n_dropped, array_to_string(kept, chr(10)) AS text FROM k
+"""
+
+#: Parts of the sources of documents; sources that are not named have one.
+MIX_PARTS = {"src0": 4, "src1": 2}
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), MIX_PARTS)
+
+
+OP8_SQL = f"""
+WITH RECURSIVE s AS (SELECT DISTINCT coalesce(source, '') AS source FROM documents),
+p AS (SELECT source, CASE source {' '.join(f"WHEN '{k}' THEN {v}" for k, v in MIX_PARTS.items())} ELSE 1 END AS part FROM s),
+q AS (SELECT sum(part)::BIGINT AS parts, greatest(1000, 4 * sum(part))::BIGINT AS q FROM p),
+f AS (SELECT source, part * q // parts AS least, part * q % parts AS rest, q FROM p, q),
+w AS (SELECT source, q, least + CASE WHEN row_number() OVER (ORDER BY rest DESC, source) <= q - sum(least) OVER () THEN 1 ELSE 0 END AS w,
+             row_number() OVER (ORDER BY source) AS i FROM f),
+a AS (SELECT list(w ORDER BY i) AS ws, max(q) AS q FROM w),
+edf(t, js, pick, picked_j) AS (
+  SELECT -1::BIGINT, list_transform(ws, lambda x: 0::BIGINT), 0::BIGINT, 0::BIGINT FROM a
+  UNION ALL
+  SELECT t, list_transform(js, lambda j, i: CASE WHEN i = pick THEN j + 1 ELSE j END), pick, js[pick] FROM (
+    SELECT e.t + 1 AS t, e.js, list_min(list_filter(list_transform(e.js, lambda j, i: CASE WHEN j < a.ws[i] AND j * a.q // a.ws[i] <= e.t + 1 THEN ((j + 1) * a.q + a.ws[i] - 1) // a.ws[i] * 1000000 + i END), lambda x: x IS NOT NULL)) % 1000000 AS pick
+    FROM edf e, a WHERE e.t + 1 < a.q)),
+d AS (SELECT doc_id, coalesce(source, '') AS source, greatest(coalesce(length(text), 1), 1) AS size FROM documents),
+b AS (SELECT doc_id, source, coalesce(sum(size) OVER (PARTITION BY source ORDER BY doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d)
+SELECT doc_id, b.source, start, start // 65536 AS block, start // 65536 // w.w * w.q + edf.t AS slot
+FROM b JOIN w USING (source) JOIN edf ON edf.pick = w.i AND edf.t >= 0 AND edf.picked_j = start // 65536 % w.w
+"""
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -41,9 +94,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op5_secret_scans": op5_secret_scans,
+        "op7_line_dedup": op7_line_dedup,
+        "op8_mix_sources": op8_mix_sources,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op7_line_dedup": OP7_SQL, "op8_mix_sources": OP8_SQL, "op10_exact_dedup": OP10_SQL}
