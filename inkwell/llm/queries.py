@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .line_dedup import LINE_TAGS, NOT_TEXT, line_dedup
 from .mixing import mix
 from .secrets import scan_secrets
 from .substring_dedup import substring_dedup
+from .token_output import token_output
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -24,6 +26,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -32,6 +38,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "pages"))
 
@@ -93,8 +103,10 @@ FROM n WINDOW w AS (PARTITION BY norm)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_secret_scans": op5_secret_scans,
+        "op6_token_output": op6_token_output,
         "op7_line_dedup": op7_line_dedup,
         "op8_mix_sources": op8_mix_sources,
         "op10_exact_dedup": op10_exact_dedup,
