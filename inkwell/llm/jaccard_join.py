@@ -208,8 +208,8 @@ def _links_within(reps: DataFrame, groups: DataFrame, width: int, bounds: Bounds
     diff = staged(diff.withColumn("near", links("nd", "size + base_size")), "differences")
     direct = diff.where("near and node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
-    far = diff.where("not near").select("component").distinct()
-    tokens = diff.join(far, "component", "left_semi").select("component", "node", "size", "nd", "near", F.explode("diff").alias("token"))
+    far = diff.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.bool_and("near").alias("all_near")).where("not all_near").drop("all_near")
+    tokens = join_skewed(diff, far, "component", diff.count(), "node").select("component", "node", "size", "nd", "near", F.explode("diff").alias("token"))
     tokens = staged(tokens.select("node", "size", "nd", "near", "token", F.xxhash64("component", "token").alias("key")), "difference-tokens")
     counts = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("df", F.col("n"))
     shared = join_skewed(tokens, counts, "key", tokens.count(), "node")

@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .line_dedup import LINE_TAGS, NOT_TEXT, line_dedup
 from .mixing import mix
+from .quality import quality
 from .secrets import scan_secrets
 from .substring_dedup import substring_dedup
 from .token_output import token_output
@@ -26,6 +27,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -103,6 +108,7 @@ FROM n WINDOW w AS (PARTITION BY norm)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_quality_classifier": op2_quality_classifier,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_secret_scans": op5_secret_scans,
