@@ -10,6 +10,7 @@ from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .line_dedup import LINE_TAGS, NOT_TEXT, line_dedup
+from .lm_scoring import lm_scores
 from .mixing import mix
 from .quality import quality
 from .secrets import scan_secrets
@@ -93,6 +94,10 @@ FROM b JOIN w USING (source) JOIN edf ON edf.pick = w.i AND edf.t >= 0 AND edf.p
 """
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -115,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_output": op6_token_output,
         "op7_line_dedup": op7_line_dedup,
         "op8_mix_sources": op8_mix_sources,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
