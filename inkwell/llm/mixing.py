@@ -55,8 +55,9 @@ def period_schedule(slots: DataFrame) -> DataFrame:
     return folded.selectExpr("q", "posexplode(picks) as (slot, pick)").selectExpr("pick.source as source", "pick.w as w", "q", "pick.j as j", "cast(slot as bigint) as slot")
 
 
-def mix(docs: DataFrame, parts: dict[str, int] | None = None, block_chars: int = 65_536, period: int = 1000, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, source, start (characters of its source before it), block, slot.
+def mix(docs: DataFrame, parts: dict[str, int] | None = None, block_chars: int = 65_536, period: int = 1000, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, source, start (characters of its source before it), block, slot; with `carry`
+    also row, a struct of all its columns.
 
     Read in the order (slot, start, doc_id) the sources have their target shares of blocks for as long as all last.
 
@@ -64,7 +65,8 @@ def mix(docs: DataFrame, parts: dict[str, int] | None = None, block_chars: int =
     first in its source; rows that repeat an id follow each other by length; an empty table gives an empty result;
     other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.greatest(F.coalesce(F.char_length(text_col), F.lit(1)), F.lit(1)).cast("long").alias("size"))
+    carried = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
+    rows = docs.select(*carried, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.greatest(F.coalesce(F.char_length(text_col), F.lit(1)), F.lit(1)).cast("long").alias("size"))
     rows = rows.withColumn("bucket", F.coalesce(F.floor(F.col("doc_id") / BUCKET_IDS), F.lit(-(1 << 55)))).withColumn("chunk", F.floor(F.col("bucket") / (CHUNK_IDS // BUCKET_IDS)))
     buckets = rows.groupBy("source", "chunk", "bucket").agg(F.sum("size").alias("held"))
     chunks = buckets.groupBy("source", "chunk").agg(F.sum("held").alias("held"))
@@ -74,9 +76,9 @@ def mix(docs: DataFrame, parts: dict[str, int] | None = None, block_chars: int =
     starts = buckets.join(chunks, ["source", "chunk"]).select("source", "bucket", (F.col("chunk_start") + F.col("bucket_start")).alias("base"))
     inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(starts, ["source", "bucket"]).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.select("doc_id", "source", "start", F.expr(f"start div {block_chars}").alias("block"))
+    placed = placed.select(*["row"] * carry, "doc_id", "source", "start", F.expr(f"start div {block_chars}").alias("block"))
 
     schedule = period_schedule(target_slots(rows.select("source").distinct(), parts or {}, period))
     turns = schedule.groupBy("source", "w", "q").agg(F.map_from_entries(F.collect_list(F.struct("j", "slot"))).alias("slot_of"))
     out = placed.join(F.broadcast(turns), "source")  # as many entries as a period has slots
-    return out.select("doc_id", "source", "start", "block", F.expr("block div w * q + slot_of[block % w]").alias("slot"))
+    return out.select(*["row"] * carry, "doc_id", "source", "start", "block", F.expr("block div w * q + slot_of[block % w]").alias("slot"))
