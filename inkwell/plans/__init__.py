@@ -1 +1 @@
-"""Plans of the engine."""
+"""Queries over the driver's tables, one or more per operator."""
