@@ -66,6 +66,18 @@ def sentence_spans(docs: DataFrame, min_sentences: int, min_words: int) -> DataF
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(spans, "doc_id long, first int, last int, h long")
 
 
+def uncovered(text: str | None, runs: list | None) -> tuple[int, int, str | None]:
+    """(sentences, sentences removed, text left) once the covered runs of sentences are gone."""
+    if not text:
+        return 0, 0, text
+    if runs is None or not len(runs):
+        return (len(_CUT.split(text)) + 1) // 2, 0, text
+    parts = _CUT.split(text)
+    drop = {i for r in runs for i in range(r["first"], r["last"] + 1)}
+    left = "".join(s + sep for i, (s, sep) in enumerate(zip(parts[::2], [*parts[1::2], ""], strict=True)) if i not in drop)
+    return (len(parts) + 1) // 2, len(drop), left.rstrip()
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 20) -> DataFrame:
     """One row per row of docs: doc_id, n_sentences, n_removed, text (what is left of it)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -78,17 +90,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for t, runs in zip(batch["text"], batch["covered"], strict=True):
-                parts = _CUT.split(t or "")
-                drop = {i for r in (() if runs is None else runs) for i in range(r["first"], r["last"] + 1)}
-                n = 0 if not t else (len(parts) + 1) // 2
-                if drop:
-                    t = "".join(s + sep for i, (s, sep) in enumerate(zip(parts[::2], [*parts[1::2], ""], strict=True)) if i not in drop).rstrip()
-                out.append((n, len(drop), t))
-            done = pd.DataFrame(out, columns=["n_sentences", "n_removed", "text"])
-            done.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield done
+            texts, covered = batch["text"].tolist(), batch["covered"].tolist()
+            for a, b in chunked([t or "" for t in texts], 2_000_000):
+                out = [(*uncovered(t, runs),) for t, runs in zip(texts[a:b], covered[a:b], strict=True)]
+                done = pd.DataFrame(out, columns=["n_sentences", "n_removed", "text"])
+                done.insert(0, "doc_id", batch["doc_id"].to_numpy()[a:b])
+                yield done
 
     kept = docs.join(covered, docs["doc_id"].eqNullSafe(covered["of"]), "left").drop("of")
     return kept.mapInPandas(rebuild, "doc_id long, n_sentences int, n_removed int, text string")
