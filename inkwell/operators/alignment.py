@@ -144,13 +144,14 @@ def _salvage(raw: str) -> str | None:
     s = _THINK.sub("", raw or "")
     if m := _FENCE.search(s):
         s = m[1]
-    for opening in "{[":
-        if (i := s.find(opening)) >= 0:
-            try:
-                return json.dumps(json.JSONDecoder(strict=False).raw_decode(s[i:])[0], ensure_ascii=False)
-            except ValueError:
-                pass
-    if (i := s.find("[")) < 0:
+    begins = [i for c in "{[" if (i := s.find(c)) >= 0]
+    if not begins:
+        return None
+    try:
+        return json.dumps(json.JSONDecoder(strict=False).raw_decode(s[min(begins) :])[0], ensure_ascii=False)
+    except ValueError:
+        i = s.find("[")
+    if i < 0:
         return None
     items, at, decoder = [], i + 1, json.JSONDecoder(strict=False)
     while at < len(s):
