@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -57,6 +60,37 @@ def keep_rows(rows: DataFrame, keys: DataFrame, key: str, how: str = "left_semi"
     return rows.join(F.broadcast(keys) if keys.count() <= most else keys, key, how)
 
 
+def tidy(task: Callable) -> Callable:
+    """For functions that run on partitions or groups: give freed memory back to the system once done. Python workers
+    live on between tasks, and what they hold on to counts against their executor."""
+
+    def give_back() -> None:
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    @functools.wraps(task)
+    def partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from task(batches)
+        give_back()
+
+    @functools.wraps(task)
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        out = task(rows)
+        give_back()
+        return out
+
+    @functools.wraps(task)
+    def cogroup(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = task(left, right)
+        give_back()
+        return out
+
+    if "batches" in task.__annotations__:
+        return partition
+    return group if task.__code__.co_argcount == 1 else cogroup
+
+
 # --- vectorised word hashing inside tasks -------------------------------------------------------------------------
 
 _LOWER_TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

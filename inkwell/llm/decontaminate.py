@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import chain, chunked, word_hashes
+from ._shared import chain, chunked, tidy, word_hashes
 
 ENTRY_WORDS, BLOCK_ENTRIES, SHARD_ITEMS = 64, 8, 20_000
 K1, B = 1.2, 0.75
@@ -186,6 +186,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
 def _search_shard(rows: DataFrame, items: list[tuple[int, str]], schema: str, threshold: float, overlap: float, width: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast((Index(items), Verifier(items, width), [i for i, _ in items]))
 
+    @tidy
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, verifier, item_ids = shared.value
         for batch in batches:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import chain, chunked, join_skewed, keep_rows, mix64, staged, word_hashes
+from ._shared import chain, chunked, join_skewed, keep_rows, mix64, staged, tidy, word_hashes
 from .components import components
 
 #: Cost of one key of a large set against one enumerated subset: it also leads to classes that don't link.
@@ -137,6 +137,7 @@ def set_keys(tokens: np.ndarray, boundary: int, bounds: Bounds, edges: list[int]
 def _per_set(docs: DataFrame, width: int, schema: str, make) -> DataFrame:
     """mapInPandas over docs (doc_id, text): make(ids, sets) gives the frame of a chunk."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()

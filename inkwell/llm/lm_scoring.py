@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import chain, chunked, mix64, pack_frame, staged, unpack_frame, word_hashes
+from ._shared import chain, chunked, mix64, pack_frame, staged, tidy, unpack_frame, word_hashes
 from .quality import block_key
 
 BLOCK_CHARS = 4_000_000
@@ -71,6 +71,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame
 def shard_counts(docs: DataFrame, order: int, shard_bits: int) -> DataFrame:
     """block, shard, counts: for each block and shard, the corpus-wide counts of its distinct n-grams in hash order."""
 
+    @tidy
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, _, texts in _blocks(batches):
             hashes, _, n = distinct(ngrams(texts, order)[0])
@@ -78,7 +79,8 @@ def shard_counts(docs: DataFrame, order: int, shard_bits: int) -> DataFrame:
             rows = [(s, key, _squeeze(np.diff(hashes[a:b], prepend=np.uint64(0))), _squeeze(n[a:b].astype("<u4"))) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
             yield pd.DataFrame(rows, columns=["shard", "block", "hashes", "n"])
 
-    def join(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    @tidy
+    def join(group: pd.DataFrame) -> pd.DataFrame:
         parts = [np.cumsum(_expand(h, "<u8"), dtype=np.uint64) for h in group["hashes"]]
         sizes = [len(p) for p in parts]
         table, place = np.unique(np.concatenate(parts), return_inverse=True)
@@ -102,10 +104,12 @@ def lm_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, min_count: in
     shard_bits = max(LEAST_SHARD_BITS, (chars // SHARD_CHARS).bit_length())
     schema = "doc_id long, n_words long, n_unigrams long, n_backed_off long, partial double"
 
+    @tidy
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, block, _ in _blocks(batches):
             yield pd.DataFrame({"block": [key], "docs": [pack_frame(block)]})
 
+    @tidy
     def score(answers: pd.DataFrame, packed: pd.DataFrame) -> pd.DataFrame:
         answers = answers.sort_values("shard")
         given = np.concatenate([_expand(c, "<u8") for c in answers["counts"]]) if len(answers) else np.zeros(0, "<u8")

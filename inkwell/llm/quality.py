@@ -20,10 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import chain, chunked, mix64, pack_frame, staged, unpack_frame
+from ._shared import chain, chunked, mix64, pack_frame, staged, tidy, unpack_frame
 
 ORDER = 4
-BLOCK_CHARS, CHUNK_CHARS = 32_000_000, 2_000_000
+BLOCK_CHARS, CHUNK_CHARS = 32_000_000, 500_000
 #: One in HELD_OUT trusted documents calibrates thresholds; languages with fewer than LEAST_HELD of them use all languages' threshold.
 HELD_OUT, LEAST_HELD = 5, 20
 MOST_BROADCAST = 2_000_000
@@ -61,6 +61,7 @@ def block_grams(docs: DataFrame) -> DataFrame:
     """block, lang, gram, trusted: the distinct n-grams of each block of docs (doc_id, lang, text, train) with their
     count in the documents to train on."""
 
+    @tidy
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, block in _blocks(batch):
@@ -86,6 +87,7 @@ def block_grams(docs: DataFrame) -> DataFrame:
 def block_texts(docs: DataFrame) -> DataFrame:
     """block, docs: the same blocks' documents, compressed."""
 
+    @tidy
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, block in _blocks(batch):
@@ -105,6 +107,7 @@ def model(counts: DataFrame) -> DataFrame:
     for k in range(ORDER - 1, 0, -1):
         wanted[k] = wanted[k + 1].select("lang", F.expr("substring(gram, 2)").alias("gram")).distinct()
         seen[k] = seen[k + 1].select("lang", F.expr("substring(gram, 2)").alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c"))
+        seen[k] = staged(seen[k], "continuation-counts")
     lower = None
     for k in range(1, ORDER + 1):
         n = [F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
@@ -131,10 +134,11 @@ def model(counts: DataFrame) -> DataFrame:
 def perplexities(docs: DataFrame) -> DataFrame:
     """doc_id, lang, trusted, n_grams, logp of docs (doc_id, lang, text, trusted, train)."""
     grams = staged(block_grams(docs), "block-grams")
-    probability = model(grams.groupBy("lang", "gram").agg(F.sum("trusted").alias("c")))
+    probability = model(staged(grams.groupBy("lang", "gram").agg(F.sum("trusted").alias("c")), "gram-counts"))
     answers = grams.select("block", "lang", "gram").join(probability, ["lang", "gram"]).where("logp is not null")
     schema = "doc_id long, lang string, trusted boolean, n_grams long, logp double"
 
+    @tidy
     def score(known: pd.DataFrame, packed: pd.DataFrame) -> pd.DataFrame:
         hashes = np.zeros(0, np.uint64)
         values = known["logp"].to_numpy()

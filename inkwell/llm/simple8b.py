@@ -29,8 +29,14 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begin = np.arange(0, n, BLOCK_VALUES)
     end = np.minimum(begin + BLOCK_VALUES, n)
     width = _widths(values)
-    used = [s for s in range(1, 15) if (width <= s).any()] if n else []
-    wide = {s: np.concatenate(([0], np.cumsum(width > s, dtype=np.int32))) for s in used}
+    wide, used = {}, []
+    for s in range(1, 15):
+        if n and (width <= s).any():
+            sums = np.concatenate((np.zeros(1, np.int32), np.cumsum(width > s, dtype=np.int32)))
+            k = int(COUNTS[s])
+            if n < k or s > 12 or (sums[k:] == sums[:-k]).any():  # else no word could be full
+                wide[s] = sums
+                used.append(s)
     at, made = begin.copy(), []
     active = np.arange(len(begin))
     while len(active):

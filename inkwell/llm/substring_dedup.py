@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import _BASE, _BASE_INVERSE, _powers, chunked, join_skewed, mix64, staged
+from ._shared import _BASE, _BASE_INVERSE, _powers, chunked, join_skewed, mix64, staged, tidy
 
 _CUT = re.compile(r"(\s*\n\s*|(?<=[.!?])\s+)")
 
@@ -56,10 +56,11 @@ def runs_of(texts: list[str], min_sentences: int, min_words: int) -> tuple[np.nd
 def sentence_spans(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
     """doc_id, first, last, h of every run of docs (doc_id, text)."""
 
+    @tidy
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, texts = batch["doc_id"], batch["text"].tolist()
-            for a, b in chunked(texts, 4_000_000):
+            for a, b in chunked(texts, 1_000_000):
                 of, first, last, h = runs_of(texts[a:b], min_sentences, min_words)
                 yield pd.DataFrame({"doc_id": ids.iloc[a + of].to_numpy(), "first": first, "last": last, "h": h})
 
@@ -88,10 +89,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     later = join_skewed(spans, counted, "h", total, "doc_id").where(~F.struct("doc_id", "first").eqNullSafe(F.col("keep")))
     covered = later.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set(F.struct("first", "last")).alias("covered"))
 
+    @tidy
     def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, covered = batch["text"].tolist(), batch["covered"].tolist()
-            for a, b in chunked([t or "" for t in texts], 2_000_000):
+            for a, b in chunked([t or "" for t in texts], 1_000_000):
                 out = [(*uncovered(t, runs),) for t, runs in zip(texts[a:b], covered[a:b], strict=True)]
                 done = pd.DataFrame(out, columns=["n_sentences", "n_removed", "text"])
                 done.insert(0, "doc_id", batch["doc_id"].to_numpy()[a:b])

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,84 +22,76 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from ._shared import chunked, shared_dir
+from ._shared import chunked, shared_dir, tidy
 
 END_ID = 2
-RECORD_CHARS = 2_000_000
+RECORD_CHARS = 1_000_000
 RECORDS = "part int, seq int, n_docs int, n_ids long, doc_ids binary, nulls binary, lens binary, lens_at binary, words binary, words_at binary"
 #: The letters, numbers and white space among the characters that take the short way.
 LETTERS, NUMBERS, SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \t\n\r\x0b\x0c"
-PLAIN = re.compile("[\x01-\x7f¡-ɏ‐-‧₠-₿]*")
+PLAIN = re.compile("[\x00-\x7f¡-ɏ‐-‧₠-₿]*")
 PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-CACHED_PIECES = 500_000
+CACHED_PIECES = 700_000
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: bytes that print stand for themselves, the others for letters from 256 on in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class Pieces(dict):
+    """Numbers pieces as they come, and keeps the ids that the tokenizer's model gives each."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize, self.letters = model.tokenize, byte_letters()
+        self.flat, self.ends = array("I"), array("q", [0])
+
+    def __missing__(self, piece: str) -> int:
+        self.flat.extend([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+        self.ends.append(len(self.flat))
+        n = self[piece] = len(self)
+        return n
 
 
 class Encoder:
     """Encodes texts with a byte-level BPE tokenizer file, keeping the ids of pieces seen before."""
 
     def __init__(self, tokenizer_json: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(tokenizer_json)
-        self.pieces = Tokenizer.from_str(tokenizer_json)
-        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\x00", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.cut = self.pieces.encode("\x00", add_special_tokens=False).ids
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         pre = self.whole.pre_tokenizer
-        self.short_way = len(self.cut) == 1 and self.whole.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
-        self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(sizes) - sizes))
-        self.size = np.concatenate((self.size, sizes))
-        self.flat = np.concatenate((self.flat, flat))
-
-    def _learn(self, pieces: list[str]) -> None:
-        got = []
-        for i in range(0, len(pieces), 2000):
-            got.append(np.array(self.pieces.encode_batch_fast(["\x00".join(pieces[i : i + 2000]) + "\x00"], add_special_tokens=False)[0].ids, dtype=np.uint32))
-        flat = np.concatenate(got)
-        ends = np.flatnonzero(flat == self.cut[0])
-        if len(ends) != len(pieces):
-            raise ValueError("the tokenizer joined pieces over a separator")
-        self._add(flat[flat != self.cut[0]], np.diff(ends, prepend=-1) - 1)
-        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        self.short_way = self.whole.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex
+        self.pieces = Pieces(self.whole.model)
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by end_id; the texts' lengths with it)."""
-        plain = [self.short_way and PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
-        cut = [PIECES.findall(t) if p else () for t, p in zip(texts, plain, strict=True)]
-        new: set[str] = set()
-        for c in cut:
-            new.update(c)
-        fresh = new - self.known.keys()
-        if len(self.known) + len(fresh) > CACHED_PIECES:
-            self._clear()
-            fresh = new
-        if fresh:
-            self._learn(sorted(fresh))
-        at = self.known.__getitem__
-        rows = [np.fromiter(map(at, c), np.int64, len(c)) for c in cut]
-        others = [i for i, p in enumerate(plain) if not p]
-        kept = len(self.flat), len(self.begin)
-        if others:
-            ids = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast([texts[i] for i in others], add_special_tokens=False)]
+        if len(self.pieces) > CACHED_PIECES:
+            self.pieces = Pieces(self.whole.model)
+        number, rows, others = self.pieces.__getitem__, [], []
+        for i, t in enumerate(texts):
+            if self.short_way and PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special):
+                cut = PIECES.findall(t)
+                rows.append(np.fromiter(map(number, cut), np.int64, len(cut)))
+            else:
+                others.append(i)
+                rows.append(np.zeros(1, np.int64))
+        flat, ends = np.array(self.pieces.flat, np.uint32), np.array(self.pieces.ends, np.int64)
+        if others:  # as pieces of their own, behind the others
+            ids = [e.ids for e in self.whole.encode_batch_fast([texts[i] for i in others], add_special_tokens=False)]
             for k, i in enumerate(others):
-                rows[i] = np.array([kept[1] + k])
-            self._add(np.concatenate(ids), np.array([len(x) for x in ids], np.int64))
+                rows[i][0] = len(ends) - 1 + k
+            flat = np.concatenate((flat, *(np.array(x, np.uint32) for x in ids)))
+            ends = np.concatenate((ends, ends[-1] + np.cumsum([len(x) for x in ids])))
         index = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        sizes = self.size[index]
-        ends = np.cumsum(sizes)
-        found = self.flat[np.repeat(self.begin[index] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        self.flat, self.begin, self.size = self.flat[: kept[0]], self.begin[: kept[1]], self.size[: kept[1]]
-        n_pieces = np.cumsum([len(r) for r in rows])
-        upto = np.concatenate(([0], ends))[n_pieces]
-        lens = np.diff(upto, prepend=0) + 1
+        sizes = (ends[1:] - ends[:-1])[index]
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        found = flat[np.repeat(ends[index] - upto[:-1], sizes) + np.arange(upto[-1])]
+        lens = np.diff(upto[np.cumsum([len(r) for r in rows], dtype=np.int64)], prepend=0) + 1
         out = np.empty(len(found) + len(texts), np.uint32)
         last = np.cumsum(lens) - 1
         mine = np.ones(len(out), bool)
@@ -115,6 +108,7 @@ def write_tokens(docs: DataFrame, path: str, order: list[str], tokenizer_path: s
     with open(tokenizer_path, encoding="utf-8") as f:  # on the driver: executors need not have the file
         tokenizer_json = f.read()
 
+    @tidy
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, seq = hash(tokenizer_json), 0
         encoder = _ENCODERS.setdefault(key, None) or Encoder(tokenizer_json)
@@ -150,6 +144,7 @@ def _decoded(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
     starts = seqs.join(parts, "part").select("part", "seq", (F.col("part_start") + F.col("seq_start")).alias("base"))
     schema = "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
+    @tidy
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
