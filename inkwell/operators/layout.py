@@ -142,3 +142,53 @@ def xy_cut(lines: DataFrame, page: str) -> DataFrame:
         return pd.DataFrame({page: group[page].iloc[0], "id": ids[out], "rank": np.arange(1, len(out) + 1)})
 
     return lines.groupBy(page).applyInPandas(rank, f"{page} long, id long, rank int")
+
+
+def char_boxes(lines: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, i, char, x1, y1, x2, y2: a line's box cut evenly among its characters, along its longer side."""
+    n = F.char_length(text)
+    rows = lines.where(n > 0).select(key, "x1", "y1", "x2", "y2", n.alias("n"), F.posexplode(F.filter(F.split(text, "", -1), lambda c: c != "")).alias("i", "char"))
+    tall = (F.col("y2") - F.col("y1")) > (F.col("x2") - F.col("x1"))
+    cut = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * (F.col("i") + k) / F.col("n")
+    return rows.select(
+        key, "i", "char", F.when(tall, F.col("x1")).otherwise(cut("x1", "x2", 0)).alias("x1"), F.when(tall, cut("y1", "y2", 0)).otherwise(F.col("y1")).alias("y1"),
+        F.when(tall, F.col("x2")).otherwise(cut("x1", "x2", 1)).alias("x2"), F.when(tall, cut("y1", "y2", 1)).otherwise(F.col("y2")).alias("y2"),
+    )
+
+
+def polygon_box(points: Column) -> Column:
+    """The box of array<struct<x, y>>."""
+    return F.struct(F.array_min(points["x"]).alias("x1"), F.array_min(points["y"]).alias("y1"), F.array_max(points["x"]).alias("x2"), F.array_max(points["y"]).alias("y2"))
+
+
+def crop_box(b: Column, width: Column, height: Column, pad: int = 0) -> Column:
+    """Pixel box of four numbers: shares (x, y, w, h) if all lie in 0 to 1, else pixels (x1, y1, x2, y2); padded, kept
+    inside the image, and null if nothing is left."""
+    share = F.forall(b, lambda v: (v >= 0) & (v <= 1))
+    g = lambda i: F.element_at(b, i)
+    x1, y1 = F.when(share, g(1) * width).otherwise(g(1)) - pad, F.when(share, g(2) * height).otherwise(g(2)) - pad
+    x2, y2 = F.when(share, (g(1) + g(3)) * width).otherwise(g(3)) + pad, F.when(share, (g(2) + g(4)) * height).otherwise(g(4)) + pad
+    inside = lambda v, top: F.least(F.greatest(F.floor(v), F.lit(0)), top.cast("bigint"))
+    c = F.struct(inside(x1, width).alias("x1"), inside(y1, height).alias("y1"), inside(x2, width).alias("x2"), inside(y2, height).alias("y2"))
+    return F.when((c["x2"] > c["x1"]) & (c["y2"] > c["y1"]), c)
+
+
+def drop_adjacent(lines: DataFrame, page: str, least: float = 0.8) -> DataFrame:
+    """Lines in reading order (page, rank, conf, box) without those that overlap the last line kept by more than
+    `least` of the smaller box; of the two the more confident stays. Sequential, so a kernel per page."""
+    def keep(group: pd.DataFrame) -> pd.DataFrame:
+        group, kept = group.sort_values("rank").reset_index(drop=True), []
+        b = group[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        for i in range(len(b)):
+            if kept:
+                p = b[kept[-1]]
+                both = max(0.0, min(b[i, 2], p[2]) - max(b[i, 0], p[0])) * max(0.0, min(b[i, 3], p[3]) - max(b[i, 1], p[1]))
+                small = min((b[i, 2] - b[i, 0]) * (b[i, 3] - b[i, 1]), (p[2] - p[0]) * (p[3] - p[1]))
+                if small > 0 and both / small > least:
+                    if group.at[i, "conf"] > group.at[kept[-1], "conf"]:
+                        kept[-1] = i
+                    continue
+            kept.append(i)
+        return group.iloc[kept]
+
+    return lines.groupBy(page).applyInPandas(keep, lines.schema)

@@ -85,3 +85,43 @@ def variant_pairs(groups: DataFrame, chars: str, existing: DataFrame) -> DataFra
     made = groups.select(F.inline(pairs)).distinct()
     known = existing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return made.join(known, ["a", "b"], "left_anti")
+
+
+def lookup_in_order(wanted: DataFrame, rows: DataFrame, key: str, list_col: str, group: str) -> DataFrame:
+    """group, pos, key and rows' columns for each id of a list, in its order; found tells misses."""
+    asked = wanted.select(group, F.posexplode(list_col).alias("pos", key))
+    return asked.join(rows.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def first_or_identity(pages: DataFrame, mapping: DataFrame) -> DataFrame:
+    """page, target: the first target (by pos) a page maps to, or itself."""
+    first = mapping.groupBy("page").agg(F.min_by("target", "pos").alias("target"))
+    return pages.join(first, "page", "left").select("page", F.coalesce("target", "page").alias("target"))
+
+
+def cascade(keys: DataFrame, key: str, sources: list[DataFrame], value: str = "text") -> DataFrame:
+    """key, value, source: the first source that has a value that is not empty for the key."""
+    out = keys.select(key)
+    for i, s in enumerate(sources):
+        out = out.join(s.select(key, F.col(value).alias(f"v{i}")), key, "left")
+    full = [F.nullif(F.col(f"v{i}"), F.lit("")) for i in range(len(sources))]
+    which = F.lit(None).cast("int")
+    for i in reversed(range(len(sources))):
+        which = F.when(full[i].isNotNull(), F.lit(i)).otherwise(which)
+    return out.select(key, F.coalesce(*full, F.lit("")).alias(value), which.alias("source"))
+
+
+def accept_drafts(rows: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """rows (key, status) after accepting the chosen drafts; only drafts change."""
+    picked = chosen.select(key).distinct().withColumn("picked_", F.lit(True))
+    return rows.join(picked, key, "left").withColumn("status", F.when(F.col("picked_") & (F.col("status") == "draft"), "accepted").otherwise(F.col("status"))).drop("picked_")
+
+
+def delete_at(rows: DataFrame, items: str, index: Column, guard: Column) -> DataFrame:
+    """rows without the item at an index of their array, where the guard (over x, the item) holds."""
+    return rows.withColumn(items, F.filter(items, lambda x, i: ~((i == index) & guard)))
+
+
+def collapse_empty(value: Column, leaves: list[str]) -> Column:
+    """A struct, or null if all of its leaves are null."""
+    return F.when(F.coalesce(*(value[x].cast("string") for x in leaves)).isNull(), F.lit(None)).otherwise(value)

@@ -57,3 +57,20 @@ def retryable(message: Column, signs: tuple[str, ...] = ("timeout", "timed out",
 
 def token_budget(length: Column, per_char: float, least: int, most: int) -> Column:
     return F.least(F.greatest((length * per_char).cast("int"), F.lit(least)), F.lit(most))
+
+
+def upper_median(x: Column) -> Column:
+    """Of an even number of values the upper one of the middle two."""
+    return F.element_at(F.sort_array(F.collect_list(x)), (F.count(x) / 2).cast("int") + 1)
+
+
+def timing_stats(rows: DataFrame, key: str, seconds: str) -> DataFrame:
+    """key, num, total, mean, median; percentiles merge across tasks, so no key is gathered as a list."""
+    return rows.groupBy(key).agg(F.count(seconds).alias("num"), F.round(F.sum(seconds), 4).alias("total"), F.round(F.avg(seconds), 4).alias("mean"), F.round(F.median(seconds), 4).alias("median"))
+
+
+def recent(rows: DataFrame, group: str, item: str, ts: str, id_: str, most: int) -> DataFrame:
+    """group, item, rank: the most recently used distinct items of each group."""
+    last = rows.groupBy(group, item).agg(F.max(F.struct(ts, id_)).alias("last"))
+    w = Window.partitionBy(group).orderBy(F.desc("last"))
+    return last.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select(group, item, "rank")
