@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def box(prefix: str = "") -> tuple[Column, Column, Column, Column]:
@@ -80,25 +81,27 @@ def normalized_box(a: tuple, width: Column, height: Column, grid: int = 1000) ->
     return F.struct(on(a[0], width).alias("x1"), on(a[1], height).alias("y1"), on(a[2], width).alias("x2"), on(a[3], height).alias("y2"))
 
 
+def _box_struct(x: Column) -> tuple[Column, Column, Column, Column]:
+    return x["x1"], x["y1"], x["x2"], x["y2"]
+
+
+def _folded(boxes: DataFrame, keys: list[str], order: list[Column], step, schema_of: DataFrame) -> DataFrame:
+    """Rows of each group that a fold over them, in order, keeps. The fold runs in the JVM, a page at a time."""
+    row = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.struct(*(F.col(c) for c in schema_of.columns)).alias("row"))
+    rows = F.transform(F.array_sort(F.collect_list(row)), lambda x: x["row"])
+    grouped = boxes.groupBy(*keys).agg(rows.alias("rows"))
+    none = F.slice(F.col("rows"), 1, 0)
+    return grouped.select(F.inline(F.aggregate("rows", none, step)))
+
+
 def non_max_suppression(boxes: DataFrame, keys: list[str], least_iou: float = 0.45) -> DataFrame:
     """Rows of boxes (keys, id, conf, box) that stay: by falling confidence, a box goes if it overlaps one that stays.
+    A group holds the boxes of one page and class."""
+    def step(kept: Column, x: Column) -> Column:
+        hit = F.exists(kept, lambda k: iou(_box_struct(k), _box_struct(x)) >= least_iou)
+        return F.when(hit, kept).otherwise(F.array_append(kept, x))
 
-    Greedy, so a kernel; groups are the boxes of one page and class.
-    """
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["conf", "id"], ascending=[False, True]).reset_index(drop=True)
-        b, kept = group[["x1", "y1", "x2", "y2"]].to_numpy(float), []
-        size = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-        for i in range(len(b)):
-            if kept:
-                k = b[kept]
-                both = np.clip(np.minimum(b[i, 2], k[:, 2]) - np.maximum(b[i, 0], k[:, 0]), 0, None) * np.clip(np.minimum(b[i, 3], k[:, 3]) - np.maximum(b[i, 1], k[:, 1]), 0, None)
-                if (both / np.maximum(size[i] + size[kept] - both, 1e-9) >= least_iou).any():
-                    continue
-            kept.append(i)
-        return group.iloc[kept]
-
-    return boxes.groupBy(*keys).applyInPandas(keep, boxes.schema)
+    return _folded(boxes, keys, [-F.col("conf"), F.col("id")], step, boxes)
 
 
 def reading_order(lines: DataFrame, page: str, tolerance: float, right_to_left: bool = True) -> DataFrame:
@@ -116,32 +119,42 @@ def reading_order(lines: DataFrame, page: str, tolerance: float, right_to_left:
     return rows.select(page, "id", F.row_number().over(Window.partitionBy(page).orderBy("column", "y1", "id")).alias("rank"))
 
 
+def _widest(low: np.ndarray, high: np.ndarray) -> tuple[float, float]:
+    """(width, beginning) of the widest gap that no interval covers."""
+    order = np.argsort(low, kind="stable")
+    reach = np.maximum.accumulate(high[order])
+    gaps = low[order][1:] - reach[:-1]
+    if not len(gaps) or gaps.max() <= 0:
+        return 0.0, 0.0
+    i = int(gaps.argmax())
+    return float(gaps[i]), float(reach[i])
+
+
+def _cut_order(lines: list[dict]) -> list[int]:
+    b = np.array([[r[c] for c in ("x1", "y1", "x2", "y2")] for r in lines], float)
+    ids, out, todo = [r["id"] for r in lines], [], [np.arange(len(lines))]
+    while todo:
+        part = todo.pop()
+        (gx, cx), (gy, cy) = _widest(b[part, 0], b[part, 2]), _widest(b[part, 1], b[part, 3])
+        if max(gx, gy) <= 0:
+            out += sorted(part, key=lambda i: (b[i, 1], -b[i, 0], ids[i]))
+        elif gx >= gy:
+            todo += [part[b[part, 0] < cx], part[b[part, 0] >= cx]]
+        else:
+            todo += [part[b[part, 1] >= cy], part[b[part, 1] < cy]]
+    return [ids[i] for i in out]
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def cut_order(pages: pd.Series) -> pd.Series:
+    return pd.Series([_cut_order(list(p)) for p in pages])
+
+
 def xy_cut(lines: DataFrame, page: str) -> DataFrame:
     """page, id, rank by recursive cuts of the page at its widest empty gap, across x or y: the parts right of a gap,
-    or above it, come first. A kernel per page."""
-    def widest(low: np.ndarray, high: np.ndarray) -> tuple[float, float]:
-        order = np.argsort(low, kind="stable")
-        reach = np.maximum.accumulate(high[order])
-        gaps = low[order][1:] - reach[:-1]
-        if not len(gaps) or gaps.max() <= 0:
-            return 0.0, 0.0
-        i = int(gaps.argmax())
-        return float(gaps[i]), float(reach[i])
-
-    def rank(group: pd.DataFrame) -> pd.DataFrame:
-        b, ids, out, todo = group[["x1", "y1", "x2", "y2"]].to_numpy(float), group["id"].to_numpy(), [], [np.arange(len(group))]
-        while todo:
-            part = todo.pop()
-            (gx, cx), (gy, cy) = widest(b[part, 0], b[part, 2]), widest(b[part, 1], b[part, 3])
-            if max(gx, gy) <= 0:
-                out += sorted(part, key=lambda i: (b[i, 1], -b[i, 0], ids[i]))
-            elif gx >= gy:
-                todo += [part[b[part, 0] < cx], part[b[part, 0] >= cx]]
-            else:
-                todo += [part[b[part, 1] >= cy], part[b[part, 1] < cy]]
-        return pd.DataFrame({page: group[page].iloc[0], "id": ids[out], "rank": np.arange(1, len(out) + 1)})
-
-    return lines.groupBy(page).applyInPandas(rank, f"{page} long, id long, rank int")
+    or above it, come first. A kernel over whole pages, many to a batch."""
+    pages = lines.groupBy(page).agg(F.collect_list(F.struct(F.col("id").cast("long").alias("id"), "x1", "y1", "x2", "y2")).alias("lines"))
+    return pages.select(page, F.posexplode(cut_order("lines")).alias("pos", "id")).select(page, "id", (F.col("pos") + 1).alias("rank"))
 
 
 def char_boxes(lines: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -175,20 +188,12 @@ def crop_box(b: Column, width: Column, height: Column, pad: int = 0) -> Column:
 
 def drop_adjacent(lines: DataFrame, page: str, least: float = 0.8) -> DataFrame:
     """Lines in reading order (page, rank, conf, box) without those that overlap the last line kept by more than
-    `least` of the smaller box; of the two the more confident stays. Sequential, so a kernel per page."""
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        group, kept = group.sort_values("rank").reset_index(drop=True), []
-        b = group[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        for i in range(len(b)):
-            if kept:
-                p = b[kept[-1]]
-                both = max(0.0, min(b[i, 2], p[2]) - max(b[i, 0], p[0])) * max(0.0, min(b[i, 3], p[3]) - max(b[i, 1], p[1]))
-                small = min((b[i, 2] - b[i, 0]) * (b[i, 3] - b[i, 1]), (p[2] - p[0]) * (p[3] - p[1]))
-                if small > 0 and both / small > least:
-                    if group.at[i, "conf"] > group.at[kept[-1], "conf"]:
-                        kept[-1] = i
-                    continue
-            kept.append(i)
-        return group.iloc[kept]
-
-    return lines.groupBy(page).applyInPandas(keep, lines.schema)
+    `least` of the smaller box; of the two the more confident stays."""
+    def step(kept: Column, x: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        small = F.least(area(_box_struct(last)), area(_box_struct(x)))
+        hit = last.isNotNull() & F.coalesce((small > 0) & (overlap_area(_box_struct(last), _box_struct(x)) > least * small), F.lit(False))
+        swapped = F.array_append(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), x)
+        return F.when(~hit, F.array_append(kept, x)).when(x["conf"] > last["conf"], swapped).otherwise(kept)
+
+    return _folded(lines, [page], [F.col("rank")], step, lines)

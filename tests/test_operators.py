@@ -121,3 +121,9 @@ def test_json_salvage(spark):
     raw = ['<think>{"a"</think>```json\n{"a": 1}\n```', '[{"k": 1}, {"k": 2}, {"k":', "no json", None, 'text {"s": "a\nb"} tail']
     df = spark.createDataFrame([(r,) for r in raw], "raw string").select(al.salvage_json("raw").alias("j"))
     assert [r.j for r in df.collect()] == ['{"a": 1}', '[{"k": 1}, {"k": 2}]', None, None, '{"s": "a\\nb"}']
+
+
+def test_adjacent_duplicates_compare_with_the_last_kept(spark):
+    rows = [(1, 1, 1, 0.5, 0.0, 0.0, 10.0, 10.0), (1, 2, 2, 0.9, 0.5, 0.0, 10.0, 10.0), (1, 3, 3, 0.1, 0.0, 0.0, 10.0, 9.5), (1, 4, 4, 0.1, 50.0, 0.0, 60.0, 10.0), (2, 5, 1, 0.1, 0.0, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "page long, id long, rank int, conf double, x1 double, y1 double, x2 double, y2 double")
+    assert sorted(r.id for r in la.drop_adjacent(df, "page").collect()) == [2, 4, 5]
