@@ -100,3 +100,29 @@ def unify(sources: list[tuple[str, DataFrame, dict[str, str]]], fields: list[str
 def format_citation(parts: list[Column], separator: str = ", ") -> Column:
     """The parts that are there, in order, with angle brackets for titles swapped for corner ones."""
     return F.translate(F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull() & (F.trim(p) != "")), separator), "<>", "《》")
+
+
+def extent_of(text: Column) -> Column:
+    """struct<volumes, books, missing, fragment> of an extent such as `3卷2冊(零本)` or `5卷(缺卷1)`."""
+    n = lambda p: F.try_to_number(F.nullif(F.regexp_extract(text, p, 1), F.lit("")), F.lit("999999")).cast("int")
+    return F.struct(n(r"(\d+)\s*卷").alias("volumes"), n(r"(\d+)\s*[冊册]").alias("books"), F.nullif(F.regexp_extract(text, r"缺卷?\s*([0-9,-]+)", 1), F.lit("")).alias("missing"), text.rlike("零本|殘本").alias("fragment"))
+
+
+def xml_record(xml: Column, fields: dict[str, str]) -> Column:
+    """struct of the first value at each path; null where there is none."""
+    return F.struct(*(F.try_element_at(F.xpath(xml, F.lit(f"{path}/text()")), F.lit(1)).alias(name) for name, path in fields.items()))
+
+
+def map_labels(rows: DataFrame, key: str, pairs: str, synonyms: dict[str, list[str]]) -> DataFrame:
+    """key and a column per field: the first value whose label is one of the field's synonyms (array<struct<label,
+    value>>, in order)."""
+    first = lambda names: F.try_element_at(F.filter(pairs, lambda p: F.trim(p["label"]).isin(names) & (F.trim(p["value"]) != "")), F.lit(1))
+    return rows.select(key, *(F.trim(first(names)["value"]).alias(field) for field, names in synonyms.items()))
+
+
+def page_rows(html: Column) -> Column:
+    """array<struct<label, value>> of the th/td and dt/dd pairs of a page, tags off."""
+    clean = lambda c: F.trim(F.regexp_replace(c, "<[^>]*>", ""))
+    pattern = F.lit(r"(?is)<(?:th|dt)\b[^>]*>(.*?)</(?:th|dt)>\s*<(?:td|dd)\b[^>]*>(.*?)</(?:td|dd)>")
+    both = F.arrays_zip(F.regexp_extract_all(html, pattern, 1).alias("label"), F.regexp_extract_all(html, pattern, 2).alias("value"))
+    return F.transform(both, lambda p: F.struct(clean(p["label"]).alias("label"), clean(p["value"]).alias("value")))

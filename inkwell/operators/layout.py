@@ -197,3 +197,21 @@ def drop_adjacent(lines: DataFrame, page: str, least: float = 0.8) -> DataFrame:
         return F.when(~hit, F.array_append(kept, x)).when(x["conf"] > last["conf"], swapped).otherwise(kept)
 
     return _folded(lines, [page], [F.col("rank")], step, lines)
+
+
+def touching_groups(boxes: DataFrame, page: str, dilate: float = 0.1) -> DataFrame:
+    """page, id, seed: boxes joined to the earliest box of their page (by id) that meets them when both grow by a share
+    of their sides, else to themselves. One round of a self-join by page: groups are stars around their seed."""
+    grown = [F.col("x1") - (F.col("x2") - F.col("x1")) * dilate, F.col("y1") - (F.col("y2") - F.col("y1")) * dilate, F.col("x2") + (F.col("x2") - F.col("x1")) * dilate, F.col("y2") + (F.col("y2") - F.col("y1")) * dilate]
+    g = boxes.select(F.col(page), "id", *(c.alias(n) for c, n in zip(grown, ("x1", "y1", "x2", "y2"), strict=True)))
+    o = g.withColumnsRenamed({page: "o_page", "id": "o_id", "x1": "o_x1", "y1": "o_y1", "x2": "o_x2", "y2": "o_y2"})
+    meet = (F.col(page) == F.col("o_page")) & (F.col("o_id") <= F.col("id")) & (F.col("x1") <= F.col("o_x2")) & (F.col("x2") >= F.col("o_x1")) & (F.col("y1") <= F.col("o_y2")) & (F.col("y2") >= F.col("o_y1"))
+    return g.join(o, meet).groupBy(page, "id").agg(F.min("o_id").alias("seed"))
+
+
+def in_polygon(points: Column, x: Column, y: Column) -> Column:
+    """Whether a point is inside a polygon (array<struct<x, y>>): the crossings to its right are odd."""
+    n = F.size(points)
+    edges = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.element_at(points, i).alias("a"), F.element_at(points, F.when(i == n, 1).otherwise(i + 1)).alias("b")))
+    crosses = lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / F.when(e["b"]["y"] == e["a"]["y"], 1.0).otherwise(e["b"]["y"] - e["a"]["y"]) + e["a"]["x"])
+    return F.size(F.filter(edges, crosses)) % 2 == 1
