@@ -11,6 +11,7 @@ texts of characters on which that is certain; any other text goes through the to
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from array import array
@@ -100,7 +101,16 @@ class Encoder:
         return out, lens
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_for(tokenizer_json: str) -> Encoder:
+    """The worker's encoder of a tokenizer file. It outlives tasks: a function of the module is looked up in the
+    worker, where a nested one would bring an empty table along."""
+    key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(tokenizer_json)
+    return _ENCODERS[key]
 
 
 def write_tokens(docs: DataFrame, path: str, order: list[str], tokenizer_path: str, end_id: int = END_ID) -> None:
@@ -110,9 +120,7 @@ def write_tokens(docs: DataFrame, path: str, order: list[str], tokenizer_path: s
 
     @tidy
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, seq = hash(tokenizer_json), 0
-        encoder = _ENCODERS.setdefault(key, None) or Encoder(tokenizer_json)
-        _ENCODERS[key] = encoder
+        encoder, seq = encoder_for(tokenizer_json), 0
         for batch in batches:
             texts = batch["text"].tolist()
             for a, b in chunked(texts, RECORD_CHARS):
