@@ -38,8 +38,12 @@ from .components import components
 LIST_COST = 4
 #: Largest size for which subsets are ever considered.
 MOST_SMALL = 40
-#: Segments beyond those that can differ, so that an equal one is hardly ever an empty one.
-SPARE = 2
+#: Segments beyond those that can differ, so that an equal one is hardly ever an empty one: at least, and as a share.
+SPARE, SPARE_SHARE = 2, 0.35
+#: A shingle is popular if at least 1/POPULAR of all documents have it: at most POPULAR times the mean set size of them.
+POPULAR = 500
+#: Groups of up to so many classes are compared pair by pair; larger ones go through lists.
+FEW = 8
 
 
 class Bounds:
@@ -68,8 +72,15 @@ class Bounds:
             edges.append(self.largest(edges[-1]) + 1)
         return edges
 
+    def damaged(self, edges: list[int], k: int) -> int:
+        """Most segments in which linked sets of size class k differ."""
+        return self.differ(2 * (edges[k + 1] - 1))
+
+    def spare(self, edges: list[int], k: int) -> int:
+        return max(SPARE, math.ceil(SPARE_SHARE * (self.damaged(edges, k) + 1)))
+
     def segments(self, edges: list[int], k: int) -> int:
-        return self.differ(2 * (edges[k + 1] - 1)) + 1 + SPARE
+        return self.damaged(edges, k) + 1 + self.spare(edges, k)
 
     def subsets(self, s: int, boundary: int) -> list[tuple[int, int, int]]:
         """(smaller size, larger size, removed) of the subsets that a set of s shingles enumerates."""
@@ -110,8 +121,14 @@ def shingle_sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def set_keys(tokens: np.ndarray, boundary: int, bounds: Bounds, edges: list[int]) -> np.ndarray:
-    """The keys under which a set looks for partners."""
+def set_keys(tokens: np.ndarray, boundary: int, bounds: Bounds, edges: list[int], popular: np.ndarray) -> np.ndarray:
+    """The keys under which a set looks for partners; popular is sorted.
+
+    A segment tells if it has a shingle that is not popular. A set with more telling segments than can differ uses
+    those alone: one of them is equal in a linked set, and tells there too. Other sets use all segments that are not
+    empty, and the empty ones too if they have more of them than are spare. So linked sets always meet, and documents
+    that have just a popular passage in common do not.
+    """
     n, out = len(tokens), []
     if n <= boundary:
         mixed = mix64(tokens)
@@ -123,12 +140,20 @@ def set_keys(tokens: np.ndarray, boundary: int, bounds: Bounds, edges: list[int]
         k = int(np.searchsorted(edges, n, side="right")) - 1
         high = (tokens >> np.uint64(32)).astype(np.uint64)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(tokens), dtype=np.uint64)))
+        known = np.zeros(n, bool)
+        if len(popular):
+            known = popular[np.minimum(np.searchsorted(popular, tokens), len(popular) - 1)] == tokens
+        rare = np.concatenate(([0], np.cumsum(~known)))
         for scheme in (k, k + 1):
             p = bounds.segments(edges, scheme)
             segment = ((high * np.uint64(p)) >> np.uint64(32)).astype(np.int64)
             cut = np.searchsorted(segment, np.arange(p + 1))
+            telling = rare[cut[1:]] > rare[cut[:-1]]
             empty = cut[1:] == cut[:-1]
-            use = np.arange(p) if empty.sum() > SPARE else np.flatnonzero(~empty)
+            if telling.sum() > bounds.damaged(edges, scheme):
+                use = np.flatnonzero(telling)
+            else:
+                use = np.arange(p) if empty.sum() > bounds.spare(edges, scheme) else np.flatnonzero(~empty)
             content = sums[cut[use + 1]] - sums[cut[use]]
             out.append(mix64(content + mix64((np.uint64(scheme) << np.uint64(32)) + use.astype(np.uint64) + np.uint64(1 << 63))))
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
@@ -158,13 +183,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bounds = Bounds(percent)
 
     def digests(ids: pd.Series, sets: list[np.ndarray]) -> pd.DataFrame:
-        return pd.DataFrame({"doc_id": ids.to_numpy(), "n_shingles": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]})
-
-    sets = staged(_per_set(docs, width, "doc_id long, n_shingles long, digest binary", digests), "shingle-sets")
+        rows = pd.DataFrame({"popular": False, "id": ids.to_numpy(), "n": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]})
+        tokens, seen = np.unique(np.concatenate(sets), return_counts=True)
+        often = seen >= max(4, 0.003 * len(sets))
+        if not often.any():
+            return rows
+        return pd.concat((rows, pd.DataFrame({"popular": True, "id": tokens[often].view(np.int64), "n": seen[often], "digest": b""})), ignore_index=True)
+
+    both = staged(_per_set(docs, width, "popular boolean, id long, n long, digest binary", digests), "shingle-sets")
+    sets = both.where("not popular").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "digest")
     classes = staged(sets.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("n")), "classes")
     rows = sets.count()
     sizes = {r["size"]: r["count"] for r in classes.where(f"size <= {MOST_SMALL}").groupBy("size").count().collect()}
     boundary = choose_boundary(sizes, bounds)
+    known = both.where("popular").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= max(4, rows // POPULAR))
+    popular = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.id for r in known.select("id").collect()], np.int64).view(np.uint64)))
     edges_of = bounds.classes(2 * (classes.agg(F.max("size")).first()[0] or 1))
 
     repeated = classes.where("n > 1").select("digest", "rep", "n")
@@ -172,7 +205,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = keep_rows(docs.where("doc_id is not null"), staged(others, "copies"), "doc_id", "left_anti")
 
     def keys(ids: pd.Series, found: list[np.ndarray]) -> pd.DataFrame:
-        made = [set_keys(s, boundary, bounds, edges_of) if len(s) else np.zeros(0, np.int64) for s in found]
+        made = [set_keys(s, boundary, bounds, edges_of, popular.value) if len(s) else np.zeros(0, np.int64) for s in found]
         return pd.DataFrame({"rep": np.repeat(ids.to_numpy(), [len(k) for k in made]), "key": np.concatenate(made) if made else np.zeros(0, np.int64)})
 
     lists = _per_set(reps, width, "rep long, key long", keys)
@@ -209,8 +242,17 @@ def _links_within(reps: DataFrame, groups: DataFrame, width: int, bounds: Bounds
     diff = staged(diff.withColumn("near", links("nd", "size + base_size")), "differences")
     direct = diff.where("near and node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
-    far = diff.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.bool_and("near").alias("all_near")).where("not all_near").drop("all_near")
-    tokens = join_skewed(diff, far, "component", diff.count(), "node").select("component", "node", "size", "nd", "near", F.explode("diff").alias("token"))
+    side = lambda c, rows, *more: rows.select(*(F.col(x).alias(f"{x}_{c}") for x in ("node", "size", "nd", "diff", *more)))
+    alike = links("nd_a + nd_b - 2 * size(array_intersect(diff_a, diff_b))", "size_a + size_b")
+    sized = F.expr(f"least(size_a, size_b) * {bounds.t.denominator} >= greatest(size_a, size_b) * {bounds.t.numerator}")
+
+    far = diff.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.bool_and("near").alias("all_near")).where("n > 2 and not all_near")
+    open_ = join_skewed(diff, far.select("component", "n", F.col("n").alias("members")), "component", diff.count(), "node")
+    few = open_.where(F.col("members") <= FEW)
+    few_pairs = side("a", few, "component", "near").join(side("b", few, "component", "near"), F.col("component_a") == F.col("component_b"))
+    few_links = few_pairs.where((F.col("node_a") < F.col("node_b")) & ~(F.col("near_a") & F.col("near_b")) & sized & alike)
+
+    tokens = open_.where(F.col("members") > FEW).select("component", "node", "size", "nd", "near", F.explode("diff").alias("token"))
     tokens = staged(tokens.select("node", "size", "nd", "near", "token", F.xxhash64("component", "token").alias("key")), "difference-tokens")
     counts = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("df", F.col("n"))
     shared = join_skewed(tokens, counts, "key", tokens.count(), "node")
@@ -219,12 +261,10 @@ def _links_within(reps: DataFrame, groups: DataFrame, width: int, bounds: Bounds
     most = F.floor(F.col("size") * (1 + 1 / F.lit(float(bounds.t))) * float(bounds.slack) + 1e-9)
     prefix = staged(ranked.where(F.col("pos") <= most).select("key", "node", "size", "nd", "near", "pos"), "prefixes")
     left, right = prefix.select(*(F.col(c).alias(f"{c}_a") for c in prefix.columns)), prefix.select(*(F.col(c).alias(f"{c}_b") for c in prefix.columns))
-    pairs = left.join(right, (F.col("key_a") == F.col("key_b")) & (F.col("node_a") < F.col("node_b")) & ~(F.col("near_a") & F.col("near_b")) & F.expr(
-        f"least(size_a, size_b) * {bounds.t.denominator} >= greatest(size_a, size_b) * {bounds.t.numerator}"
-        f" and 2 * least(nd_a - pos_a, nd_b - pos_b) >= nd_a + nd_b - floor((size_a + size_b) * {num} / {den})"
+    pairs = left.join(right, (F.col("key_a") == F.col("key_b")) & (F.col("node_a") < F.col("node_b")) & ~(F.col("near_a") & F.col("near_b")) & sized & F.expr(
+        f"2 * least(nd_a - pos_a, nd_b - pos_b) >= nd_a + nd_b - floor((size_a + size_b) * {num} / {den})"
     ))
     pairs = pairs.select("node_a", "node_b").distinct()
-    side = lambda c: diff.select(F.col("node").alias(f"node_{c}"), F.col("size").alias(f"size_{c}"), F.col("nd").alias(f"nd_{c}"), F.col("diff").alias(f"diff_{c}"))
-    found = pairs.join(side("a"), "node_a").join(side("b"), "node_b")
-    found = found.where(links("nd_a + nd_b - 2 * size(array_intersect(diff_a, diff_b))", "size_a + size_b"))
+    found = pairs.join(side("a", diff), "node_a").join(side("b", diff), "node_b").where(alike)
+    found = found.select("node_a", "node_b").unionByName(few_links.select("node_a", "node_b"))
     return direct.unionByName(found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))

@@ -47,6 +47,15 @@ def near_copies(rng, n_bases, copies):
     return [(i * 3 + 1, t) for i, t in enumerate(rows)]
 
 
+def test_a_common_passage_makes_no_group(spark):
+    rng = random.Random(7)
+    passage = " ".join(f"p{i}" for i in range(90))
+    rows = [(i, " ".join(f"w{rng.randrange(10_000)}" for _ in range(rng.randrange(60, 90))) + " " + passage) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(5)] + [(200 + i, passage + f" x{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard_components(df).collect()) == brute(rows)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_equals_brute_force(spark, seed):
     rng = random.Random(seed)
@@ -69,8 +78,10 @@ def test_keys_meet_whenever_sets_link():
                 a = np.sort(rng.permutation(base)[: rng.integers(max(1, int(n * 0.9)), n + 1)])
                 b = np.unique(np.concatenate((rng.permutation(base)[: rng.integers(max(1, int(n * 0.9)), n + 1)], rng.integers(0, 1 << 63, rng.integers(0, 2 + n // 20), dtype=np.uint64))))
                 both, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
-                if 100 * both >= 90 * union:
-                    assert len(np.intersect1d(set_keys(a, boundary, bounds, edges), set_keys(b, boundary, bounds, edges)))
+                for share in (0, 0.5, 0.9, 1):
+                    popular = np.sort(rng.permutation(base)[: int(share * n)])
+                    if 100 * both >= 90 * union:
+                        assert len(np.intersect1d(set_keys(a, boundary, bounds, edges, popular), set_keys(b, boundary, bounds, edges, popular)))
 
 
 def test_boundary_follows_cost():
