@@ -32,7 +32,7 @@ RECORDS = "part int, seq int, n_docs int, n_ids long, doc_ids binary, nulls bina
 LETTERS, NUMBERS, SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \t\n\r\x0b\x0c"
 PLAIN = re.compile("[\x00-\x7f¡-ɏ‐-‧₠-₿]*")
 PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-CACHED_PIECES = 700_000
+CACHED_PIECES = 450_000
 
 
 def byte_letters() -> dict[int, str]:
