@@ -48,3 +48,22 @@ def test_clean_documents_and_empty_table(spark):
     df = spark.createDataFrame([(1, "The. Of. As. One two three. The. Of. As."), (2, "The. Of. As. One two three.")], "doc_id long, text string")
     assert [r.n_removed for r in substring_dedup(df).collect()] == [0, 0]
     assert substring_dedup(df.limit(0)).collect() == []
+
+
+def test_no_fifty_words_of_an_earlier_document_stay_whole(spark):
+    rng = random.Random(8)
+    words = lambda n: [f"v{rng.randrange(9000)}" for _ in range(n)]
+    fifty = lambda t: {tuple(w[i : i + 50]) for w in [t.lower().split()] for i in range(len(w) - 49)}
+    long, inner, plain = words(60), words(24) + ["end."] + words(14) + ["end."] + words(20), words(52)
+    rows = [(1, " ".join(words(30)) + ". " + " ".join(long) + ". " + " ".join(words(30)) + "."), (2, " ".join(words(9)) + ". " + " ".join(long) + ". " + " ".join(words(40)) + ".")]
+    rows += [(3, " ".join(words(20) + inner + words(20)) + "."), (4, " ".join(words(5) + inner + words(33)) + ".")]
+    rows += [(5, " ".join(words(200) + plain + words(100))), (6, " ".join(words(77) + [w.upper() for w in plain] + words(300)))]
+    rows += [(7, " ".join(words(70)) + "."), (8, " ".join(["again"] * 200))]
+    out = {r.doc_id: r for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows[:7]:
+        for j, u in rows[:7]:
+            assert i >= j or not fifty(t) & fifty(out[j].text)
+    assert [i for i, r in sorted(out.items()) if r.n_removed] == [2, 4, 6, 8]
+    assert all(out[i].text == t for i, t in rows if i in (1, 3, 5, 7))
+    assert " ".join(long) not in out[2].text and len(out[2].text.split()) == 49
+    assert len(out[8].text.split()) == 26
