@@ -6,8 +6,11 @@ import difflib
 import json
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,24 +82,68 @@ def alignment_stats(pairs: DataFrame, group: str) -> DataFrame:
     return pairs.groupBy(group).agg(F.count(F.lit(1)).alias("total"), *(n(k) for k in ("exact", "variant", "mismatch", "insertion", "deletion")), F.round(F.coalesce(F.try_divide(right, F.count(F.lit(1))), F.lit(0.0)), 4).alias("accuracy"))
 
 
+def _common(masks: dict[str, int], full: int, text: str) -> int:
+    """Length of the longest common subsequence of text and the needle whose characters' places are masks."""
+    v = full
+    for c in text:
+        if m := masks.get(c):
+            v = ((v + (v & m)) | (v & ~m)) & full
+    return (full & ~v).bit_count()
+
+
+def _most_alike(needle: str, text: str, starts: np.ndarray, votes: Counter) -> tuple[float, bool, int, int]:
+    """(ratio, voted for, -start, -length) of the window most like needle, of those that begin at starts. Starts with
+    votes come before others as much alike; those with most are tried first.
+
+    No window is left out but by a bound: SequenceMatcher matches no more characters than both have in common, counted
+    or in order.
+    """
+    chars, n, size = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), len(text), len(needle)
+    lengths = sorted({k for k in (size, size - 2, size + 2) if k > 0})
+    shared = np.zeros((len(lengths), len(starts)), np.int64)
+    for c, k in Counter(needle).items():
+        seen = np.concatenate(([0], np.cumsum(chars == ord(c), dtype=np.int64)))
+        for row, length in zip(shared, lengths, strict=True):
+            row += np.minimum(seen[np.minimum(starts + length, n)] - seen[starts], k)
+    bound = np.concatenate([2.0 * row / (size + np.minimum(length, n - starts)) for row, length in zip(shared, lengths, strict=True)])
+    masks, full, best = {}, (1 << size) - 1, (0.0, False, 0, 0)
+    for i, c in enumerate(needle):
+        masks[c] = masks.get(c, 0) | 1 << i
+    tried = [(2.0, s, length) for s, _ in votes.most_common(8) for length in lengths]
+    rest = np.argsort(-bound, kind="stable")
+    for upper, s, length in chain(tried, ((bound[i], int(starts[i % len(starts)]), lengths[i // len(starts)]) for i in rest)):
+        if upper < best[0]:
+            break
+        window = text[s : s + length]
+        if 2.0 * _common(masks, full, window) / (size + len(window)) >= best[0]:
+            best = max(best, (difflib.SequenceMatcher(None, needle, window).ratio(), s in votes, -s, -length))
+    return best
+
+
 def _window(needle: str, text: str) -> tuple[int, int, float]:
-    """(start, length, ratio) of the part of text most like needle; the whole text where nothing is like it."""
+    """(start, length, ratio) of the part of text most like needle; the whole text where nothing is like it. Looked for
+    around all places of three probes of 5 characters, else of 3, else everywhere."""
     if not needle or not text:
         return 0, len(text), 0.0
-    starts = set()
+    votes, last, around = Counter(), len(text) - len(needle), np.zeros(len(text) + 2, np.int64)
     for n in (5, 3):
         for at in {0, max(0, len(needle) // 2 - n), max(0, len(needle) - n)}:
             probe, i = needle[at : at + n], -1
-            while len(probe) == n and len(starts) < 64 and (i := text.find(probe, i + 1)) >= 0:
-                starts.add(max(0, i - at))
-        if starts:
+            while len(probe) == n and (i := text.find(probe, i + 1)) >= 0:
+                votes[max(0, i - at)] += 1
+                if (low := max(0, i - len(needle) + 5)) <= (high := min(i, last)):
+                    around[low] += 1
+                    around[high + 1] -= 1
+        if votes:
             break
-    best = (0.0, 0, 0)
-    for s in starts:
-        for length in (len(needle), len(needle) - 2, len(needle) + 2):
-            r = difflib.SequenceMatcher(None, needle, text[s : s + length]).ratio()
-            best = max(best, (r, -s, -length))
-    return (-best[1], -best[2], best[0]) if best[0] >= 0.3 else (0, len(text), best[0])
+    if votes:
+        near = np.cumsum(around[:-2]) > 0
+        near[list(votes)] = True
+        starts = np.flatnonzero(near)
+    else:
+        starts = np.arange(max(1, last + 1))
+    ratio, _, start, length = _most_alike(needle, text, starts, votes)
+    return (-start, -length, ratio) if ratio >= 0.3 else (0, len(text), ratio)
 
 
 @F.pandas_udf(row_type(start="int", length="int", ratio="double"))

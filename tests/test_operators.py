@@ -42,6 +42,24 @@ def test_best_window_finds_and_falls_back(spark):
     assert (a.start, b.start, b.length) == (16, 0, 13) and a.ratio > 0.9 and b.ratio < 0.3
 
 
+def test_best_window_looks_at_every_place(spark):
+    import difflib
+    import random
+
+    rng, size = random.Random(3), 24
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    decoys = "the king of nothing at all, " * 90
+    far = ("the king of the old hill and his men", decoys + "the king of the old hell and his men" + " rest")
+    bare = ("abXcdXefXghXabXcdXefXghX", word(300) + "abYcdYefYghYabYcdYefYghY" + word(50))
+    rows = [far, bare, *((word(size), word(rng.choice((30, 80, 200)))) for _ in range(12))]
+    got = [tuple(r.w) for r in spark.createDataFrame(rows, "n string, t string").coalesce(1).select(al.best_window("n", "t").alias("w")).collect()]
+    assert got[0][:2] == (len(decoys), len(far[0])) and abs(got[1][0] - 300) < 2
+    for (n, t), (start, length, ratio) in zip(rows[1:], got[1:], strict=True):
+        every = max((difflib.SequenceMatcher(None, n, t[s : s + k]).ratio(), -s, -k) for s in range(len(t) - len(n) + 1) for k in (len(n), len(n) - 2, len(n) + 2))
+        probes = [p for k in (5, 3) for p in (n[:k], n[size // 2 - k : size // 2], n[-k:])]
+        assert ratio <= every[0] and (any(p in t for p in probes) or every[0] < 0.3 or (start, length, ratio) == (-every[1], -every[2], every[0]))
+
+
 def test_corrections_apply_from_the_end_and_skip_stale_ones(spark):
     texts = spark.createDataFrame([(1, "abcd"), (2, "zz")], "id int, text string")
     patches = spark.createDataFrame([(1, 1, "b", "X"), (1, 3, "d", "YY"), (1, 2, "q", "!"), (1, None, "a", "!")], "id int, char_index int, original string, corrected string")
