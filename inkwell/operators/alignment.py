@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import json
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -159,11 +160,77 @@ def anchors_of(text: Column, length: int) -> Column:
     return F.when(n >= 3 * length, F.array(part(F.lit(0)), part(middle), part(n - length))).when(n >= 2 * length, F.array(part(F.lit(0)), part(n - length))).otherwise(F.array(F.substring(text, 1, length)))
 
 
+def _grams(text: str, n: int = 5) -> dict[str, list[int]]:
+    out: dict[str, list[int]] = {}
+    for i in range(len(text) - n + 1):
+        out.setdefault(text[i : i + n], []).append(i)
+    return out
+
+
+def _anchor_place(anchor: str, whole: str, at: int, grams: Callable[[], dict], n: int = 5) -> tuple[int, float]:
+    """(place of the anchor from `at` on, ratio): exact, else where most of its n-grams say; place -1 if not alike."""
+    if (i := whole.find(anchor, at)) >= 0:
+        return i, 1.0
+    if len(anchor) < n:
+        return _anchor_between(anchor, whole, at, len(whole))
+    offsets, votes = range(0, len(anchor) - n + 1, n // 2 + 1), Counter()
+    for k in offsets:
+        votes.update(i - k for i in grams().get(anchor[k : k + n], ()) if i - k >= at)
+    places = sorted(i for i, v in votes.items() if v >= max(1, len(offsets) // 2)) or [i for i, _ in votes.most_common(1)]
+    ratio, i = max(((difflib.SequenceMatcher(None, anchor, whole[i : i + len(anchor)]).ratio(), -i) for i in places), default=(0.0, 0))
+    return (-i, ratio) if ratio >= max(0.6, 1.0 - 2.0 / len(anchor)) else (-1, ratio)
+
+
+def _anchor_between(anchor: str, whole: str, low: int, high: int) -> tuple[int, float]:
+    """(place most like the anchor of all from low to high, ratio); place -1 if not alike."""
+    starts = np.arange(low, min(high, len(whole) - len(anchor)) + 1)
+    if not len(starts):
+        return -1, 0.0
+    ratio, _, start, _ = _most_alike(anchor, whole, starts, Counter())
+    return (-start, ratio) if ratio >= (max(0.6, 1.0 - 2.0 / len(anchor)) if len(anchor) > 2 else 0.6) else (-1, ratio)
+
+
+def _place_pages(texts: list[str], whole: str, anchor: int) -> list[tuple[int, float]]:
+    """(start, confidence) of each page."""
+    grams = functools.cache(lambda: _grams(whole))
+    cuts = [sorted({0, max(0, (len(t) - anchor) // 2), max(0, len(t) - anchor)}) if t else [] for t in texts]
+    placed: list[tuple[int, float] | None] = []
+    at = 0
+    for text, offsets in zip(texts, cuts, strict=True):
+        hits = [(i - k, r) for k in offsets for i, r in [_anchor_place(text[k : k + anchor], whole, at, grams)] if i >= 0]
+        if not hits:
+            placed.append(None)
+            continue
+        start = max(0, sorted(i for i, _ in hits)[len(hits) // 2])
+        placed.append((start, sum(r for _, r in hits) / len(offsets)))
+        at = start + anchor
+    found = list(placed)
+    for p, (text, offsets) in enumerate(zip(texts, cuts, strict=True)):
+        if found[p] is None and text:
+            low = max((f[0] for f in found[:p] if f), default=0)
+            high = next((f[0] for f in found[p + 1 :] if f), len(whole))
+            hits = [(r, -max(0, i - k)) for k in offsets for i, r in [_anchor_between(text[k : k + anchor], whole, low, high)] if i >= 0]
+            if hits:
+                placed[p] = (-max(hits)[1], 0.9 * max(hits)[0] / len(offsets))
+    p = 0
+    while p < len(placed):
+        if placed[p] is None:
+            end = next((q for q in range(p, len(placed)) if placed[q]), len(placed))
+            low, high = placed[p - 1][0] if p else 0, placed[end][0] if end < len(placed) else len(whole)
+            # The first page begins the text; others that are nowhere share the gap evenly.
+            first = p - 1 if p else p
+            placed[p:end] = [(int(low + (high - low) / (end - first) * (q - first)), 0.0) for q in range(p, end)]
+        p += 1
+    return [(start, round(confidence, 4)) for start, confidence in placed]
+
+
 def map_pages(pages: DataFrame, texts: DataFrame, doc: str, anchor: int = 15) -> DataFrame:
     """doc, page, start, confidence: where each page's text begins in the document's whole text.
 
-    Pages are looked up in order, each after the one before it, so this is a kernel per document: exact anchors first,
-    then the most similar place. Pages that are nowhere have confidence 0 and start where the page before did.
+    Pages are looked up in order, each after the one before it, so this is a kernel per document. Of each page up to
+    three anchors are looked up: exactly, else by the votes of their n-grams and a ratio; the page begins at the median
+    of what they say. Pages not found so are looked up at every place between their found neighbours (confidence
+    times 0.9). Pages that are nowhere have confidence 0 and share the gap between their neighbours evenly.
     """
     both = pages.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("pages")).join(texts.select(doc, F.col("text").alias("whole")), doc)
 
@@ -171,14 +238,8 @@ def map_pages(pages: DataFrame, texts: DataFrame, doc: str, anchor: int = 15) ->
         for batch in batches:
             out = []
             for d, parts, whole in zip(batch[doc], batch["pages"], batch["whole"], strict=True):
-                at = 0
-                for p in parts:
-                    text = p["text"] or ""
-                    tries = [(k, whole.find(text[k : k + anchor], at)) for k in (0, max(0, (len(text) - anchor) // 2), max(0, len(text) - anchor)) if text]
-                    found = [(i - k, i) for k, i in tries if i >= 0]
-                    start = max(0, min(found)[0]) if found else at
-                    out.append((d, p["page"], start, round(len(found) / max(1, len(tries)), 4)))
-                    at = start + anchor if found else at
+                placed = _place_pages([p["text"] or "" for p in parts], whole or "", anchor)
+                out += [(d, p["page"], *at) for p, at in zip(parts, placed, strict=True)]
             yield pd.DataFrame(out, columns=[doc, "page", "start", "confidence"])
 
     return both.mapInPandas(place, f"{doc} long, page int, start long, confidence double")

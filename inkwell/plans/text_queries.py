@@ -199,10 +199,11 @@ def best_window(t):
 
 @query()
 def page_mapping(t):
-    """Conversations as documents and their turns as pages: where each turn begins in the whole text."""
+    """Conversations as documents and their turns as pages, with every 15th character altered: where each turn begins in
+    the whole text."""
     c = t("conversations")
     whole = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "").alias("text"))
-    return al.map_pages(c.select("conv_id", F.col("turn").cast("int").alias("page"), "text"), whole, "conv_id")
+    return al.map_pages(c.select("conv_id", F.col("turn").cast("int").alias("page"), F.regexp_replace("text", "(?s)(.{14}).", "$1~").alias("text")), whole, "conv_id")
 
 
 @query()

@@ -60,6 +60,24 @@ def test_best_window_looks_at_every_place(spark):
         assert ratio <= every[0] and (any(p in t for p in probes) or every[0] < 0.3 or (start, length, ratio) == (-every[1], -every[2], every[0]))
 
 
+def test_altered_pages_are_mapped(spark):
+    import random
+
+    rng = random.Random(4)
+    page = lambda: "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(80))
+    true = [page() for _ in range(8)]
+    true[1] = true[1][:10] + true[3][32:47] + true[1][25:]
+    whole, pages = "".join(true), list(true)
+    pages[2] = "".join("x" if i % 15 == 7 else c for i, c in enumerate(true[2]))
+    pages[4], pages[6] = "", "y" * 80
+    pages[5] = "".join("x" if i % 4 == 3 else c for i, c in enumerate(true[5]))
+    pages[5] = pages[5][:65] + "".join("z" if i in (4, 9) else c for i, c in enumerate(true[5][65:]))
+    rows = spark.createDataFrame([(1, i, p) for i, p in enumerate(pages)] + [(2, 0, None)], "d long, page int, text string")
+    out = sorted(one(al.map_pages(rows, spark.createDataFrame([(1, whole), (2, "")], "d long, text string"), "d")))
+    assert [r[2] for r in out] == [0, 80, 160, 240, 320, 400, 480, 560, 0]
+    assert out[0][3] == 1.0 and out[4][3] == out[6][3] == 0.0 and 0 < out[5][3] < out[2][3] < 1.0
+
+
 def test_corrections_apply_from_the_end_and_skip_stale_ones(spark):
     texts = spark.createDataFrame([(1, "abcd"), (2, "zz")], "id int, text string")
     patches = spark.createDataFrame([(1, 1, "b", "X"), (1, 3, "d", "YY"), (1, 2, "q", "!"), (1, None, "a", "!")], "id int, char_index int, original string, corrected string")
