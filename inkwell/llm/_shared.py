@@ -60,30 +60,73 @@ def keep_rows(rows: DataFrame, keys: DataFrame, key: str, how: str = "left_semi"
     return rows.join(F.broadcast(keys) if keys.count() <= most else keys, key, how)
 
 
-def tidy(task: Callable) -> Callable:
-    """For functions that run on partitions or groups: give freed memory back to the system once done. Python workers
-    live on between tasks, and what they hold on to counts against their executor."""
+def text_key(text: str) -> Column:
+    """What tells rows of one id apart: a hash of the text (null as empty)."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
-    def give_back() -> None:
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+
+def shared_ids(rows: DataFrame, id_col: str, mark: str) -> DataFrame:
+    """The ids that rows of different `mark` share, with their number of rows as n (staged)."""
+    counted = rows.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.count(F.lit(1)).alias("n"))
+    return staged(counted.where("low <> high").select(id_col, "n"), "shared-ids")
+
+
+def with_tie(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """rows with `tie`, so that (id, tie) names what a row holds: 0 where an id is that of one text alone, else the
+    text's key. Null ids always have a key."""
+    rows = rows.withColumn("tie_", text_key(text_col))
+    shared = shared_ids(rows, id_col, "tie_")
+    tie = F.when(F.col(id_col).isNull(), F.col("tie_"))
+    n = shared.count()
+    if n:
+        shared = shared.withColumn("shared_", F.lit(True))
+        tie = tie.when(F.col("shared_"), F.col("tie_"))
+        rows = rows.join(F.broadcast(shared.drop("n")), id_col, "left") if n <= 2_000_000 else join_skewed(rows, shared, id_col, rows.count(), "tie_", how="left")
+    return rows.withColumn("tie", tie.otherwise(0)).drop("tie_", "shared_")
+
+
+#: What a Python worker keeps between tasks, by name.
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable):
+    """The worker's own `name`, made at first use. Tasks of another kind drop it (see tidy)."""
+    if name not in _HELD:
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def release(keep: str) -> None:
+    """Drop what the worker holds but for names that begin with `keep`, and give freed memory back to the system."""
+    for name in [n for n in _HELD if not keep or not n.startswith(keep)]:
+        del _HELD[name]
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(task: Callable | None = None, keep: str = "") -> Callable:
+    """For functions that run on partitions or groups: give memory back before and after. Python workers live on
+    between tasks, and what they hold on to counts against their executor. `keep` names what stays for the next task."""
+    if task is None:
+        return functools.partial(tidy, keep=keep)
 
     @functools.wraps(task)
     def partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release(keep)
         yield from task(batches)
-        give_back()
+        release(keep)
 
     @functools.wraps(task)
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         out = task(rows)
-        give_back()
+        release(keep)
         return out
 
     @functools.wraps(task)
     def cogroup(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = task(left, right)
-        give_back()
+        release(keep)
         return out
 
     if "batches" in task.__annotations__:

@@ -5,14 +5,15 @@ Documents are range-partitioned and sorted by the order columns, so that the fil
 block, and the documents' ids and lengths. Records are numbered within their file part; a document's global start is
 what the earlier parts and records hold, which the reader sums from the records' totals.
 
-The tokenizer encodes each distinct piece once: texts are cut where its own pre-tokenizer always cuts, and only for
-texts of characters on which that is certain; any other text goes through the tokenizer whole.
+The tokenizer's model encodes each distinct piece once: texts are cut where its own pre-tokenizer always cuts, and only
+texts of characters on which that is certain; any other text goes through the tokenizer whole. Cutting and looking up
+are numpy over a million characters at a time. Pieces are told apart by 64-bit hashes of their characters and length:
+with MOST_PIECES of them the chance that any two agree is below 1 in 10^7.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,16 +24,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from ._shared import chunked, shared_dir, tidy
+from ._shared import _BASE, _BASE_INVERSE, _powers, chunked, held, mix64, shared_dir, tidy
 
 END_ID = 2
 RECORD_CHARS = 1_000_000
 RECORDS = "part int, seq int, n_docs int, n_ids long, doc_ids binary, nulls binary, lens binary, lens_at binary, words binary, words_at binary"
-#: The letters, numbers and white space among the characters that take the short way.
-LETTERS, NUMBERS, SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \t\n\r\x0b\x0c"
-PLAIN = re.compile("[\x00-\x7f¡-ɏ‐-‧₠-₿]*")
-PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-CACHED_PIECES = 450_000
+#: Pieces whose ids a worker keeps; beyond that the half that was not used for longest goes.
+MOST_PIECES = 1_000_000
+#: Letters, numbers, white space and all others among the characters that are cut here, as ranges.
+CLASSES = {
+    1: "AZ az ªª µµ ºº ÀÖ Øö øɏ",
+    2: "09 ²³ ¹¹ ¼¾",
+    3: "\t\r",
+    4: "\x00\x08 \x0e\x1f !/ :@ [` {\x7f ¡© «± ´´ ¶¸ »» ¿¿ ×× ÷÷ ‐‧ ₠₿",
+}
 
 
 def byte_letters() -> dict[int, str]:
@@ -42,23 +47,49 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class Pieces(dict):
-    """Numbers pieces as they come, and keeps the ids that the tokenizer's model gives each."""
+def class_table() -> np.ndarray:
+    """The class of each code point; 0 for those that are not cut here, as is the last for all beyond."""
+    out = np.zeros(ord("₿") + 2, np.uint8)
+    for kind, ranges in CLASSES.items():
+        for low, high in ranges.split(" "):
+            out[ord(low) : ord(high) + 1] = kind
+    out[32] = 3
+    return out
 
-    def __init__(self, model):
-        super().__init__()
-        self.tokenize, self.letters = model.tokenize, byte_letters()
-        self.flat, self.ends = array("I"), array("q", [0])
 
-    def __missing__(self, piece: str) -> int:
-        self.flat.extend([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
-        self.ends.append(len(self.flat))
-        n = self[piece] = len(self)
-        return n
+TABLE = class_table()
+
+
+def piece_starts(codes: np.ndarray, classes: np.ndarray, texts_at: np.ndarray) -> np.ndarray:
+    """Where pieces begin in the code points of many texts, which begin at texts_at.
+
+    A piece is a run of one class of characters. Of white space before other characters the last one is a piece of its
+    own, or the beginning of the next piece if it is a space. An apostrophe that begins a run (without a space) takes
+    along the s, t, m, d, re, ve or ll behind it.
+    """
+    n = len(codes)
+    edge = np.zeros(n + 1, bool)  # where texts begin and end
+    edge[texts_at] = edge[n] = True
+    starts = edge.copy()
+    starts[1:n] |= classes[1:] != classes[:-1]
+    begin = np.flatnonzero(starts[:n])
+    end = np.append(begin[1:], n)
+    space = (classes[begin] == 3) & ~edge[end]
+    starts[end[space] - 1] = True
+    starts[end[space & (codes[end - 1] == 32)]] = False
+    mark = (codes[begin] == 39) & (end - begin == 1) & starts[begin] & ~edge[end]
+    at = end[mark]
+    at = at[classes[at] == 1]
+    one = np.isin(codes[at], [ord(c) for c in "stmd"])
+    second = np.where(edge[at + 1], 0, codes[np.minimum(at + 1, n - 1)])
+    two = np.isin(codes[at] * 256 + second, [ord(a) * 256 + ord(b) for a, b in ("re", "ve", "ll")]) & (second < 256)
+    starts[at[one | two]] = False
+    starts[at[one] + 1] = starts[at[two] + 2] = True
+    return np.flatnonzero(starts[:n])
 
 
 class Encoder:
-    """Encodes texts with a byte-level BPE tokenizer file, keeping the ids of pieces seen before."""
+    """Encodes texts with a byte-level BPE tokenizer file, keeping the ids of pieces seen before by their hash."""
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
@@ -66,51 +97,93 @@ class Encoder:
         self.whole = Tokenizer.from_str(tokenizer_json)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         pre = self.whole.pre_tokenizer
-        self.short_way = self.whole.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex
-        self.pieces = Pieces(self.whole.model)
+        self.cuts = self.whole.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex
+        self.letters, self.tick = byte_letters(), 0
+        self.keys, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.at = self.n = self.used = np.zeros(0, np.int64)
+
+    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        """Keep the ids that the tokenizer's model gives pieces; keys are sorted and not yet kept."""
+        ends = np.cumsum([len(p.encode()) for p in pieces]).tolist()
+        shown, tokenize = "".join(pieces).encode().decode("latin-1").translate(self.letters), self.whole.model.tokenize
+        ids, n, a = array("I"), array("q"), 0
+        for b in ends:
+            found = [t.id for t in tokenize(shown[a:b])]
+            ids.extend(found)
+            n.append(len(found))
+            a = b
+        n = np.array(n, np.int64)
+        where = np.searchsorted(self.keys, keys)
+        self.at = np.insert(self.at, where, len(self.flat) + np.cumsum(n) - n)
+        self.n, self.used = np.insert(self.n, where, n), np.insert(self.used, where, self.tick)
+        self.keys, self.flat = np.insert(self.keys, where, keys), np.concatenate((self.flat, np.array(ids, np.uint32)))
+
+    def forget(self) -> None:
+        """Drop the half of the pieces that was not used for longest, but none of the last call's."""
+        keep = self.used >= min(self.tick, int(np.median(self.used)) + 1)
+        self.flat = _gathered(self.flat, self.at[keep], self.n[keep])
+        self.keys, self.n, self.used = self.keys[keep], self.n[keep], self.used[keep]
+        self.at = np.cumsum(self.n) - self.n
+
+    def cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(places of all pieces of the texts among those kept, pieces of each text)."""
+        joined = "".join(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.int64)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        if not joined:
+            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        at = piece_starts(codes, TABLE[codes], begin[sizes > 0])
+        end = np.append(at[1:], len(codes))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(codes)), dtype=np.uint64)))
+        hashes = mix64((sums[end] - sums[at]) * _powers(_BASE_INVERSE, len(codes))[at] + (end - at).astype(np.uint64))
+        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, keys)
+        new = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            self.learn(keys[new], [joined[a:b] for a, b in zip(at[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            place = np.searchsorted(self.keys, keys)
+        self.used[place] = self.tick
+        return place[inverse], np.diff(np.searchsorted(at, np.append(begin, len(codes))))
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by end_id; the texts' lengths with it)."""
-        if len(self.pieces) > CACHED_PIECES:
-            self.pieces = Pieces(self.whole.model)
-        number, rows, others = self.pieces.__getitem__, [], []
-        for i, t in enumerate(texts):
-            if self.short_way and PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special):
-                cut = PIECES.findall(t)
-                rows.append(np.fromiter(map(number, cut), np.int64, len(cut)))
-            else:
-                others.append(i)
-                rows.append(np.zeros(1, np.int64))
-        flat, ends = np.array(self.pieces.flat, np.uint32), np.array(self.pieces.ends, np.int64)
-        if others:  # as pieces of their own, behind the others
-            ids = [e.ids for e in self.whole.encode_batch_fast([texts[i] for i in others], add_special_tokens=False)]
-            for k, i in enumerate(others):
-                rows[i][0] = len(ends) - 1 + k
-            flat = np.concatenate((flat, *(np.array(x, np.uint32) for x in ids)))
-            ends = np.concatenate((ends, ends[-1] + np.cumsum([len(x) for x in ids])))
-        index = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        sizes = (ends[1:] - ends[:-1])[index]
-        upto = np.concatenate(([0], np.cumsum(sizes)))
-        found = flat[np.repeat(ends[index] - upto[:-1], sizes) + np.arange(upto[-1])]
-        lens = np.diff(upto[np.cumsum([len(r) for r in rows], dtype=np.int64)], prepend=0) + 1
-        out = np.empty(len(found) + len(texts), np.uint32)
-        last = np.cumsum(lens) - 1
-        mine = np.ones(len(out), bool)
-        mine[last] = False
-        out[mine], out[last] = found, end_id
-        return out, lens
-
-
-_ENCODERS: dict[str, Encoder] = {}
+        self.tick += 1
+        if len(self.keys) > MOST_PIECES:
+            self.forget()
+        sizes = np.array([len(t) for t in texts], np.int64)
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        odd = np.bincount(np.repeat(np.arange(len(texts)), sizes)[TABLE[np.minimum(codes, len(TABLE) - 1)] == 0], minlength=len(texts)) > 0
+        del codes
+        short = [i for i, t in enumerate(texts) if self.cuts and not odd[i] and not any(s in t for s in self.special)]
+        others = sorted(set(range(len(texts))) - set(short))
+        place, counts = self.cut([texts[i] for i in short])
+        flat, at, n = self.flat, self.at[place], self.n[place]
+        held = np.concatenate(([0], np.cumsum(n)))
+        lens = np.zeros(len(texts), np.int64)
+        lens[short] = np.diff(held[np.concatenate(([0], np.cumsum(counts)))])
+        whole = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast([texts[i] for i in others], add_special_tokens=False)] if others else []
+        lens[others] = [len(w) for w in whole]
+        ends = np.cumsum(lens + 1)
+        out = np.full(int(ends[-1]) if len(texts) else 0, end_id, np.uint32)
+        mine = np.zeros(len(out), bool)
+        for i in short:
+            mine[ends[i] - lens[i] - 1 : ends[i] - 1] = True
+        out[mine] = _gathered(flat, at, n)
+        for i, w in zip(others, whole, strict=True):
+            out[ends[i] - lens[i] - 1 : ends[i] - 1] = w
+        return out, lens + 1
+
+
+def _gathered(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The stretches of flat that begin at `at` and are n long, one after the other."""
+    before = np.cumsum(n) - n
+    return flat[np.repeat(at - before, n) + np.arange(int(n.sum()))]
 
 
 def encoder_for(tokenizer_json: str) -> Encoder:
-    """The worker's encoder of a tokenizer file. It outlives tasks: a function of the module is looked up in the
-    worker, where a nested one would bring an empty table along."""
-    key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(tokenizer_json)
-    return _ENCODERS[key]
+    """The worker's encoder of a tokenizer file, kept until a task of another kind runs there."""
+    return held(f"encoder {hashlib.sha256(tokenizer_json.encode()).hexdigest()}", lambda: Encoder(tokenizer_json))
 
 
 def write_tokens(docs: DataFrame, path: str, order: list[str], tokenizer_path: str, end_id: int = END_ID) -> None:
@@ -118,7 +191,7 @@ def write_tokens(docs: DataFrame, path: str, order: list[str], tokenizer_path: s
     with open(tokenizer_path, encoding="utf-8") as f:  # on the driver: executors need not have the file
         tokenizer_json = f.read()
 
-    @tidy
+    @tidy(keep="encoder")
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, seq = encoder_for(tokenizer_json), 0
         for batch in batches:
