@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,9 +20,11 @@ LOWER = UPPER.lower()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (local tests)."""
+    """The folder that driver and executors share; a temporary one only in local mode where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^,]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -40,26 +43,40 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def join_skewed(rows: DataFrame, counted: DataFrame, key: str, total: int, spread: str, parts: int = 10_000, salts: int = 64, how: str = "inner") -> DataFrame:
+def join_skewed(rows: DataFrame, counted: DataFrame, key: str, total: int, spread: str, parts: int = 20_000, how: str = "inner") -> DataFrame:
     """Join many rows with one row per key, where a key may hold a large part of all `total` rows.
 
     counted has the key, its number of rows as n, and what the join is to add (n is dropped). Keys with at least
     1/parts of all rows are hot; there are at most `parts` of them at any size, so their keys alone can be broadcast to
-    mark rows. Hot rows are dealt over `salts` copies of the key's row, by a hash of the column `spread`.
+    mark rows. A hot key's row has a copy for every 1/parts of all rows it holds (2 * parts copies in all at most), and
+    its rows are dealt over the copies by a hash of the column `spread`.
     """
     least = max(2, -(-total // parts))
-    hot = counted.where(F.col("n") >= least).select(key, F.lit(True).alias("hot_"))
+    copies = F.ceil(F.col("n") / least)
+    hot = counted.where(F.col("n") >= least).select(key, copies.alias("copies_"))
     marked = rows.join(F.broadcast(hot), key, "left")
-    marked = marked.withColumn("salt_", F.when(F.col("hot_"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop("hot_")
-    copies = F.when(F.col("n") >= least, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return marked.join(counted.withColumn("salt_", F.explode(copies)).drop("n"), [key, "salt_"], how).drop("salt_")
+    marked = marked.withColumn("salt_", F.coalesce(F.pmod(F.xxhash64(spread), F.col("copies_")), F.lit(0).cast("bigint"))).drop("copies_")
+    salts = F.when(F.col("n") >= least, F.sequence(F.lit(0).cast("bigint"), copies - 1)).otherwise(F.array(F.lit(0).cast("bigint")))
+    return marked.join(counted.withColumn("salt_", F.explode(salts)).drop("n"), [key, "salt_"], how).drop("salt_")
 
 
-def keep_rows(rows: DataFrame, keys: DataFrame, key: str, how: str = "left_semi", most: int = 2_000_000) -> DataFrame:
-    """Semi or anti join on one long column. keys is broadcast only if it has at most `most` rows, else shuffled."""
+def keep_rows(rows: DataFrame, keys: DataFrame, key: str | list[str], how: str = "left_semi", most: int = 2_000_000) -> DataFrame:
+    """Semi or anti join on one or more long columns. keys is broadcast only if it has at most `most` rows, else shuffled."""
     return rows.join(F.broadcast(keys) if keys.count() <= most else keys, key, how)
 
 
+#: Stands for a null id inside operators: pandas would turn ids beside nulls into floats, which lose digits.
+NO_ID = -(1 << 63)
+
+
+def id_in(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID)).alias("doc_id")
+
+
+def id_out(name: str = "doc_id") -> Column:
+    return F.nullif(F.col(name), F.lit(NO_ID)).alias("doc_id")
+
+
 def text_key(text: str) -> Column:
     """What tells rows of one id apart: a hash of the text (null as empty)."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
@@ -67,33 +84,33 @@ def text_key(text: str) -> Column:
 
 def shared_ids(rows: DataFrame, id_col: str, mark: str) -> DataFrame:
     """The ids that rows of different `mark` share, with their number of rows as n (staged)."""
-    counted = rows.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.count(F.lit(1)).alias("n"))
+    counted = rows.groupBy(id_col).agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.count(F.lit(1)).alias("n"))
     return staged(counted.where("low <> high").select(id_col, "n"), "shared-ids")
 
 
 def with_tie(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """rows with `tie`, so that (id, tie) names what a row holds: 0 where an id is that of one text alone, else the
-    text's key. Null ids always have a key."""
+    text's key."""
     rows = rows.withColumn("tie_", text_key(text_col))
     shared = shared_ids(rows, id_col, "tie_")
-    tie = F.when(F.col(id_col).isNull(), F.col("tie_"))
-    n = shared.count()
+    tie, n = F.lit(0).cast("bigint"), shared.count()
     if n:
         shared = shared.withColumn("shared_", F.lit(True))
-        tie = tie.when(F.col("shared_"), F.col("tie_"))
+        tie = F.when(F.col("shared_"), F.col("tie_")).otherwise(0)
         rows = rows.join(F.broadcast(shared.drop("n")), id_col, "left") if n <= 2_000_000 else join_skewed(rows, shared, id_col, rows.count(), "tie_", how="left")
-    return rows.withColumn("tie", tie.otherwise(0)).drop("tie_", "shared_")
+    return rows.withColumn("tie", tie).drop("tie_", "shared_")
 
 
-#: What a Python worker keeps between tasks, by name.
-_HELD: dict[str, object] = {}
+#: What a Python worker keeps between tasks, by name, with its version.
+_HELD: dict[str, tuple[str, object]] = {}
 
 
-def held(name: str, make: Callable):
-    """The worker's own `name`, made at first use. Tasks of another kind drop it (see tidy)."""
-    if name not in _HELD:
-        _HELD[name] = make()
-    return _HELD[name]
+def held(name: str, make: Callable, version: str = ""):
+    """The worker's own `name`, made at first use of a version. Tasks of another kind drop it (see tidy)."""
+    if name not in _HELD or _HELD[name][0] != version:
+        _HELD.pop(name, None)
+        _HELD[name] = version, make()
+    return _HELD[name][1]
 
 
 def release(keep: str) -> None:

@@ -38,13 +38,14 @@ def line_dedup(pages: DataFrame, ratio: float = 0.3, min_pages: int = 3, id_col:
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.lower(F.coalesce(F.regexp_extract(url_col, HOST, 1), F.lit(""))).alias("host"), page_lines(F.col(text_col), is_html).alias("lines"))
     totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    # lines of a host are told apart by 64-bit hashes
     seen = rows.select("host", F.explode(F.array_distinct("lines")).alias("line")).select("host", F.xxhash64("line").alias("line"))
     counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
     n_pages = pages.count()
     often = join_skewed(counts, totals.withColumn("all", F.col("n")), "host", n_pages, "line").where(F.col("pages") > ratio * F.col("all"))
     boiler = often.groupBy("host").agg(F.collect_set("line").alias("boiler"))
     by_host = totals.join(boiler, "host", "left")
-    out = join_skewed(rows, by_host, "host", n_pages, "page_id", how="left")
+    out = join_skewed(rows, by_host, "host", n_pages, "page_id", parts=100_000, how="left")
     kept = F.when(F.col("boiler").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("boiler", F.xxhash64(x))))
     out = out.select("page_id", "host", F.size("lines").alias("n_lines"), kept.alias("kept"))
     return out.select("page_id", "host", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
