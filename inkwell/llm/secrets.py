@@ -5,7 +5,11 @@ characters that mix letters and digits. For each the encoding is inferred (the s
 and uniformity over that alphabet is tested: chi-squared, runs about the alphabet's middle, and lag-one serial
 correlation, combined by Fisher's method. Benjamini-Hochberg is applied to all runs of one length class (short runs
 have weak tests, so they are not pooled with long ones): runs rejected as random at rate `fdr` are ordinary identifiers
-and go; the rest are added as spans of kind `random` where no base span overlaps them.
+and go; the rest are added as spans of kind `random` where no base span overlaps them. What is controlled is thus the
+share of random runs (keys) among those that go, not the share of identifiers among those that stay: that depends on
+the tests' power, which grows with a run's length.
+
+Every step is linear in a text's length but for running sums and maxima over its matches (n log n).
 
 The rejection threshold of a class comes from a histogram of -log2(p) in steps of 1/16, which is of bounded size and
 exact up to the step; the same steps decide at every size.
@@ -13,9 +17,13 @@ exact up to the step; the same steps decide at every size.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import staged
+
 #: The base patterns and, by group or length, what they need.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # AKIA[A-Z0-9]+ of 16 characters or more
@@ -36,25 +44,46 @@ LENGTHS, STEPS, MOST_STEPS = (20, 28, 40, 64, 128), 16, 4800
 KINDS = "assign:access:hex:random"
 
 
-def found(text: Column, pattern: str, kind: str, keep: str = "true", group: int = 0) -> Column:
-    """array<struct<start, rank, kind, end, hit>> of the matches for which `keep` (over the group, g) holds.
+def running(x: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """op over each element of an int array and all before it: in step k elements take in those 2^k before them."""
+
+    def step(acc: Column, k: Column) -> Column:
+        s = F.pow(F.lit(2), k).cast("int")
+        moved = F.concat(F.transform(F.slice(acc, F.lit(1), s), lambda _: F.lit(None).cast("int")), F.slice(acc, F.lit(1), F.size(acc) - s))
+        return F.when(s < F.size(acc), F.zip_with(acc, moved, lambda a, b: F.when(b.isNull(), a).otherwise(op(a, b)))).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(30)), x, step)
+
+
+def found(text: Column, pattern: str, kind: str, least: int = 0, group: int = 0) -> Column:
+    """array<struct<start, rank, kind, end, hit>> of the matches whose group has `least` characters or more.
 
-    The text split at the matches gives what lies between them, so lengths add up to code point offsets.
+    The text split at the matches gives what lies between them, so running sums of lengths are code point offsets.
     """
-    rank = KINDS.split(":").index(kind)
-    hits, gaps, groups = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), group)
-    parts = F.arrays_zip(F.transform(hits, F.char_length).alias("n"), F.slice(F.transform(gaps, F.char_length), F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"), groups.alias("g"))
-    folded = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int,hit:string,g:string>>)").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["n"]).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (acc["at"] + x["gap"] + x["n"]).alias("end"), x["hit"].alias("hit"), x["g"].alias("g"))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    none = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int,hit:string,g:string>>)")
-    return F.when(text.rlike(pattern), F.filter(folded, lambda x: x["g"].rlike(keep))).otherwise(none)
+    rank, none = KINDS.split(":").index(kind), F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int,hit:string>>)")
+    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 0).alias("hit"), F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), group).alias("g"))
+    parts = F.transform(F.filter(zipped, lambda x: x["hit"].isNotNull()), lambda x: F.struct(x["hit"].alias("hit"), F.char_length(x["hit"]).alias("n"), F.char_length(x["gap"]).alias("gap"), (F.char_length(x["g"]) >= least).alias("keep")))
+
+    def placed(p: Column) -> Column:
+        ends = running(F.transform(p, lambda x: x["gap"] + x["n"]), lambda a, b: a + b)
+        return F.zip_with(p, ends, lambda x, end: F.struct((end - x["n"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("hit"), x["keep"].alias("keep")))
+
+    kept = F.filter(F.transform(F.array(parts), placed)[0], lambda x: x["keep"])
+    return F.when(text.rlike(pattern), F.transform(kept, lambda x: F.struct(*(x[c].alias(c) for c in ("start", "rank", "kind", "end", "hit"))))).otherwise(none)
+
+
+def apart(base: Column, runs: Column) -> Column:
+    """The runs that no base span overlaps: with all in order of their starts, no earlier base span ends behind a run's
+    start, and no later one starts before its end."""
+    rank = KINDS.split(":").index("random")
+
+    def kept(s: Column) -> Column:
+        reach = running(F.transform(s, lambda x: F.when(x["rank"] < rank, x["end"]).otherwise(0)), F.greatest)
+        coming = F.reverse(running(F.reverse(F.transform(s, lambda x: F.when(x["rank"] < rank, x["start"]).otherwise((1 << 31) - 1))), F.least))
+        alone = F.filter(F.arrays_zip(s.alias("s"), reach.alias("reach"), coming.alias("coming")), lambda x: (x["s"]["rank"] == rank) & (x["reach"] <= x["s"]["start"]) & (x["coming"] >= x["s"]["end"]))
+        return F.transform(alone, lambda x: x["s"])
+
+    return F.when((F.size(base) == 0) | (F.size(runs) == 0), runs).otherwise(F.transform(F.array(F.array_sort(F.concat(base, runs))), kept)[0])
 
 
 def _tail(z: str) -> str:
@@ -66,7 +95,7 @@ def with_steps(runs: str) -> str:
     """SQL: the runs (array of structs with hit) with enc, a, codes and the test steps."""
     case = " ".join(f"when translate(r.hit, '{letters}', '') = '' then '{letters}'" for letters in ALPHABETS.values())
     coded = f"transform({runs}, r -> named_struct('start', r.start, 'end', r.end, 'letters', case {case} else '{ALPHABETS['base64']}-_' end, 'hit', r.hit))"
-    coded = f"transform({coded}, r -> named_struct('start', r.start, 'end', r.end, 'a', double(length(r.letters)), 'n', double(length(r.hit)), 'codes', transform(sequence(1, length(r.hit)), i -> double(locate(substr(r.hit, i, 1), r.letters) - 1))))"
+    coded = f"transform({coded}, r -> named_struct('start', r.start, 'end', r.end, 'a', double(length(r.letters)), 'n', double(length(r.hit)), 'codes', transform(split(r.hit, ''), c -> double(locate(c, r.letters) - 1))))"
     sums = (
         "transform({x}, r -> named_struct('start', r.start, 'end', r.end, 'a', r.a, 'n', r.n, 'codes', r.codes,"
         " 'chi', r.a / r.n * aggregate(array_distinct(r.codes), 0D, (s, c) -> s + pow(size(filter(r.codes, y -> y = c)), 2)) - r.n,"
@@ -102,10 +131,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     points in the whole text however long; an empty table gives an empty result; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.concat(found(text, ASSIGN, "assign", r"^.{8,}$", 2), found(text, ACCESS, "access", ""), found(text, HEX, "hex", "")).alias("base"), found(text, RUN, "random", "").alias("runs"))
-    rows = rows.withColumn("base", F.expr("array_sort(transform(base, b -> named_struct('start', b.start, 'rank', b.rank, 'kind', b.kind, 'end', b.end)))"))
-    rows = rows.withColumn("runs", F.expr("filter(runs, r -> not exists(base, b -> b.start < r.end and r.start < b.end))"))
-    rows = rows.withColumn("runs", F.expr("if(size(runs) = 0, null, " + with_steps("runs") + ")"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.concat(found(text, ASSIGN, "assign", 8, 2), found(text, ACCESS, "access"), found(text, HEX, "hex")).alias("base"), found(text, RUN, "random").alias("runs"))
+    rows = rows.select("doc_id", "base", apart(F.col("base"), F.col("runs")).alias("runs"))
+    bare = F.transform("base", lambda b: F.struct(*(b[c].alias(c) for c in ("start", "rank", "kind", "end"))))
+    rows = rows.select("doc_id", F.array_sort(bare).alias("base"), F.expr("if(size(runs) = 0, null, " + with_steps("runs") + ")").alias("runs"))
+    rows = staged(rows, "secret-spans")  # spans without texts: patterns and tests run once
 
     tested = rows.where("size(runs) > 0").selectExpr("inline(runs)").selectExpr(f"{length_class('n')} as class", "step")
     bins = tested.groupBy("class", "step").count()
