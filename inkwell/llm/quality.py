@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import chain, chunked, mix64, pack_frame, staged, tidy, unpack_frame
+from ._shared import chain, chunked, id_in, id_out, mix64, pack_frame, staged, text_key, tidy, unpack_frame
 
 ORDER = 4
 BLOCK_CHARS, CHUNK_CHARS = 32_000_000, 500_000
@@ -30,9 +30,13 @@ MOST_BROADCAST = 2_000_000
 
 
 def block_key(ids: pd.Series, texts: list[str]) -> int:
-    """Names a block by what it holds, so that two passes agree on it or fail to meet."""
-    h = xxhash.xxh64(ids.fillna(-1).astype("int64").to_numpy().tobytes())
-    h.update(np.array([len(t) for t in texts], np.int64).tobytes())
+    """Names a block by the ids and texts it holds, so that two passes agree on it or fail to meet. Blocks of the same
+    name hold the same."""
+    h = xxhash.xxh64(ids.to_numpy(np.int64).tobytes())
+    for t in texts:
+        raw = t.encode("utf-8", "surrogatepass")
+        h.update(len(raw).to_bytes(8, "little"))
+        h.update(raw)
     return h.intdigest() >> 1
 
 
@@ -51,6 +55,25 @@ def gram_hashes(texts: list[str], langs: list[str]) -> tuple[np.ndarray, np.ndar
     return chain(mix64(packed), salt[of[at]]), at, of[at]
 
 
+def tally(texts: list[str], train: np.ndarray, lang: str) -> tuple[list[str], np.ndarray]:
+    """The distinct n-grams of texts of one language and their counts in those to train on.
+
+    Chunks are merged as sorted hashes; only the distinct n-grams of all become strings, at the end.
+    """
+    keys, counts, letters = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, ORDER), "<u4")
+    for a, b in chunked(texts, CHUNK_CHARS):
+        hashes, at, of = gram_hashes(texts[a:b], [lang] * (b - a))
+        found, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        n = np.bincount(inverse, train[a:b][of], minlength=len(found)).astype(np.int64)
+        codes = np.frombuffer("".join(texts[a:b]).encode("utf-32-le", "surrogatepass"), "<u4")
+        merged, begin, back = np.unique(np.concatenate((keys, found)), return_index=True, return_inverse=True)
+        counts = np.bincount(back, np.concatenate((counts, n)), minlength=len(merged)).astype(np.int64)
+        letters = np.concatenate((letters, codes[at[first][:, None] + np.arange(ORDER)]))[begin]
+        keys = merged
+    joined = letters.tobytes().decode("utf-32-le", "surrogatepass")
+    return [joined[i : i + ORDER] for i in range(0, len(joined), ORDER)], counts
+
+
 def _blocks(batch: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
     texts = batch["text"].tolist()
     for a, b in chunked(texts, BLOCK_CHARS):
@@ -65,21 +88,10 @@ def block_grams(docs: DataFrame) -> DataFrame:
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, block in _blocks(batch):
-                held: dict[str, dict] = {}
                 for lang, docs_of in block.groupby("lang", sort=False):
-                    counts: dict[str, int] = held.setdefault(lang, {})
-                    texts, train = docs_of["text"].tolist(), docs_of["train"].to_numpy(bool)
-                    for a, b in chunked(texts, CHUNK_CHARS):
-                        hashes, at, of = gram_hashes(texts[a:b], [lang] * (b - a))
-                        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-                        n = np.bincount(inverse, train[a:b][of], minlength=len(first)).astype(np.int64)
-                        joined = "".join(texts[a:b])
-                        for i, c in zip(at[first].tolist(), n.tolist(), strict=True):
-                            g = joined[i : i + ORDER]
-                            counts[g] = counts.get(g, 0) + c
-                for lang, counts in held.items():
-                    if counts:
-                        yield pd.DataFrame({"block": key, "lang": lang, "gram": list(counts), "trusted": list(counts.values())})
+                    found, counts = tally(docs_of["text"].tolist(), docs_of["train"].to_numpy(bool), lang)
+                    if found:
+                        yield pd.DataFrame({"block": key, "lang": lang, "gram": found, "trusted": counts})
 
     return docs.mapInPandas(grams, "block long, lang string, gram string, trusted long")
 
@@ -91,7 +103,7 @@ def block_texts(docs: DataFrame) -> DataFrame:
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, block in _blocks(batch):
-                yield pd.DataFrame({"block": [key], "docs": [pack_frame(block[["doc_id", "lang", "text", "trusted"]])]})
+                yield pd.DataFrame({"block": [key], "docs": [pack_frame(block[["doc_id", "text_key", "lang", "text", "trusted"]])]})
 
     return docs.mapInPandas(pack, "block long, docs binary")
 
@@ -132,11 +144,12 @@ def model(counts: DataFrame) -> DataFrame:
 
 
 def perplexities(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, trusted, n_grams, logp of docs (doc_id, lang, text, trusted, train)."""
+    """doc_id, text_key, lang, trusted, n_grams, logp of docs (doc_id, lang, text, trusted, train)."""
+    docs = docs.withColumn("text_key", text_key("text"))
     grams = staged(block_grams(docs), "block-grams")
     probability = model(staged(grams.groupBy("lang", "gram").agg(F.sum("trusted").alias("c")), "gram-counts"))
     answers = grams.select("block", "lang", "gram").join(probability, ["lang", "gram"]).where("logp is not null")
-    schema = "doc_id long, lang string, trusted boolean, n_grams long, logp double"
+    schema = "doc_id long, text_key long, lang string, trusted boolean, n_grams long, logp double"
 
     @tidy
     def score(known: pd.DataFrame, packed: pd.DataFrame) -> pd.DataFrame:
@@ -158,7 +171,7 @@ def perplexities(docs: DataFrame) -> DataFrame:
                     there = hashes[place] == asked
                     n = np.bincount(of[there], minlength=b - a)
                     total = np.bincount(of[there], values[place[there]], minlength=b - a)
-                out.append(pd.DataFrame({"doc_id": block["doc_id"].to_numpy()[a:b], "lang": langs[a:b], "trusted": block["trusted"].to_numpy(bool)[a:b], "n_grams": n.astype(np.int64), "logp": total}))
+                out.append(pd.DataFrame({"doc_id": block["doc_id"].to_numpy()[a:b], "text_key": block["text_key"].to_numpy()[a:b], "lang": langs[a:b], "trusted": block["trusted"].to_numpy(bool)[a:b], "n_grams": n.astype(np.int64), "logp": total}))
         if not out:
             raise ValueError("a block's n-grams came without its texts: the input changed between two reads")
         return pd.concat(out)
@@ -167,7 +180,7 @@ def perplexities(docs: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.1, least_grams: int = 100, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per row of docs: doc_id, lang, n_grams, perplexity, threshold, keep.
+    """One row per row of docs: doc_id, text_key, lang, n_grams, perplexity, threshold, keep.
 
     Trusted are the documents labelled quality 1 and not toxic. A document is rejected if its perplexity exceeds the
     quantile of its language's held-out trusted documents times `slack`.
@@ -178,11 +191,14 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: f
     result; other columns are ignored.
     """
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("trusted")).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(good) if good.count() <= MOST_BROADCAST else good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    rows = docs.select(id_in(id_col), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
+    small = good.count() <= MOST_BROADCAST
+    rows = rows.join(F.broadcast(good) if small else good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    if not small:  # blocks are read twice, and a shuffle may deal rows out otherwise the second time
+        rows = staged(rows, "labelled-documents")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
     scored = perplexities(rows.withColumn("train", F.col("trusted") & ~held)).withColumn("perplexity", F.expr("if(n_grams > 0, exp(-logp / n_grams), null)"))
-    scored = staged(scored.select("doc_id", "lang", "trusted", "n_grams", "perplexity"), "perplexities")
+    scored = staged(scored.select("doc_id", "text_key", "lang", "trusted", "n_grams", "perplexity"), "perplexities")
     calibrate = scored.where(F.col("trusted") & held & (F.col("n_grams") >= least_grams))
     cut = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     by_lang = calibrate.groupBy("lang").agg(cut.alias("own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_HELD)
@@ -190,4 +206,4 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: f
     out = scored.join(F.broadcast(by_lang.select("lang", "own")), "lang", "left")  # one row a language
     threshold = F.coalesce("own", F.lit(overall).cast("double")) * slack
     judged = (F.col("n_grams") >= least_grams) & threshold.isNotNull()
-    return out.select("doc_id", "lang", "n_grams", "perplexity", threshold.alias("threshold"), (~judged | (F.col("perplexity") <= threshold)).alias("keep"))
+    return out.select(id_out(), "text_key", "lang", "n_grams", "perplexity", threshold.alias("threshold"), (~judged | (F.col("perplexity") <= threshold)).alias("keep"))
