@@ -5,35 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import letters, starts_of, stretches
 from .texts import occurrences
 
 
+#: Lengths of the headwords' beginnings that texts are looked up by, and headwords that may be broadcast.
+ANCHORS, MOST_BROADCAST = (1, 2, 4, 8, 16), 500_000
+
+
 def positions_of(text: Column, needle: Column) -> Column:
     """array<int>: starts of all occurrences of needle in text, overlaps included."""
-    n = F.char_length(text) - F.char_length(needle)
-    return F.when(n >= 0, F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.substring(text, i + 1, F.char_length(needle)) == needle)).otherwise(F.expr("cast(array() as array<int>)"))
+    return starts_of(text, needle, overlapping=True)
 
 
 def substring_join(texts: DataFrame, words: DataFrame, key: str, text_col: str = "text", word_col: str = "headword") -> DataFrame:
-    """key, headword, start, end of every occurrence of every headword, for headwords of two tokens or more.
+    """key, headword, start, end of every occurrence of every headword, overlaps included; empty headwords occur nowhere.
 
-    Instead of testing every text against every headword, the texts' pairs of neighbouring tokens meet the headwords'
-    first such pair in an equi-join; only texts that share it are searched. The last token of the pair may be cut
-    short in neither, so the pair is taken from inside: headwords need two tokens followed by more, or are looked up
-    by their first token alone.
+    No text is tested against every headword: headwords are keyed by their first characters, as many as the largest of
+    ANCHORS they have, and meet the distinct stretches of that length of each text in an equi-join, whatever the script.
+    Only texts that share the beginning are searched. The headwords' beginnings are broadcast while they are few.
     """
-    tokens = lambda c: F.split(c, r"\s+")
-    heads = words.select(F.col(word_col).alias("headword")).distinct().withColumn("t", tokens(F.col("headword")))
-    # the first and the last token may be parts of longer ones in a text, those between may not
-    anchor = F.when(F.size("t") >= 4, F.concat_ws(" ", F.element_at("t", 2), F.element_at("t", 3))).when(F.size("t") == 3, F.element_at("t", 2))
-    heads = heads.withColumn("anchor", anchor)
-    by_anchor = heads.where("anchor is not null")
-    grams = texts.select(key, F.explode(F.array_distinct(F.flatten(F.transform(F.array(tokens(F.col(text_col))), lambda t: F.concat(t, F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(t, i - 1), F.get(t, i)))))))).alias("anchor"))
-    pairs = grams.join(by_anchor.select("anchor", "headword"), "anchor").select(key, "headword").distinct()
-    short = heads.where("anchor is null").select("headword")
-    by_text = pairs.join(texts.select(key, text_col), key)
-    brief = texts.select(key, text_col).join(short, F.contains(F.col(text_col), F.col("headword"))).select(key, "headword", text_col)
-    found = by_text.select(key, "headword", text_col).unionByName(brief).where(F.contains(F.col(text_col), F.col("headword")))
+    size = F.lit(ANCHORS[0])
+    for n in ANCHORS[1:]:
+        size = F.when(F.char_length("headword") >= n, n).otherwise(size)
+    heads = words.select(F.col(word_col).alias("headword")).where("headword <> ''").distinct()
+    heads = heads.withColumn("n", size).withColumn("anchor", F.expr("left(headword, n)"))
+    used = sorted(r["n"] for r in heads.select("n").distinct().collect())  # at most as many as ANCHORS has
+    chars = texts.select(key, letters(F.coalesce(F.col(text_col), F.lit(""))).alias("chars"))
+    spread = F.array(*(F.struct(F.lit(n).alias("n"), F.array_distinct(stretches(F.col("chars"), n)).alias("anchors")) for n in used)) if used else F.expr("cast(array() as array<struct<n: int, anchors: array<string>>>)")
+    grams = chars.select(key, F.inline(spread)).select(key, "n", F.explode("anchors").alias("anchor"))
+    small = heads.count() <= MOST_BROADCAST
+    pairs = grams.join(F.broadcast(heads) if small else heads, ["n", "anchor"]).select(key, "headword")
+    found = pairs.join(texts.select(key, text_col), key).where(F.contains(F.col(text_col), F.col("headword")))
     out = found.select(key, "headword", F.explode(positions_of(F.col(text_col), F.col("headword"))).alias("start"))
     return out.withColumn("end", F.col("start") + F.char_length("headword") - 1)
 
@@ -75,8 +78,7 @@ def context_text(matches: DataFrame, group: str) -> DataFrame:
 
 def ngram_index(texts: DataFrame, key: str, n: int = 5, text_col: str = "text") -> DataFrame:
     """key, gram, positions of every character n-gram of each text."""
-    last = F.char_length(text_col) - n
-    grams = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(F.substring(text_col, i + 1, F.lit(n)).alias("gram"), i.alias("at"))))
+    grams = F.transform(stretches(letters(F.col(text_col)), n), lambda g, i: F.struct(g.alias("gram"), i.alias("at")))
     return texts.select(key, F.inline(grams)).groupBy(key, "gram").agg(F.array_sort(F.collect_list("at")).alias("positions"))
 
 
@@ -84,8 +86,7 @@ def anchor_votes(texts: DataFrame, anchors: DataFrame, key: str, n: int = 5, tex
     """key, est_start, votes: where the anchor of a text (key, anchor) would begin by each of its n-grams found there,
     with at least max(1, length div 2) votes, else the most voted place alone."""
     index = ngram_index(texts, key, n, text_col).select(key, "gram", F.explode("positions").alias("at"))
-    last = F.char_length("anchor") - n
-    grams = anchors.select(key, F.char_length("anchor").alias("len"), F.inline(F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(F.substring("anchor", i + 1, F.lit(n)).alias("gram"), i.alias("offset"))))))
+    grams = anchors.select(key, F.char_length("anchor").alias("len"), F.inline(F.transform(stretches(letters(F.col("anchor")), n), lambda g, i: F.struct(g.alias("gram"), i.alias("offset")))))
     votes = grams.join(index, [key, "gram"]).groupBy(key, (F.col("at") - F.col("offset")).alias("est_start")).agg(F.count(F.lit(1)).alias("votes"), F.max("len").alias("len"))
     best = votes.groupBy(key).agg(F.max(F.struct("votes", (-F.col("est_start")).alias("neg"))).alias("b"))
     rows = votes.join(best, key)

@@ -34,9 +34,17 @@ def as_of_link(later: DataFrame, earlier: DataFrame, group: str, ts: str, id_: s
 
 
 def ladder(commits: DataFrame, ts: str, id_: str, lane: str, step: int = 48, offset: int = 50) -> DataFrame:
-    """Rows newest first within each lane, with y = position * step + offset."""
-    w = Window.partitionBy(lane).orderBy(F.desc(ts), F.desc(id_))
-    return commits.select(lane, id_, ((F.row_number().over(w) - 1) * step + offset).cast("long").alias("y"))
+    """Rows newest first within each lane, with y = position * step + offset.
+
+    A lane may hold a large part of all rows, so rows are numbered within an hour, and the hours' counts add up to what
+    comes before: no window holds more than an hour's rows or a lane's hours.
+    """
+    rows = commits.select(lane, id_, ts, F.date_trunc("hour", ts).alias("hour"))
+    newer = Window.partitionBy(lane).orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(lane, "hour").agg(F.count(F.lit(1)).alias("n")).select(F.col(lane).alias("lane_"), F.col("hour").alias("hour_"), F.coalesce(F.sum("n").over(newer), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(lane, "hour").orderBy(F.desc(ts), F.desc(id_)))
+    rows = rows.withColumn("nth", inside).join(before, F.col(lane).eqNullSafe(F.col("lane_")) & F.col("hour").eqNullSafe(F.col("hour_")))
+    return rows.select(lane, id_, ((F.col("before") + F.col("nth") - 1) * step + offset).cast("long").alias("y"))
 
 
 def page_of(commits: DataFrame, group: str, ts: str, id_: str, offset: int, limit: int) -> DataFrame:

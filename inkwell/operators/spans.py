@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import letters, once, piece, running, starts_of
+
 
 def valid_span(start: Column, end: Column, n: Column) -> Column:
     """Spans inside a text of n characters, not reversed."""
@@ -48,12 +50,8 @@ def overlap_join_long(left: DataFrame, right: DataFrame, block: str, width: int)
 def split_sentences(text: Column, enders: str = "。？！") -> Column:
     """array<struct<id, start, end>>: a sentence ends with an ender; what follows the last one is a sentence too."""
     lengths = F.filter(F.transform(F.split(text, f"(?<=[{enders}])"), lambda s: F.char_length(s)), lambda n: n > 0)
-    empty = F.expr("cast(array() as array<struct<id: int, start: int, end: int>>)")
-    return F.aggregate(
-        lengths, F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], F.struct(F.size(acc["out"]).alias("id"), acc["at"].alias("start"), (acc["at"] + n - 1).alias("end"))).alias("out")),
-        lambda acc: acc["out"],
-    )
+    placed = lambda n: F.transform(F.arrays_zip(n.alias("n"), running(n).alias("to")), lambda x, i: F.struct(i.alias("id"), (x["to"] - x["n"]).alias("start"), (x["to"] - 1).alias("end")))
+    return F.when(text.isNotNull(), once(lengths, placed))
 
 
 def render_marks(texts: DataFrame, marks: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -66,12 +64,13 @@ def render_marks(texts: DataFrame, marks: DataFrame, key: str, text_col: str = "
     puts = marks.select(key, gap).groupBy(key).agg(F.array_sort(F.collect_list("g")).alias("puts"))
     n = F.char_length(text_col)
     valid = F.filter(F.coalesce("puts", F.expr("cast(array() as array<struct<gap: int, side: int, seq: int, put: string, start: int, end: int>>)")), lambda g: valid_span(g["start"], g["end"], n))
-    folded = F.aggregate(
-        valid, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, g: F.struct(g["gap"].cast("int").alias("at"), F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, g["gap"].cast("int") - acc["at"]), g["put"]).alias("out")),
-    )
-    rows = texts.join(puts, key, "left").withColumn("puts", valid)
-    return rows.select(key, F.when(F.size("puts") == 0, F.col(text_col)).otherwise(F.concat(folded["out"], F.substring(F.col(text_col), folded["at"] + 1, n))).alias("rendered"))
+    rows = texts.join(puts, key, "left").withColumn("puts", valid).withColumn("chars", F.when(F.size("puts") > 0, letters(F.col(text_col))))
+    # what lies between neighbouring gaps, each followed by what is put there
+    before = F.concat(F.array(F.lit(0)), F.transform("puts", lambda g: g["gap"].cast("int")))
+    parts = F.zip_with("puts", F.slice(before, F.lit(1), F.size("puts")), lambda g, at: F.concat(piece(F.col("chars"), at, g["gap"].cast("int") - at), g["put"]))
+    end = F.try_element_at(before, F.lit(-1))
+    done = F.concat(F.array_join(parts, ""), piece(F.col("chars"), end, F.size("chars") - end))
+    return rows.select(key, F.when(F.size("puts") == 0, F.col(text_col)).otherwise(done).alias("rendered"))
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -107,7 +106,5 @@ def renumber_after_split(blocks: DataFrame, splits: DataFrame) -> DataFrame:
 
 def nearest_occurrence(texts: DataFrame, needle: Column, hint: Column, text_col: str = "text") -> Column:
     """Start of the occurrence of needle closest to hint (the earlier of two as close); null if there is none."""
-    gaps = F.split(F.col(text_col), F.concat(F.lit("\\Q"), needle, F.lit("\\E")), -1)
-    n = F.char_length(needle)
-    starts = F.aggregate(F.slice(F.transform(gaps, lambda s: F.char_length(s)), 1, F.size(gaps) - 1), F.expr("cast(array() as array<int>)"), lambda acc, g: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)) + n, F.lit(0)) + g))
+    starts = starts_of(F.col(text_col), needle)
     return F.array_min(F.transform(starts, lambda s: F.struct(F.abs(s - hint).alias("far"), s.alias("start"))))["start"]

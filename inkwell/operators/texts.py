@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import starts_of
+
 HALF_WIDTH, FULL_WIDTH = ".,;:?!", "。，；：？！"
 
 
@@ -61,9 +63,7 @@ def apply_corrections(texts: DataFrame, corrections: DataFrame, key: str, text_c
 
 def occurrences(text: Column, needle: str) -> Column:
     """array<int>: starts of the non-overlapping occurrences of needle."""
-    gaps = F.split(text, f"\\Q{needle}\\E", -1)
-    step = len(needle)
-    return F.aggregate(F.slice(F.transform(gaps, lambda s: F.char_length(s)), 1, F.size(gaps) - 1), F.expr("cast(array() as array<int>)"), lambda acc, g: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)) + step, F.lit(0)) + g))
+    return starts_of(text, F.lit(needle))
 
 
 def search_char(texts: DataFrame, char: str, key: str, corrected: DataFrame | None = None, width: int = 5, text_col: str = "text") -> DataFrame:

@@ -105,6 +105,17 @@ def dict_substring_join(t):
     return di.substring_join(t("documents").select("doc_id", "text"), t("benchmark").select(F.col("text").alias("headword")), "doc_id")
 
 
+@query("""
+WITH w AS (SELECT DISTINCT unnest([left(text, 1), left(text, 2), 'ñ', 'qu']) AS headword FROM benchmark WHERE left(text, 1) <> substring(text, 2, 1))
+SELECT doc_id, headword, (length(text) - length(replace(text, headword, ''))) // length(headword) AS n FROM documents JOIN w ON contains(text, headword)
+""")
+def dict_short_headwords(t):
+    """Headwords of one and two characters, as in scripts without spaces."""
+    b = t("benchmark").where("left(text, 1) <> substring(text, 2, 1)")
+    words = b.select(F.explode(F.array(F.substring("text", 1, 1), F.substring("text", 1, 2), F.lit("ñ"), F.lit("qu"))).alias("headword")).distinct()
+    return di.substring_join(t("documents").select("doc_id", "text"), words, "doc_id").groupBy("doc_id", "headword").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""
 WITH m AS (SELECT b.text AS headword, d.doc_id AS block, instr(d.text, b.text) - 1 AS start FROM documents d JOIN (SELECT DISTINCT text FROM benchmark) b ON contains(d.text, b.text))
 SELECT headword, count(*) AS n, string_agg(block || ':' || start, ',' ORDER BY block, start) AS positions FROM m GROUP BY headword

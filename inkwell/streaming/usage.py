@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-stream-")
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="spark-stream-")
     return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -38,13 +42,14 @@ def first_within(events: DataFrame, keys: list[str], ttl: str = "10 minutes") ->
 
 
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Process all that is there and return the result table; state and results are in the shared folder."""
+    """Process all that is there and return the result table; state and results are in the shared folder. Every batch has
+    a folder of its own, so one that is run again replaces what it wrote."""
     spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
     out = f"{folder}/result"
 
     def save(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={n}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(save).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(out)
