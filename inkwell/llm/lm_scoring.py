@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import chain, chunked, mix64, pack_frame, staged, tidy, unpack_frame, word_hashes
+from ._shared import chain, chunked, id_in, id_out, mix64, pack_frame, staged, tidy, unpack_frame, word_hashes
 from .quality import block_key
 
 BLOCK_CHARS = 4_000_000
@@ -99,7 +99,7 @@ def lm_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, min_count: in
     score 0 and a null mean; repeated rows count as often as they stand; an empty table gives an empty result; other
     columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = docs.select(id_in(id_col), F.coalesce(text_col, F.lit("")).alias("text"))
     chars = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
     shard_bits = max(LEAST_SHARD_BITS, (chars // SHARD_CHARS).bit_length())
     schema = "doc_id long, n_words long, n_unigrams long, n_backed_off long, partial double"
@@ -149,4 +149,4 @@ def lm_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, min_count: in
     scored = staged(scored, "lm-partial-scores")
     words = float(scored.agg(F.sum("n_words")).first()[0] or 1)
     total = F.col("partial") - F.col("n_unigrams") * F.log(F.lit(words))
-    return scored.select("doc_id", "n_words", "n_backed_off", total.alias("score"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_score"))
+    return scored.select(id_out(), "n_words", "n_backed_off", total.alias("score"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_score"))

@@ -50,3 +50,15 @@ def test_repeated_rows_and_empty_table(spark):
     out = lm_scores(df.union(df)).collect()
     assert len(out) == 2 and all(math.isclose(r.score, brute([(1, "a b a b"), (2, "a b a b")], 2)[1][2]) for r in out)
     assert lm_scores(df.limit(0)).collect() == []
+
+
+def test_rows_of_one_id_and_equal_lengths_keep_their_own_scores(spark):
+    texts = ["a b c d", "e f g h", "a b c d", "x x x x", "c d a b"]
+    ids = [None, None, 7, 7, None]
+    df = spark.createDataFrame([(i, t) for i, t in zip(ids, texts)], "doc_id long, text string").repartition(5)
+    want = brute(list(enumerate(texts)), 2)
+    out = sorted((r.doc_id or -1, r.n_words, r.n_backed_off, round(r.score, 9)) for r in lm_scores(df).collect())
+    assert out == sorted((i or -1, *want[k][:2], round(want[k][2], 9)) for k, i in enumerate(ids))
+    big = (1 << 53) + 1  # an id that a float cannot hold, beside a null
+    df = spark.createDataFrame([(big, "a b"), (None, "a b")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in lm_scores(df).collect()} == {big, None}

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from inkwell.llm import _shared, decontaminate, exact_dedup
+from inkwell.llm import _shared, exact_dedup
 from inkwell.llm.components import components
 
 
@@ -27,17 +27,6 @@ def test_small_sides_beyond_the_bound_are_shuffled(spark, monkeypatch):
     assert sorted(map(str, exact_dedup.exact_dedup(docs).collect())) == small
 
 
-def test_item_shards_find_the_same_pairs(spark, monkeypatch):
-    rng = random.Random(4)
-    items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(20)) + ". " + f"a{i} b{i} c{i}.") for i in range(30)]
-    docs = spark.createDataFrame([(i, f"x y z {items[i % 30][1]} tail") for i in range(60)], "doc_id long, text string")
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    pairs = lambda: {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
-    whole = pairs()
-    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 7)
-    assert pairs() == whole == {(i, i % 30) for i in range(60)}
-
-
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(500, 499), (7, 7)]
     out = dict((r.node, r.component) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
