@@ -3,7 +3,7 @@
 A text is cut into sentences after . ! ? before white space, and at line breaks. From every sentence the shortest run
 forward, and the shortest run back, of at least `min_sentences` sentences and `min_words` words is hashed, and so is
 every sentence of at least STRETCH words by itself. Joined globally, a run's first place is the one with the smallest
-(doc_id, sentence); the sentences that any other place of it covers are removed. Runs in both directions cover every
+(doc_id, tie, sentence), tie telling texts of one id apart; the sentences that any other place of it covers are removed. Runs in both directions cover every
 sentence of a repeated passage that has at least 2 * min_words words in at least 2 * min_sentences whole sentences.
 
 Passages that begin or end within sentences are found by windows of WINDOW words, whatever the sentences: a window is
@@ -13,8 +13,9 @@ repeated STRETCH of words no later place stays whole; up to STRETCH - WINDOW wor
 
 Defined results: null and empty texts have no sentences and stay as they are; sentences and words compare lower-cased
 with white space collapsed; a sentence that loses some words counts as removed; a window's place that overlaps its
-first place loses the words beyond that only; a null doc_id comes before all others; rows that share a doc_id count as one document, and keep
-the same sentences; an empty table gives an empty result; other columns are ignored.
+first place loses the words beyond that only; a null doc_id comes before all others; rows that share a doc_id (or have
+none) are documents of their own where their texts differ, in the order of a hash of the text, and one document where
+their texts are equal: those keep the same sentences; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import _BASE, _BASE_INVERSE, _powers, chunked, join_skewed, mix64, staged, tidy, word_hashes
+from ._shared import _BASE, _BASE_INVERSE, _powers, chunked, id_in, id_out, join_skewed, mix64, staged, tidy, with_tie, word_hashes
 
 _CUT = re.compile(r"(\s*\n\s*|(?<=[.!?])\s+)")
 _WORD = re.compile(r"\S+")
@@ -93,19 +94,19 @@ def windows_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def sentence_spans(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
-    """doc_id, first, last, h of every run and window of docs (doc_id, text)."""
+    """doc_id, tie, first, last, h of every run and window of docs (doc_id, tie, text)."""
 
     @tidy
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, texts = batch["doc_id"], batch["text"].tolist()
+            ids, ties, texts = batch["doc_id"], batch["tie"].to_numpy(), batch["text"].tolist()
             for a, b in chunked(texts, 1_000_000):
                 of, first, last, h = runs_of(texts[a:b], min_sentences, min_words)
-                yield pd.DataFrame({"doc_id": ids.iloc[a + of].to_numpy(), "first": first, "last": last, "h": h})
+                yield pd.DataFrame({"doc_id": ids.iloc[a + of].to_numpy(), "tie": ties[a + of], "first": first, "last": last, "h": h})
                 of, word, h = windows_of(texts[a:b])
-                yield pd.DataFrame({"doc_id": ids.iloc[a + of].to_numpy(), "first": _WORDS + word, "last": _WORDS + word + WINDOW - 1, "h": h})
+                yield pd.DataFrame({"doc_id": ids.iloc[a + of].to_numpy(), "tie": ties[a + of], "first": _WORDS + word, "last": _WORDS + word + WINDOW - 1, "h": h})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(spans, "doc_id long, first int, last int, h long")
+    return docs.select("doc_id", "tie", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(spans, "doc_id long, tie long, first int, last int, h long")
 
 
 def uncovered(text: str | None, runs: list | None) -> tuple[int, int, str | None]:
@@ -134,17 +135,18 @@ def uncovered(text: str | None, runs: list | None) -> tuple[int, int, str | None
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 20) -> DataFrame:
     """One row per row of docs: doc_id, n_sentences, n_removed, text (what is left of it)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = with_tie(docs.select(id_in(id_col), F.col(text_col).alias("text")))
     spans = sentence_spans(docs, min_sentences, min_words)
-    counted = spans.groupBy("h").agg(F.min(F.struct("doc_id", "first")).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    place = F.struct("doc_id", "tie", "first")
+    counted = spans.groupBy("h").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
     counted = staged(counted, "repeated-spans")
     total = counted.agg(F.sum("n")).first()[0] or 0
-    later = join_skewed(spans, counted, "h", total, "doc_id").where(~F.struct("doc_id", "first").eqNullSafe(F.col("keep")))
+    later = join_skewed(spans, counted, "h", total, "doc_id").where(place != F.col("keep"))
     # A window that overlaps its own first place must not take words of that.
     after = F.col("keep.first") + WINDOW
-    same = (F.col("first") < 0) & F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (after > F.col("first"))
+    same = (F.col("first") < 0) & (F.col("doc_id") == F.col("keep.doc_id")) & (F.col("tie") == F.col("keep.tie")) & (after > F.col("first"))
     later = later.withColumn("first", F.when(same, after).otherwise(F.col("first")))
-    covered = later.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set(F.struct("first", "last")).alias("covered"))
+    covered = later.groupBy(F.col("doc_id").alias("of"), F.col("tie").alias("of_tie")).agg(F.collect_set(F.struct("first", "last")).alias("covered"))
 
     @tidy
     def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,5 +158,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 done.insert(0, "doc_id", batch["doc_id"].to_numpy()[a:b])
                 yield done
 
-    kept = docs.join(covered, docs["doc_id"].eqNullSafe(covered["of"]), "left").drop("of")
-    return kept.mapInPandas(rebuild, "doc_id long, n_sentences int, n_removed int, text string")
+    kept = docs.join(covered, (docs["doc_id"] == covered["of"]) & (docs["tie"] == covered["of_tie"]), "left").drop("of", "of_tie", "tie")
+    return kept.mapInPandas(rebuild, "doc_id long, n_sentences int, n_removed int, text string").withColumn("doc_id", id_out())

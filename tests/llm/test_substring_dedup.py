@@ -67,3 +67,16 @@ def test_no_fifty_words_of_an_earlier_document_stay_whole(spark):
     assert all(out[i].text == t for i, t in rows if i in (1, 3, 5, 7))
     assert " ".join(long) not in out[2].text and len(out[2].text.split()) == 49
     assert len(out[8].text.split()) == 26
+
+
+def test_rows_that_share_an_id_lose_only_their_own_sentences(spark):
+    rng = random.Random(12)
+    passage = lambda: " ".join(" ".join(f"u{rng.randrange(9000)}" for _ in range(11)) + "." for _ in range(6))
+    common, own, nulls = passage(), passage(), [passage() for _ in range(3)]
+    rows = [(1, common + " First tail."), (5, "Head. " + common), (5, own + " Last words here."), (5, own + " Last words here."), (None, nulls[0]), (None, nulls[1] + " " + nulls[0]), (None, nulls[2]), ((1 << 53) + 1, "Alone here."), (9, nulls[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = sorted((r.doc_id or -1, r.text) for r in substring_dedup(df).collect())
+    kept = lambda i: sorted(t for k, t in out if k == i)
+    assert kept(1) == [common + " First tail."] and kept(5) == sorted(["Head.", own + " Last words here.", own + " Last words here."])
+    assert nulls[2] in kept(-1) and kept((1 << 53) + 1) == ["Alone here."] and kept(9) == [""]
+    assert sorted(kept(-1)) in (sorted([nulls[0], nulls[1], nulls[2]]), sorted(["", nulls[1] + " " + nulls[0], nulls[2]]))
