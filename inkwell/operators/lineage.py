@@ -85,3 +85,13 @@ def as_of_version(versions: DataFrame, paths: DataFrame, at: int, key: str) -> D
     version then. versions: path, seq, content."""
     then = versions.where(F.col("seq") <= at).groupBy("path").agg(F.max_by("content", "seq").alias("content"))
     return paths.join(then, "path").groupBy(key).agg(F.min_by(F.struct("path", "content"), F.struct("priority", "path")).alias("b")).select(key, "b.path", "b.content")
+
+
+def paths_to_remove(now: DataFrame, then: DataFrame, path: str) -> DataFrame:
+    """What going back to an earlier state removes: paths that are there now and were not then."""
+    return now.select(path).distinct().join(then.select(path).distinct(), path, "left_anti")
+
+
+def blob_guards(size: Column, content: Column, most: int, binary: str) -> tuple[Column, Column]:
+    """Whether a file is too large to show, and whether it holds what text does not."""
+    return size > most, F.contains(content, F.lit(binary))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -117,9 +118,9 @@ def accept_drafts(rows: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
     return rows.join(picked, key, "left").withColumn("status", F.when(F.col("picked_") & (F.col("status") == "draft"), "accepted").otherwise(F.col("status"))).drop("picked_")
 
 
-def delete_at(rows: DataFrame, items: str, index: Column, guard: Column) -> DataFrame:
-    """rows without the item at an index of their array, where the guard (over x, the item) holds."""
-    return rows.withColumn(items, F.filter(items, lambda x, i: ~((i == index) & guard)))
+def delete_at(rows: DataFrame, items: str, index: Column, guard: Callable[[Column], Column]) -> DataFrame:
+    """rows without the item at an index (0-based) of their array, where the guard holds for it."""
+    return rows.withColumn(items, F.filter(items, lambda x, i: ~((i == index) & guard(x))))
 
 
 def collapse_empty(value: Column, leaves: list[str]) -> Column:

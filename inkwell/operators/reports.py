@@ -182,3 +182,20 @@ def layers_as_of(versions: DataFrame, path: str, block: Column, page: Column, cu
     now = now.withColumns({"page": page, "block": block})
     has_blocks = now.where("block is not null").select("page").distinct()
     return now.where("block is not null").unionByName(now.where("block is null").join(has_blocks, "page", "left_anti"))
+
+
+def import_stats(pages: DataFrame, source: str) -> DataFrame:
+    """source, pages_saved, chars, flagged (any page), page_count (the largest page), mean_chars of imported pages (page,
+    chars, flag)."""
+    return pages.groupBy(source).agg(F.count(F.lit(1)).alias("pages_saved"), F.sum("chars").alias("chars"), F.bool_or("flag").alias("flagged"), F.max("page").alias("page_count"), F.round(F.avg("chars"), 4).alias("mean_chars"))
+
+
+def holdings(rows: DataFrame, work: str, holder: str) -> DataFrame:
+    """work, n, holders: who holds a work, each once, in order of their names."""
+    return rows.groupBy(work).agg(F.count_distinct(holder).alias("n"), F.array_join(F.sort_array(F.collect_set(F.col(holder).cast("string"))), ",").alias("holders"))
+
+
+def dictionary_size(edges: DataFrame) -> DataFrame:
+    """size (characters that have variants) and pair_count (unordered pairs) of a symmetric dictionary."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    return both.agg(F.count_distinct("a").alias("size"), F.count_distinct(F.struct(F.least("a", "b"), F.greatest("a", "b"))).alias("pair_count"))

@@ -120,3 +120,16 @@ def distinct_matches(matches: DataFrame, keys: tuple[str, ...] = ("headword", "d
 
 def valid_id(value: Column, kind: str) -> Column:
     return F.coalesce(value.rlike(ID_PATTERNS[kind]), F.lit(False))
+
+
+def any_of(sets: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The keys that are in any of the sets, each once."""
+    out = sets[0].select(*keys)
+    for s in sets[1:]:
+        out = out.unionByName(s.select(*keys))
+    return out.distinct()
+
+
+def not_composed(blocks: DataFrame, composed: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks that no text block was made from yet."""
+    return blocks.join(composed.select(*keys).distinct(), keys, "left_anti")

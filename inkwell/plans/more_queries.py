@@ -9,6 +9,8 @@ from ..operators import dictionary as di
 from ..operators import layout as la
 from ..operators import lineage as li
 from ..operators import records as rc
+from ..operators import reports as rp
+from ..operators import selection as se
 from ..operators import spans as sp
 from ..operators import texts as tx
 from ..operators import usage as us
@@ -47,7 +49,7 @@ def block_text_cascade(t):
 @query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = d.doc_id % 2)")
 def uncomposed_blocks(t):
     done = t("labels").selectExpr("doc_id", "quality as page").distinct()
-    return t("documents").selectExpr("doc_id", "source", "cast(doc_id % 2 as int) as page").join(done, ["doc_id", "page"], "left_anti").select("doc_id", "source")
+    return se.not_composed(t("documents").selectExpr("doc_id", "source", "cast(doc_id % 2 as int) as page"), done, ["doc_id", "page"]).select("doc_id", "source")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'accepted' WHEN doc_id % 3 = 0 THEN 'draft' ELSE 'reviewed' END AS status FROM documents")
@@ -59,7 +61,7 @@ def drafts_accepted(t):
 @query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) FILTER (NOT (n = 2 AND role = 'user')) AS roles FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id")
 def delete_item(t):
     rows = t("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
-    rows = rows.select("conv_id", F.filter("roles", lambda x, i: ~((i == 1) & (x == "user"))).alias("roles"))
+    rows = rc.delete_at(rows, "roles", F.lit(1), lambda x: x == "user")
     return rows.select("conv_id", F.array_join("roles", ",").alias("roles"))
 
 
@@ -117,7 +119,8 @@ def adjacent_duplicates(t):
 
 @query("SELECT doc_id, n_chars > 5000 AS too_large, contains(text, '@@') AS is_binary FROM documents")
 def blob_guards(t):
-    return t("documents").select("doc_id", (F.col("n_chars") > 5000).alias("too_large"), F.contains("text", F.lit("@@")).alias("is_binary"))
+    large, binary = li.blob_guards(F.col("n_chars"), F.col("text"), 5000, "@@")
+    return t("documents").select("doc_id", large.alias("too_large"), binary.alias("is_binary"))
 
 
 @query("SELECT doc_id, length(text) - length(replace(text, 'q', '')) AS matches FROM documents WHERE contains(text, 'q')")
@@ -168,14 +171,12 @@ def iiif_flatten(t):
 
 @query("SELECT l_partkey, count(DISTINCT l_suppkey) AS n, string_agg(DISTINCT l_suppkey::VARCHAR, ',' ORDER BY l_suppkey::VARCHAR) AS holders FROM lineitem GROUP BY l_partkey")
 def holdings(t):
-    return t("lineitem").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("n"), F.array_join(F.sort_array(F.collect_set(F.col("l_suppkey").cast("string"))), ",").alias("holders"))
+    return rp.holdings(t("lineitem"), "l_partkey", "l_suppkey")
 
 
 @query("SELECT count(DISTINCT a) AS size, count(DISTINCT (least(a, b), greatest(a, b))) AS pair_count FROM (SELECT l_suppkey % 90 AS a, l_partkey % 90 AS b FROM lineitem UNION SELECT l_partkey % 90, l_suppkey % 90 FROM lineitem)")
 def variant_pair_count(t):
-    one = t("lineitem").selectExpr("l_suppkey % 90 as a", "l_partkey % 90 as b")
-    both = one.unionByName(one.selectExpr("b as a", "a as b")).distinct()
-    return both.agg(F.count_distinct("a").alias("size"), F.count_distinct(F.struct(F.least("a", "b"), F.greatest("a", "b"))).alias("pair_count"))
+    return rp.dictionary_size(t("lineitem").selectExpr("l_suppkey % 90 as a", "l_partkey % 90 as b"))
 
 
 @query("SELECT event_id, 'sha256:' || sha256(props) AS hash FROM events")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import lineage as li
 from ..operators import records as rc
+from ..operators import reports as rp
+from ..operators import selection as se
 from ..operators import usage as us
 from .registry import query
 
@@ -51,7 +53,7 @@ def translation_drift(t):
 
 
 @query("""
-WITH b AS (SELECT o_orderkey AS id FROM orders WHERE o_custkey % 50 = 1),
+WITH b AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'P'),
 g AS (SELECT 1000000000 + l_orderkey * 10 + l_linenumber AS id, l_orderkey AS block_id FROM lineitem WHERE l_linenumber = 1),
 r AS (SELECT 2000000000 + l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber % 2 = 0 THEN l_orderkey ELSE 1000000001 + l_orderkey * 10 END AS subject_id, 3000000000 + l_partkey AS object_id, l_orderkey + 1 AS evidence FROM lineitem WHERE l_returnflag = 'R'),
 t AS (SELECT DISTINCT id FROM g WHERE block_id IN (SELECT id FROM b)),
@@ -61,7 +63,7 @@ SELECT 'block' AS kind, id FROM b UNION SELECT 'tag', id FROM t UNION SELECT 're
 """)
 def entity_one_hop(t):
     lines = t("lineitem")
-    blocks = t("orders").where("o_custkey % 50 = 1").select(F.col("o_orderkey").alias("id"))
+    blocks = t("orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"))
     tags = lines.where("l_linenumber = 1").selectExpr("1000000000 + l_orderkey * 10 + l_linenumber as id", "l_orderkey as block_id")
     rel = lines.where("l_returnflag = 'R'").selectExpr("2000000000 + l_orderkey * 10 + l_linenumber as id", "if(l_linenumber % 2 = 0, l_orderkey, 1000000001 + l_orderkey * 10) as subject_id", "3000000000 + l_partkey as object_id", "array(l_orderkey + 1) as evidence")
     return rc.one_hop(blocks, tags, rel)
@@ -79,23 +81,26 @@ def status_transitions(t):
 
 
 @query("""
-WITH p AS (SELECT DISTINCT p_brand AS type FROM part WHERE p_partkey % 4 = 0), c AS (SELECT DISTINCT p_brand AS type FROM part), h AS (SELECT DISTINCT p_brand AS type FROM part WHERE p_size = 7)
+WITH p AS (SELECT DISTINCT p_brand AS type FROM part WHERE p_size < 13), c AS (SELECT DISTINCT p_brand AS type FROM part), h AS (SELECT DISTINCT p_brand AS type FROM part WHERE p_size = 7)
 SELECT * FROM (SELECT type, 'preset' AS origin FROM p UNION ALL SELECT type, 'custom' FROM c WHERE type NOT IN (SELECT type FROM p)) WHERE type NOT IN (SELECT type FROM h)
 """)
 def visible_types(t):
     brand = lambda where: t("part").where(where).select(F.col("p_brand").alias("type")).distinct()
-    return rc.visible_types(brand("p_partkey % 4 = 0"), brand("true"), brand("p_size = 7"), "type")
+    return rc.visible_types(brand("p_size < 13"), brand("true"), brand("p_size = 7"), "type")
 
 
 @query("""
-WITH g AS (SELECT l_orderkey, l_suppkey % 40 AS c FROM lineitem WHERE l_orderkey % 25 = 0),
-m AS (SELECT DISTINCT a.c AS a, b.c AS b FROM g a JOIN g b ON a.l_orderkey = b.l_orderkey AND a.c < b.c),
-k AS (SELECT DISTINCT least(l_suppkey % 40, l_partkey % 40) AS a, greatest(l_suppkey % 40, l_partkey % 40) AS b FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 50 = 0)
+WITH m AS (SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey),
+f AS (SELECT l_orderkey, max(l_partkey) FILTER (l_linenumber = 1) AS x, max(l_partkey) FILTER (l_linenumber = 2) AS y FROM lineitem GROUP BY l_orderkey),
+k AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM f WHERE x IS NOT NULL AND y IS NOT NULL)
 SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.a = m.a AND k.b = m.b)
 """)
 def variant_bulk_import(t):
-    groups = t("lineitem").where("l_orderkey % 25 = 0").groupBy("l_orderkey").agg(F.collect_set(F.col("l_suppkey") % 40).alias("chars"))
-    return rc.variant_pairs(groups, "chars", t("lineitem").where("l_linenumber = 1 and l_orderkey % 50 = 0").selectExpr("l_suppkey % 40 as a", "l_partkey % 40 as b"))
+    """The parts of every order as a group of variants; pairs of first and second lines are known already."""
+    lines = t("lineitem")
+    at = lambda n: F.max(F.when(F.col("l_linenumber") == n, F.col("l_partkey")))
+    known = lines.groupBy("l_orderkey").agg(at(1).alias("a"), at(2).alias("b")).where("a is not null and b is not null")
+    return rc.variant_pairs(lines.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("chars")), "chars", known)
 
 
 EVENTS = "SELECT event_id, ts, user_id, event_type, value, 'Change L' || event_id % 5 || CASE WHEN event_id % 3 = 0 THEN ' punctuation' ELSE '' END || chr(10) || 'body' || chr(10) || CASE WHEN event_id % 4 = 0 THEN 'Based-On-Original: h' || event_id ELSE 'none' END AS message FROM events"
@@ -158,13 +163,14 @@ def dependency_rollup(t):
 
 
 @query("""
-WITH v AS (SELECT props AS path, event_id AS seq, value AS content FROM events), l AS (SELECT path, max_by(content, seq) AS content FROM v WHERE seq <= 5000 GROUP BY path),
+WITH v AS (SELECT props AS path, event_id AS seq, value AS content FROM events), l AS (SELECT path, max_by(content, seq) AS content FROM v WHERE seq <= (SELECT quantile_disc(event_id, 0.5) FROM events) GROUP BY path),
 p AS (SELECT DISTINCT user_id AS layer, props AS path, user_id % 3 AS priority FROM events)
 SELECT layer, min_by(path, (priority, path)) AS path, min_by(content, (priority, path)) AS content FROM p JOIN l USING (path) GROUP BY layer
 """)
 def layer_as_of_version(t):
     e = t("events")
-    return li.as_of_version(e.selectExpr("props as path", "event_id as seq", "value as content"), e.selectExpr("user_id as layer", "props as path", "user_id % 3 as priority").distinct(), 5000, "layer")
+    half = int(e.agg(F.percentile("event_id", 0.5)).first()[0])
+    return li.as_of_version(e.selectExpr("props as path", "event_id as seq", "value as content"), e.selectExpr("user_id as layer", "props as path", "user_id % 3 as priority").distinct(), half, "layer")
 
 
 LOG = "SELECT ts, CASE WHEN event_type = 'error' THEN 'error' ELSE 'call' END AS type, event_type AS provider, 'p' || user_id % 4 AS purpose, CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END AS cost FROM events"
@@ -227,17 +233,18 @@ def retryable_flag(t):
 SELECT source, count(*) AS pages_saved, sum(n_chars)::BIGINT AS chars, bool_or(contains(text, '!!')) AS shouting, max(doc_id) AS page_count, round(avg(n_chars), 4) AS mean_chars FROM documents GROUP BY source
 """)
 def import_stats(t):
-    return t("documents").groupBy("source").agg(F.count(F.lit(1)).alias("pages_saved"), F.sum("n_chars").alias("chars"), F.bool_or(F.contains(F.col("text"), F.lit("!!"))).alias("shouting"), F.max("doc_id").alias("page_count"), F.round(F.avg("n_chars"), 4).alias("mean_chars"))
+    pages = t("documents").select("source", F.col("doc_id").alias("page"), F.col("n_chars").alias("chars"), F.contains(F.col("text"), F.lit("!!")).alias("flag"))
+    return rp.import_stats(pages, "source").withColumnRenamed("flagged", "shouting")
 
 
 @query("SELECT doc_id FROM documents WHERE lang <> 'en' UNION SELECT doc_id FROM labels WHERE toxic = 1")
 def page_set_union(t):
-    return t("documents").where("lang <> 'en'").select("doc_id").union(t("labels").where("toxic = 1").select("doc_id")).distinct()
+    return se.any_of([t("documents").where("lang <> 'en'"), t("labels").where("toxic = 1")], ["doc_id"])
 
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def revert_path_set(t):
-    return t("documents").select("doc_id").exceptAll(t("labels").select("doc_id")).distinct()
+    return li.paths_to_remove(t("documents"), t("labels"), "doc_id")
 
 
 @query("""

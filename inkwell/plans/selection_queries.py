@@ -138,11 +138,11 @@ def annotation_migration(t):
 
 
 @query("""
-SELECT c_custkey AS id, c_name AS title FROM customer WHERE c_custkey % 2 = 0
-UNION ALL SELECT o_custkey, 'order ' || min(o_orderkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY o_custkey
+SELECT c_custkey AS id, c_name AS title FROM customer WHERE c_nationkey < 12
+UNION ALL SELECT o_custkey, 'order ' || min(o_orderkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) GROUP BY o_custkey
 """)
 def register_documents(t):
-    known = t("customer").where("c_custkey % 2 = 0").selectExpr("c_custkey as id", "c_name as title")
+    known = t("customer").where("c_nationkey < 12").selectExpr("c_custkey as id", "c_name as title")
     return st.register(known, t("orders").selectExpr("o_custkey as id", "concat('order ', o_orderkey) as title", "o_orderkey as pos"), "id")
 
 

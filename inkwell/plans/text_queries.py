@@ -135,24 +135,24 @@ def dict_export_dedup(t):
 
 
 @query("""
-WITH o AS (SELECT c_name AS headword, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS meaning FROM customer WHERE c_custkey % 2 = 0),
-n AS (SELECT c_name AS headword, 'in ' || c_mktsegment AS meaning, c_custkey AS pos FROM customer WHERE c_custkey % 5 < 3)
+WITH o AS (SELECT c_name AS headword, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS meaning FROM customer WHERE c_nationkey < 12),
+n AS (SELECT c_name AS headword, 'in ' || c_mktsegment AS meaning, c_custkey AS pos FROM customer WHERE c_nationkey > 6)
 SELECT o.headword, coalesce(nullif(o.meaning, ''), n.meaning, o.meaning) AS meaning, CASE WHEN n.headword IS NULL THEN 'kept' ELSE 'merged' END AS action FROM o LEFT JOIN n USING (headword)
 UNION ALL SELECT headword, meaning, 'added' FROM n WHERE headword NOT IN (SELECT headword FROM o)
 """)
 def dict_import_merge(t):
     c = t("customer")
-    old = c.where("c_custkey % 2 = 0").selectExpr("c_name as headword", "if(c_custkey % 3 = 0, '', c_mktsegment) as meaning")
-    return di.import_entries(old, c.where("c_custkey % 5 < 3").selectExpr("c_name as headword", "concat('in ', c_mktsegment) as meaning", "c_custkey as pos"), "merge")
+    old = c.where("c_nationkey < 12").selectExpr("c_name as headword", "if(c_custkey % 3 = 0, '', c_mktsegment) as meaning")
+    return di.import_entries(old, c.where("c_nationkey > 6").selectExpr("c_name as headword", "concat('in ', c_mktsegment) as meaning", "c_custkey as pos"), "merge")
 
 
 @query("""
-WITH o AS (SELECT c_name AS headword, c_mktsegment AS meaning FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT c_name AS headword, 'in ' || c_mktsegment AS meaning FROM customer WHERE c_custkey % 5 < 3)
+WITH o AS (SELECT c_name AS headword, c_mktsegment AS meaning FROM customer WHERE c_nationkey < 12), n AS (SELECT c_name AS headword, 'in ' || c_mktsegment AS meaning FROM customer WHERE c_nationkey > 6)
 SELECT headword, meaning, 'kept' AS action FROM o UNION ALL SELECT headword, meaning, 'added' FROM n WHERE headword NOT IN (SELECT headword FROM o)
 """)
 def dict_import_skip_existing(t):
     c = t("customer")
-    return di.import_entries(c.where("c_custkey % 2 = 0").selectExpr("c_name as headword", "c_mktsegment as meaning"), c.where("c_custkey % 5 < 3").selectExpr("c_name as headword", "concat('in ', c_mktsegment) as meaning", "c_custkey as pos"), "skip_existing")
+    return di.import_entries(c.where("c_nationkey < 12").selectExpr("c_name as headword", "c_mktsegment as meaning"), c.where("c_nationkey > 6").selectExpr("c_name as headword", "concat('in ', c_mktsegment) as meaning", "c_custkey as pos"), "skip_existing")
 
 
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id")
