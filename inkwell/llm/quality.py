@@ -179,14 +179,15 @@ def perplexities(docs: DataFrame) -> DataFrame:
     return answers.groupBy("block").cogroup(block_texts(docs).groupBy("block")).applyInPandas(score, schema)
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.1, least_grams: int = 100, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, width: float = 3.0, least_grams: int = 100, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of docs: doc_id, text_key, lang, n_grams, perplexity, threshold, keep.
 
     Trusted are the documents labelled quality 1 and not toxic. A document is rejected if its perplexity exceeds the
-    quantile of its language's held-out trusted documents times `slack`.
+    quantile of its language's held-out trusted documents (of least_grams n-grams or more) times exp(width / sqrt(n)),
+    n being its n-grams: the mean of few log-probabilities strays further.
 
-    Defined results: null text counts as empty, null lang as ''; texts with fewer than least_grams n-grams, and those
-    of a language without trusted text, are not judged and stay (perplexity null where there is none); repeated rows
+    Defined results: null text counts as empty, null lang as ''; texts without n-grams, and those of a language without
+    trusted text, are not judged and stay (perplexity null where there is none); repeated rows
     each have their own result and labels may repeat; without any labels all stay; an empty table gives an empty
     result; other columns are ignored.
     """
@@ -204,6 +205,6 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: f
     by_lang = calibrate.groupBy("lang").agg(cut.alias("own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_HELD)
     overall = calibrate.agg(cut).first()[0]
     out = scored.join(F.broadcast(by_lang.select("lang", "own")), "lang", "left")  # one row a language
-    threshold = F.coalesce("own", F.lit(overall).cast("double")) * slack
-    judged = (F.col("n_grams") >= least_grams) & threshold.isNotNull()
+    threshold = F.coalesce("own", F.lit(overall).cast("double")) * F.exp(width / F.sqrt(F.greatest("n_grams", F.lit(1))))
+    judged = (F.col("n_grams") > 0) & threshold.isNotNull()
     return out.select(id_out(), "text_key", "lang", "n_grams", "perplexity", threshold.alias("threshold"), (~judged | (F.col("perplexity") <= threshold)).alias("keep"))
