@@ -93,7 +93,16 @@ def page_boundaries(t):
     return la.midpoint_boundaries(anchors, "doc")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE b AS (SELECT page, pos % 2 AS class, row_number() OVER (PARTITION BY page, pos % 2 ORDER BY pos % 97 DESC, block) AS i, {{'id': block, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'a': (x2 - x1) * (y2 - y1)}} AS b FROM ({BLOCKS})),
+r(page, class, i, kept) AS (
+  SELECT page, class, i, [b] FROM b WHERE i = 1
+  UNION ALL
+  SELECT r.page, r.class, b.i, CASE WHEN len(list_filter(kept, lambda k: greatest(least(k.x2, b.b.x2) - greatest(k.x1, b.b.x1), 0) * greatest(least(k.y2, b.b.y2) - greatest(k.y1, b.b.y1), 0)
+    / (k.a + b.b.a - greatest(least(k.x2, b.b.x2) - greatest(k.x1, b.b.x1), 0) * greatest(least(k.y2, b.b.y2) - greatest(k.y1, b.b.y1), 0)) >= 0.3)) > 0 THEN kept ELSE list_append(kept, b.b) END
+  FROM r JOIN b ON b.page = r.page AND b.class = r.class AND b.i = r.i + 1)
+SELECT page, class, unnest(kept).id AS id FROM (SELECT page, class, max_by(kept, i) AS kept FROM r GROUP BY page, class)
+""")
 def nms(t):
     rows = boxes(t)[1].selectExpr("page", "pos % 2 as class", "block as id", "double(pos % 97) / 97 as conf", "x1", "y1", "x2", "y2")
     return la.non_max_suppression(rows, ["page", "class"], 0.3).select("page", "class", "id")

@@ -14,7 +14,7 @@ from ..operators import selection as se
 from ..operators import spans as sp
 from ..operators import texts as tx
 from ..operators import usage as us
-from .layout_queries import boxes
+from .layout_queries import LINES, boxes
 from .registry import query
 
 
@@ -110,7 +110,19 @@ def crop_boxes(t):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "b.*")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE l AS (SELECT page, id, min(x1) AS x1, min(y1) AS y1, min(x2) AS x2, min(y2) AS y2 FROM ({LINES}) GROUP BY page, id), x AS (SELECT *, -((x1 + x2) / 2) AS x FROM l),
+n AS (SELECT *, CASE WHEN x - lag(x) OVER w > 40 THEN 1 ELSE 0 END AS new FROM x WINDOW w AS (PARTITION BY page ORDER BY x, y1, id)),
+c AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY x, y1, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS col FROM n),
+b AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY col, y1, id) AS i, {{'id': id, 'conf': id % 97 / 97.0, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'a': (x2 - x1) * (y2 - y1)}} AS b FROM c),
+r(page, i, kept) AS (
+  SELECT page, i, [b] FROM b WHERE i = 1
+  UNION ALL
+  SELECT r.page, b.i, CASE WHEN NOT (least(kept[-1].a, b.b.a) > 0 AND greatest(least(kept[-1].x2, b.b.x2) - greatest(kept[-1].x1, b.b.x1), 0) * greatest(least(kept[-1].y2, b.b.y2) - greatest(kept[-1].y1, b.b.y1), 0) > 0.3 * least(kept[-1].a, b.b.a)) THEN list_append(kept, b.b)
+    WHEN b.b.conf > kept[-1].conf THEN list_append(kept[1:len(kept) - 1], b.b) ELSE kept END
+  FROM r JOIN b ON b.page = r.page AND b.i = r.i + 1)
+SELECT page, unnest(kept).id AS id FROM (SELECT page, max_by(kept, i) AS kept FROM r GROUP BY page)
+""")
 def adjacent_duplicates(t):
     lines = boxes(t)[0].groupBy("page", "id").agg(*(F.min(c).alias(c) for c in ("x1", "y1", "x2", "y2")))
     ranked = la.reading_order(lines, "page", 40.0).join(lines, ["page", "id"]).withColumn("conf", F.col("id") % 97 / 97.0)

@@ -208,16 +208,21 @@ def best_window(t):
     return rows.select("doc_id", F.col("start").alias("true_start"), "stop", "w.start", "w.length", F.round("w.ratio", 6).alias("ratio"))
 
 
-@query()
+@query("""
+SELECT conv_id, turn::INT AS page, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, true AS found FROM conversations
+""")
 def page_mapping(t):
     """Conversations as documents and their turns as pages, with every 15th character altered: where each turn begins in
     the whole text."""
     c = t("conversations")
     whole = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "").alias("text"))
-    return al.map_pages(c.select("conv_id", F.col("turn").cast("int").alias("page"), F.regexp_replace("text", "(?s)(.{14}).", "$1~").alias("text")), whole, "conv_id")
+    return al.map_pages(c.select("conv_id", F.col("turn").cast("int").alias("page"), F.regexp_replace("text", "(?s)(.{14}).", "$1~").alias("text")), whole, "conv_id").select("conv_id", "page", "start", (F.col("confidence") > 0.6).alias("found"))
 
 
-@query()
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), c AS (SELECT doc_id, i > 1 AND regexp_matches(line, '^[A-Z]') AS changed FROM l)
+SELECT doc_id, count(*) FILTER (NOT changed) AS unchanged, count(*) FILTER (changed) AS removed, count(*) FILTER (changed) AS added FROM c GROUP BY doc_id
+""")
 def line_diff(t):
     """Line changes between an item and its text in upper case from the second line on."""
     b = t("documents").select("doc_id", "text", F.regexp_replace("text", r"\n([A-Z])", "\n-$1").alias("new"))
@@ -230,14 +235,16 @@ def nfc_normalize(t):
     return t("documents").select("doc_id", al.nfc("text").alias("text"))
 
 
-@query()
+@query(r"""
+SELECT doc_id, md5(regexp_replace(text, '[.,;:!?]|\s', '', 'g')) AS clean_md5, len(regexp_extract_all(text, '[.,;:!?]')) AS n_marks, 0 AS n_glosses FROM documents
+""")
 def clean_text(t):
     """Texts without punctuation and white space, and the places of their marks."""
     rows = t("documents").select("doc_id", al.clean_text(F.col("text"), F.lit(".,;:!?")).alias("c"))
     return rows.select("doc_id", F.md5("c.clean").alias("clean_md5"), F.size("c.marks").alias("n_marks"), F.size("c.glosses").alias("n_glosses"))
 
 
-@query()
+@query("SELECT user_id, count(props) AS n FROM events GROUP BY user_id")
 def json_salvage(t):
     """Event properties wrapped in a fence, and arrays of them cut off."""
     e = t("events").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list("props")), ", ").alias("all"))
