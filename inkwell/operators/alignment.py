@@ -46,6 +46,26 @@ def align_chars(ocr: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([_pairs(a or "", b or "") for a, b in zip(ocr, ref, strict=True)])
 
 
+@F.pandas_udf(row_type(total="int", n_exact="int", n_insertion="int", n_deletion="int", mismatches=T.ArrayType(row_type(ocr="string", ref="string"))))
+def align_counts(ocr: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    """How many pairs align_chars gives, by kind, and the mismatched ones."""
+
+    def one(a: str, b: str) -> tuple:
+        exact = inserted = deleted = 0
+        wrong: list[tuple] = []
+        for op, i, j, k, m in difflib.SequenceMatcher(None, a, b).get_opcodes():
+            common = min(j - i, m - k)
+            if op == "equal":
+                exact += common
+            else:
+                wrong += zip(a[i : i + common], b[k : k + common], strict=True)
+                inserted += j - i - common
+                deleted += m - k - common
+        return exact + len(wrong) + inserted + deleted, exact, inserted, deleted, wrong
+
+    return pd.DataFrame([one(a or "", b or "") for a, b in zip(ocr, ref, strict=True)], columns=["total", "n_exact", "n_insertion", "n_deletion", "mismatches"])
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype=float)
@@ -83,6 +103,18 @@ def alignment_stats(pairs: DataFrame, group: str) -> DataFrame:
     return pairs.groupBy(group).agg(F.count(F.lit(1)).alias("total"), *(n(k) for k in ("exact", "variant", "mismatch", "insertion", "deletion")), F.round(F.coalesce(F.try_divide(right, F.count(F.lit(1))), F.lit(0.0)), 4).alias("accuracy"))
 
 
+def text_stats(rows: DataFrame, keys: list[str], variants: DataFrame) -> DataFrame:
+    """keys and alignment_stats of the texts ocr and ref of each row. Only mismatched pairs become rows, to meet the
+    variants (a, b, in either order)."""
+    v = variants.select(F.least("a", "b").alias("va"), F.greatest("a", "b").alias("vb")).distinct().withColumn("known", F.lit(True))
+    counted = rows.select(*keys, align_counts("ocr", "ref").alias("c")).select(*keys, "c.*").select(*keys, "total", "n_exact", "n_insertion", "n_deletion", F.explode_outer("mismatches").alias("m"))
+    low, high = F.least("m.ocr", "m.ref"), F.greatest("m.ocr", "m.ref")
+    met = counted.join(v, (low == F.col("va")) & (high == F.col("vb")), "left").groupBy(*keys)
+    out = met.agg(*(F.first(c).cast("bigint").alias(c) for c in ("total", "n_exact", "n_insertion", "n_deletion")), F.count_if(F.col("known")).alias("n_variant"), F.count_if(F.col("m").isNotNull() & F.col("known").isNull()).alias("n_mismatch"))
+    accuracy = F.round(F.coalesce(F.try_divide(F.col("n_exact") + F.col("n_variant"), F.col("total")), F.lit(0.0)), 4)
+    return out.select(*keys, "total", "n_exact", "n_variant", "n_mismatch", "n_insertion", "n_deletion", accuracy.alias("accuracy"))
+
+
 def _common(masks: dict[str, int], full: int, text: str) -> int:
     """Length of the longest common subsequence of text and the needle whose characters' places are masks."""
     v = full

@@ -130,8 +130,7 @@ def page_alignment(lines: DataFrame, refs: DataFrame, variants: DataFrame, page:
     window = of_block.join(clean, page).withColumn("w", al.best_window("ocr", "ref"))
     parts = window.select(page, block, "ocr", F.substring("ref", F.col("w.start") + 1, F.col("w.length")).alias("ref"))
     whole = se.joined_in_order(of_block, page, ["pos", block], "ocr").withColumnRenamed("text", "ocr").join(clean, page).select(page, F.lit("*").alias(block), "ocr", "ref")
-    pairs = parts.unionByName(whole).select(F.struct(page, block).alias("key"), F.explode(al.align_chars("ocr", "ref")).alias("p")).select("key", "p.*")
-    return al.alignment_stats(al.relabel_variants(pairs, variants), "key").select(f"key.{page}", f"key.{block}", "total", "n_exact", "n_variant", "n_mismatch", "n_insertion", "n_deletion", "accuracy")
+    return al.text_stats(parts.unionByName(whole), [page, block], variants)
 
 
 def sidecars(pages: DataFrame, page: str) -> DataFrame:

@@ -195,9 +195,9 @@ def align_pairs_stats(t):
     """Each conversation's turns against the turn before: kinds of pairs, with e and é as variants."""
     c = t("conversations")
     prev = c.selectExpr("conv_id", "turn + 1 as turn", "text as ref")
-    pairs = c.join(prev, ["conv_id", "turn"]).select((F.col("conv_id") * 100 + F.col("turn")).alias("pair"), F.inline(al.align_chars(F.col("text"), F.col("ref"))))
+    rows = c.join(prev, ["conv_id", "turn"]).select((F.col("conv_id") * 100 + F.col("turn")).alias("pair"), F.col("text").alias("ocr"), "ref")
     variants = t("conversations").sparkSession.createDataFrame([("e", "é"), ("a", "à"), ("u", "ü"), ("n", "ñ")], "a string, b string")
-    return al.alignment_stats(al.relabel_variants(pairs, variants), "pair")
+    return al.text_stats(rows, ["pair"], variants)
 
 
 @query()

@@ -4,6 +4,7 @@ from itertools import permutations
 from pyspark.sql import functions as F
 
 from inkwell.functions.arrays import running, starts_of
+from inkwell.operators import alignment as al
 from inkwell.operators import dictionary as di
 from inkwell.operators import flows as fl
 from inkwell.operators import parsing as pa
@@ -78,3 +79,14 @@ def test_columns_keep_their_order_on_ties_and_nulls(spark):
     assert [r[0] for r in rows_of(se.groups_in_columns(g, "page", "key").orderBy("rank").select("key"))] == [2, 1, 4, 3]
     blocks = spark.createDataFrame([(1, "x", None, 1, None), (1, "y", 2, 0, True), (1, "z", 1, 2, False)], "page int, block_id string, reading_order int, pos int, skip boolean")
     assert [r.block_id for r in se.by_reading_order(se.blocks_to_run(blocks), "page").orderBy("rank").collect()] == ["z", "x"]
+
+
+def test_counts_equal_the_pairs_they_stand_for(spark):
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("abcé") for _ in range(rng.randrange(0, 30))), "".join(rng.choice("abce") for _ in range(rng.randrange(0, 30)))) for i in range(80)] + [(99, None, "a"), (98, None, None)]
+    df = spark.createDataFrame(rows, "k int, ocr string, ref string")
+    variants = spark.createDataFrame([("e", "é"), ("é", "e"), ("a", "b")], "a string, b string")
+    pairs = df.select("k", F.explode(al.align_chars("ocr", "ref")).alias("p")).select("k", "p.*")
+    want = {r.k: tuple(r) for r in al.alignment_stats(al.relabel_variants(pairs, variants), "k").collect()}
+    got = {r.k: tuple(r) for r in al.text_stats(df, ["k"], variants).collect()}
+    assert len(got) == 82 and all(got[k] == v for k, v in want.items()) and got[98] == (98, 0, 0, 0, 0, 0, 0, 0.0)
