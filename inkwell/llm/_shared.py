@@ -35,9 +35,25 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders that this process has staged and not removed.
+_STAGED: list[str] = []
+
+
+def remove_staged(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the folders staged from the `since`th on, but for those that the tables in `keep` read. Results that were
+    not written yet can't be read any more."""
+    kept = {f.split("/part-")[0].rsplit("/", 1)[-1] for table in keep for f in table.inputFiles()}
+    for path in _STAGED[since:]:
+        if path.rsplit("/", 1)[-1] not in kept:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            _STAGED.remove(path)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Texts of ASCII alone take the fast built-in, which does the same on them."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

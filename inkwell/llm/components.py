@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import join_skewed, staged
+from ._shared import _STAGED, join_skewed, remove_staged, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,6 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each step stays in tables: no node's neighbours are gathered anywhere, and hubs are dealt out. It ends once every
     node points to the smallest of its component.
     """
+    spark, since = edges.sparkSession, len(_STAGED)
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     edges, seen = staged(edges, "edges"), None
     while True:
@@ -29,3 +30,4 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         small = join_skewed(large, least, "a", total, "b").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = staged(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        remove_staged(spark, since, (edges,))  # earlier rounds

@@ -11,11 +11,21 @@ symmetric difference, (m + n) * slack. The sizes decide how a set finds its part
 
 The boundary is where the enumerated subsets of the corpus' sizes would cost more than its segments.
 
-Documents with equal sets form one class first. Inside a list every class is paired with the list's smallest class
-only (its pivot), never all with all; lists that touch form a group with one pivot. Classes within the bound of their
-pivot are one component. What remains are links of classes away from it: a set is then described by its difference
-from the pivot, those differences (small, and rarely shared) are joined by prefix-filtered inverted lists in order of
-rising frequency, and every pair found is verified. No link between different texts is lost, and no bound caps lists.
+Documents with equal sets form one class first. A class is named by a doc_id of its own or, where it has none (null ids,
+ids that rows of different sets share), by eight bytes of its digest, chosen so that all names differ. Linked sets share
+not one list but many: at least as many as one of them uses beyond those in which they can differ. So lists are read
+once, in order of their keys:
+
+* a set that is sure of enough shared lists gives up its longest ones, in an order of lists that is the same for all
+  sets: a passage that many documents share makes long lists, but only a small part of a document's;
+* a short list gives its pairs, which are counted over all lists; pairs that share enough short lists are verified;
+* in a long list every class is paired with the list's smallest class only (its pivot), never all with all. Long lists
+  that touch form a group with one pivot. Classes within the bound of their pivot are one component. What remains are
+  links of classes away from it: a set is then described by its difference from the pivot, those differences (small,
+  and rarely shared) are joined by prefix-filtered inverted lists in order of rising frequency, and pairs are verified.
+
+A linked pair that shares too few short lists to be counted in shares a long one, so it is in one group. No link
+between different texts is lost, and no bound caps lists.
 """
 
 from __future__ import annotations
@@ -28,10 +38,10 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import chain, chunked, join_skewed, keep_rows, mix64, staged, tidy, word_hashes
+from ._shared import NO_ID, chain, chunked, id_in, id_out, join_skewed, keep_rows, mix64, shared_ids, staged, text_key, tidy, word_hashes
 from .components import components
 
 #: Cost of one key of a large set against one enumerated subset: it also leads to classes that don't link.
@@ -44,6 +54,11 @@ SPARE, SPARE_SHARE = 2, 0.35
 POPULAR = 500
 #: Groups of up to so many classes are compared pair by pair; larger ones go through lists.
 FEW = 8
+#: Lists of up to so many classes give all their pairs; of longer ones the members are paired with the smallest.
+SHORT = 8
+#: Share of the spare segments that a set must have left to give up its longest lists, and bounds of what tags hold.
+SURE_SHARE, SPARED_BITS, MOST_NEED = 0.7, 12, 1 << 14
+MOST_SPARED = (1 << SPARED_BITS) - 1
 
 
 class Bounds:
@@ -121,21 +136,29 @@ def shingle_sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def set_keys(tokens: np.ndarray, boundary: int, bounds: Bounds, edges: list[int], popular: np.ndarray) -> np.ndarray:
-    """The keys under which a set looks for partners; popular is sorted.
+def set_keys(tokens: np.ndarray, boundary: int, bounds: Bounds, edges: list[int], popular: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys under which a set looks for partners, and what it knows of each; popular is sorted.
 
     A segment tells if it has a shingle that is not popular. A set with more telling segments than can differ uses
-    those alone: one of them is equal in a linked set, and tells there too. Other sets use all segments that are not
-    empty, and the empty ones too if they have more of them than are spare. So linked sets always meet, and documents
-    that have just a popular passage in common do not.
+    those alone: as many of them as that are equal in a linked set, and tell there too. Other sets use all segments that
+    are not empty, and the empty ones too if they have more of them than are spare. So linked sets share at least `need`
+    keys, the smaller number of the two, and documents that have just a popular passage in common share none.
+
+    A telling set that is sure of `sure` shared keys in a scheme can do without its `spared` longest lists there, as
+    long as all sets agree on the order of lists: of the shared ones at most the `spared` longest are given up. What it
+    knows is tag_of(need, spared, scheme).
     """
-    n, out = len(tokens), []
+    n, keys, schemes = len(tokens), [], []
     if n <= boundary:
         mixed = mix64(tokens)
         whole = mixed.sum(dtype=np.uint64)
+        found = []
         for s, t, removed in bounds.subsets(n, boundary):
             gone = np.array([sum(int(mixed[i]) for i in c) % (1 << 64) for c in combinations(range(n), removed)], np.uint64)
-            out.append(mix64((whole - gone) ^ np.uint64((s << 20) + t)))
+            found.append(mix64((whole - gone) ^ np.uint64((s << 20) + t)))
+        if found:
+            keys.append(np.concatenate(found))
+            schemes.append((1, 0, 0))
     if bounds.largest(n) > boundary:
         k = int(np.searchsorted(edges, n, side="right")) - 1
         high = (tokens >> np.uint64(32)).astype(np.uint64)
@@ -145,95 +168,234 @@ def set_keys(tokens: np.ndarray, boundary: int, bounds: Bounds, edges: list[int]
             known = popular[np.minimum(np.searchsorted(popular, tokens), len(popular) - 1)] == tokens
         rare = np.concatenate(([0], np.cumsum(~known)))
         for scheme in (k, k + 1):
-            p = bounds.segments(edges, scheme)
+            p, damaged = bounds.segments(edges, scheme), bounds.damaged(edges, scheme)
             segment = ((high * np.uint64(p)) >> np.uint64(32)).astype(np.int64)
             cut = np.searchsorted(segment, np.arange(p + 1))
             telling = rare[cut[1:]] > rare[cut[:-1]]
             empty = cut[1:] == cut[:-1]
-            if telling.sum() > bounds.damaged(edges, scheme):
-                use = np.flatnonzero(telling)
+            sure = math.ceil(SURE_SHARE * (1 + bounds.spare(edges, scheme)))
+            if telling.sum() - damaged >= sure:
+                use, spared = np.flatnonzero(telling), min(sure // 2, MOST_SPARED)
+                need = sure - spared
+            elif telling.sum() > damaged:
+                use, spared = np.flatnonzero(telling), 0
+                need = len(use) - damaged
             else:
-                use = np.arange(p) if empty.sum() > bounds.spare(edges, scheme) else np.flatnonzero(~empty)
+                use, spared = np.arange(p) if empty.sum() > bounds.spare(edges, scheme) else np.flatnonzero(~empty), 0
+                need = len(use) - damaged
             content = sums[cut[use + 1]] - sums[cut[use]]
-            out.append(mix64(content + mix64((np.uint64(scheme) << np.uint64(32)) + use.astype(np.uint64) + np.uint64(1 << 63))))
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+            keys.append(mix64(content + mix64((np.uint64(scheme) << np.uint64(32)) + use.astype(np.uint64) + np.uint64(1 << 63))))
+            schemes.append((need, spared, scheme))
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    need = max(1, min(min(x for x, _, _ in schemes), MOST_NEED))
+    return np.concatenate(keys).view(np.int64), np.concatenate([np.full(len(k), tag_of(need, spared, scheme)) for k, (_, spared, scheme) in zip(keys, schemes, strict=True)])
+
+
+def tag_of(need: int, spared: int, scheme: int) -> int:
+    """need, spared and whether the scheme's number is odd (a set uses one of either kind) in one number."""
+    return ((need << SPARED_BITS) + spared << 1) + scheme % 2
+
+
+def listed(lists: DataFrame) -> DataFrame:
+    """key, node, n, tag of the rows of lists (key, node, tag, kind) in lists of two members or more; n is SHORT + 1
+    for all longer ones. Lists are read in one pass in order of their keys.
+
+    kind is 0 for a member, 1 for one of a list known to be long, 2 for a member of such a list that need not be looked
+    up: those are dealt by their nodes, all others by their keys."""
+
+    @tidy
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            done = batch[batch["kind"] == 2]
+            batch = batch[batch["kind"] != 2]
+            rows = [batch["key"].to_numpy(), batch["node"].to_numpy(), batch["tag"].to_numpy(), batch["kind"].to_numpy() == 1]
+            if rest is not None:
+                rows = [np.concatenate(pair) for pair in zip(rest, rows, strict=True)]
+            key = rows[0]
+            whole = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last list may go on
+            out = [_in_lists(*(r[:whole] for r in rows)), pd.DataFrame({"key": done["key"], "node": done["node"], "n": SHORT + 1, "tag": done["tag"]})]
+            rest = [r[whole:] for r in rows]
+            if len(rest[0]) > SHORT:  # known to be long by now: one member stays to say so
+                out.append(_in_lists(*(r[1:] for r in rest[:3]), np.ones(len(rest[0]) - 1, bool)))
+                rest = [r[:1] for r in rest[:3]] + [np.array([True])]
+            yield pd.concat(out, ignore_index=True)
+        if rest is not None:
+            yield _in_lists(*rest)
+
+    dealt = lists.repartition(F.when(F.col("kind") == 2, F.xxhash64("node")).otherwise(F.col("key")))
+    return dealt.sortWithinPartitions("key", "node").mapInPandas(read, "key long, node long, n int, tag int")
+
+
+def _in_lists(key: np.ndarray, node: np.ndarray, tag: np.ndarray, long: np.ndarray) -> pd.DataFrame:
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    size = np.diff(np.append(first, len(key)))
+    if len(key):
+        size = np.where(np.logical_or.reduceat(long, first), SHORT + 1, np.minimum(size, SHORT + 1))
+    n = np.repeat(size, np.diff(np.append(first, len(key))))
+    return pd.DataFrame({"key": key, "node": node, "n": n, "tag": tag})[n > 1]
 
 
 def _per_set(docs: DataFrame, width: int, schema: str, make) -> DataFrame:
-    """mapInPandas over docs (doc_id, text): make(ids, sets) gives the frame of a chunk."""
+    """mapInPandas over docs (with text): make(rows, sets) gives the frame of a chunk."""
 
     @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
             for a, b in chunked(texts, 4_000_000):
-                yield make(batch["doc_id"].iloc[a:b], list(shingle_sets(texts[a:b], width)))
+                yield make(batch.iloc[a:b], list(shingle_sets(texts[a:b], width)))
 
     return docs.mapInPandas(run, schema)
 
 
+def digest_of(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
+def _digest_name(at: int) -> Column:
+    """The name that eight bytes of a class's digest from `at` on give it."""
+    return F.conv(F.hex(F.substring("digest", at + 1, 8)), 16, -10).cast("long")
+
+
+def _names_from(classes: DataFrame) -> int:
+    """The first place in the digests from where eight bytes name all classes apart, beside those named by an id."""
+    named = classes.where("any_odd")
+    for at in range(9):
+        names = named.select(_digest_name(at).alias("x")).unionByName(classes.where("plain is not null").select(F.col("plain").alias("x")))
+        if names.groupBy("x").count().where("count > 1").isEmpty():
+            return at
+    raise ValueError("no eight bytes of the digests tell all classes apart")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 
     Defined results: null and empty texts, and texts of white space, have no shingles and link with nothing; texts with
-    fewer than `width` words have one shingle, their whole word sequence; repeated rows fall in one class; a null
-    doc_id never names a component unless all its class has none; an empty table gives an empty result.
+    fewer than `width` words have one shingle, their whole word sequence; repeated rows fall in one class; rows that
+    share a doc_id, or have none, link by their own texts; a null doc_id names a component only if all its rows have
+    none; an empty table gives an empty result; other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    return linked_rows(docs, id_col, text_col, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
+    """jaccard_components with text_key (of the row's text) and component, which is equal for rows that links connect
+    whatever their ids, and null for rows without shingles."""
+    docs = docs.select(id_in(id_col), F.coalesce(text_col, F.lit("")).alias("text"), text_key(text_col).alias("text_key"))
     bounds = Bounds(percent)
 
-    def digests(ids: pd.Series, sets: list[np.ndarray]) -> pd.DataFrame:
-        rows = pd.DataFrame({"popular": False, "id": ids.to_numpy(), "n": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]})
+    def digests(rows: pd.DataFrame, sets: list[np.ndarray]) -> pd.DataFrame:
+        out = pd.DataFrame({"popular": False, "id": rows["doc_id"].to_numpy(), "text_key": rows["text_key"].to_numpy(), "n": [len(s) for s in sets], "digest": [digest_of(s) for s in sets]})
         tokens, seen = np.unique(np.concatenate(sets), return_counts=True)
         often = seen >= max(4, 0.003 * len(sets))
         if not often.any():
-            return rows
-        return pd.concat((rows, pd.DataFrame({"popular": True, "id": tokens[often].view(np.int64), "n": seen[often], "digest": b""})), ignore_index=True)
-
-    both = staged(_per_set(docs, width, "popular boolean, id long, n long, digest binary", digests), "shingle-sets")
-    sets = both.where("not popular").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "digest")
-    classes = staged(sets.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("n")), "classes")
-    rows = sets.count()
+            return out
+        return pd.concat((out, pd.DataFrame({"popular": True, "id": tokens[often].view(np.int64), "text_key": 0, "n": seen[often], "digest": b""})), ignore_index=True)
+
+    both = staged(_per_set(docs, width, "popular boolean, id long, text_key long, n long, digest binary", digests), "shingle-sets")
+    sets = both.where("not popular").select(F.col("id").alias("doc_id"), "text_key", F.col("n").alias("n_shingles"), "digest")
+    shared = shared_ids(sets, "doc_id", "digest")
+    n_shared = shared.count()
+
+    def with_odd(rows: DataFrame, spread: str) -> DataFrame:
+        """Marks the rows whose doc_id does not name their set: null ids, and ids of several sets."""
+        odd = F.col("doc_id") == NO_ID
+        if not n_shared:
+            return rows.withColumn("odd", odd)
+        held = shared.withColumn("held_", F.lit(True))
+        rows = rows.join(F.broadcast(held.drop("n")), "doc_id", "left") if n_shared <= 2_000_000 else join_skewed(rows, held, "doc_id", n_rows, spread, how="left")
+        return rows.withColumn("odd", odd | F.col("held_").isNotNull()).drop("held_")
+
+    n_rows = sets.count()
+    sets = with_odd(sets, "text_key")
+    classes = sets.where("n_shingles > 0").groupBy("digest").agg(
+        F.min(F.when(~F.col("odd"), F.col("doc_id"))).alias("plain"), F.min(F.nullif(F.col("doc_id"), F.lit(NO_ID))).alias("rep"), F.bool_or("odd").alias("any_odd"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("n"),
+    )
+    classes = staged(classes, "classes")
+    any_odd = not classes.where("any_odd").isEmpty()
+    names_at = _names_from(classes) if any_odd else 0
     sizes = {r["size"]: r["count"] for r in classes.where(f"size <= {MOST_SMALL}").groupBy("size").count().collect()}
     boundary = choose_boundary(sizes, bounds)
-    known = both.where("popular").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= max(4, rows // POPULAR))
+    known = both.where("popular").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= max(4, n_rows // POPULAR))
     popular = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.id for r in known.select("id").collect()], np.int64).view(np.uint64)))
     edges_of = bounds.classes(2 * (classes.agg(F.max("size")).first()[0] or 1))
 
-    repeated = classes.where("n > 1").select("digest", "rep", "n")
-    others = join_skewed(sets, repeated, "digest", rows, "doc_id").where("doc_id <> rep").select("doc_id")
-    reps = keep_rows(docs.where("doc_id is not null"), staged(others, "copies"), "doc_id", "left_anti")
-
-    def keys(ids: pd.Series, found: list[np.ndarray]) -> pd.DataFrame:
-        made = [set_keys(s, boundary, bounds, edges_of, popular.value) if len(s) else np.zeros(0, np.int64) for s in found]
-        return pd.DataFrame({"rep": np.repeat(ids.to_numpy(), [len(k) for k in made]), "key": np.concatenate(made) if made else np.zeros(0, np.int64)})
-
-    lists = _per_set(reps, width, "rep long, key long", keys)
-    pivots = lists.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pivots = staged(pivots, "lists")
-    listed = pivots.agg(F.sum("n")).first()[0] or 0
-    touching = join_skewed(lists, pivots, "key", listed, "rep").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    groups = staged(components(touching), "groups")
-
-    near = staged(_links_within(reps, groups, width, bounds), "links")
-    linked = components(near)
-    named = classes.join(linked, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"), "n")
-    joined = join_skewed(sets, named, "digest", rows, "doc_id", how="left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def _links_within(reps: DataFrame, groups: DataFrame, width: int, bounds: Bounds) -> DataFrame:
-    """Links (a, b) that connect all linked classes of each group (node, component)."""
+    repeated = classes.where("n > 1").select("digest", "plain", "n")
+    copies = join_skewed(sets.where("not odd"), repeated, "digest", n_rows, "doc_id").where("doc_id <> plain").select("doc_id")
+    reps = keep_rows(with_odd(docs, "text_key"), staged(copies, "copies"), "doc_id", "left_anti")
+
+    def names(rows: pd.DataFrame, found: list[np.ndarray]) -> np.ndarray:
+        out = rows["doc_id"].to_numpy(np.int64, copy=True)
+        for i in np.flatnonzero(rows["odd"].to_numpy(bool)):
+            out[i] = int.from_bytes(digest_of(found[i])[names_at : names_at + 8], "big", signed=True)
+        return out
+
+    def keys(rows: pd.DataFrame, found: list[np.ndarray]) -> pd.DataFrame:
+        named = names(rows, found)
+        first = ~pd.Series(named).duplicated().to_numpy()
+        made = [set_keys(s, boundary, bounds, edges_of, popular.value) if len(s) and f else (np.zeros(0, np.int64),) * 2 for s, f in zip(found, first, strict=True)]
+        key, tag = (np.concatenate([m[i] for m in made]) for i in (0, 1))
+        node = np.repeat(named, [len(k) for k, _ in made])
+        order = np.lexsort((node, key))
+        key, node, tag = key[order], node[order], tag[order]
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        size = np.diff(np.append(begin, len(key)))
+        # of lists that are long within the chunk one member tells the others' readers so
+        kind = np.repeat(np.where(size > SHORT, 2, 0), size)
+        kind[begin[size > SHORT]] = 1
+        return pd.DataFrame({"key": key, "node": node, "tag": tag, "kind": kind})
+
+    rows = staged(listed(_per_set(reps, width, "key long, node long, tag int, kind tinyint", keys)), "lists")
+    longest = Window.partitionBy("node", F.col("tag") % 2).orderBy(F.desc("n"), "key")
+    used = rows.withColumn("place", F.row_number().over(longest)).where(F.col("place") > F.expr(f"shiftright(tag, 1) & {MOST_SPARED}"))
+    used = staged(used.select("key", "node", "n", F.shiftright("tag", SPARED_BITS + 1).alias("need")), "used-lists")
+    long = used.where(F.col("n") > SHORT)
+    pivots = staged(long.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1").withColumnRenamed("members", "n"), "long-lists")
+    stars = join_skewed(long.select("key", "node"), pivots, "key", pivots.agg(F.sum("n")).first()[0] or 0, "node").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    groups = staged(components(stars), "groups")
+    # A linked pair shares `need` lists at least: half of them short ones, or it is in one group.
+    gathered = used.where(F.col("n") <= SHORT).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "need"))).alias("m"))  # SHORT members at most
+    each = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.lit(SHORT)), lambda y: F.struct(y["node"].alias("a"), x["node"].alias("b"), F.least(x["need"], y["need"]).alias("need")))))
+    close = gathered.where("size(m) > 1").select(F.inline(each)).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
+    close = staged(close.where("2 * n >= need").select("a", "b"), "close-pairs")
+
+    def arrays(rows: pd.DataFrame, found: list[np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({"node": names(rows, found), "tokens": [s.view(np.int64) for s in found]})
+
+    ends = close.select(F.explode(F.array("a", "b")).alias("node")).unionByName(groups.select("node")).distinct()
+    some = keep_rows(reps.where("not odd"), staged(ends.select(F.col("node").alias("doc_id")), "ends"), "doc_id")
+    members = _per_set(some.unionByName(reps.where("odd")) if any_odd else some, width, "node long, tokens array<long>", arrays)
+    members = staged(members.where("size(tokens) > 0").dropDuplicates(["node"]), "members")
+    links = _linked_pairs(close, members, percent).unionByName(_links_within(staged(members.join(groups, "node"), "grouped"), bounds))
+    linked = components(staged(links, "links"))
+    named = classes.withColumn("node", F.coalesce("plain", _digest_name(names_at))).join(linked, "node", "left")
+    named = named.select("digest", "rep", "n", F.coalesce("component", "node").alias("component"))
+    if any_odd:  # names are no longer the smallest ids
+        named = staged(named, "named-classes")
+        least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n"))
+        named = join_skewed(named.withColumnRenamed("n", "rows"), least, "component", n_rows, "digest").withColumnRenamed("rows", "n")
+    else:
+        named = named.withColumn("component_id", F.col("component"))
+    joined = join_skewed(sets, named.select("digest", "n", "component", "component_id"), "digest", n_rows, "doc_id", how="left")
+    return joined.select(id_out(), "text_key", "n_shingles", F.coalesce(F.col("component_id"), id_out()).alias("component_id"), "component")
+
+
+def _linked_pairs(close: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of close (a, b); members are node, tokens."""
+    side = lambda c: members.select(F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}"))
+    both = close.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("tokens_a", "tokens_b")))
+    return both.where(f"100 * both >= {percent} * (size(tokens_a) + size(tokens_b) - both)").select("a", "b")
+
+
+def _links_within(members: DataFrame, bounds: Bounds) -> DataFrame:
+    """Links (a, b) that connect all linked classes of each group; members are node, tokens, component."""
     num, den = bounds.slack.numerator, bounds.slack.denominator
 
     def links(differ: str, both: str):
         return F.expr(f"({differ}) * {den} <= ({both}) * {num}")
 
-    def arrays(ids: pd.Series, sets: list[np.ndarray]) -> pd.DataFrame:
-        return pd.DataFrame({"node": ids.to_numpy(), "tokens": [s.view(np.int64) for s in sets]})
-
-    members = keep_rows(reps, groups.select(F.col("node").alias("doc_id")), "doc_id")
-    members = staged(_per_set(members, width, "node long, tokens array<long>", arrays).join(groups, "node"), "members")
     pivot = members.where("node = component").select("component", F.col("tokens").alias("base"))
     pivot = pivot.join(members.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component")
     diff = join_skewed(members, pivot, "component", members.count(), "node", parts=500)

@@ -14,8 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shared import staged
+
 #: Ids to a bucket and to a chunk of the running sums: no window holds more than a chunk's buckets or a bucket's ids.
 BUCKET_IDS, CHUNK_IDS = 256, 1 << 20
+#: Buckets that rows without an id are dealt over.
+NULL_BUCKETS = 1 << 20
+#: Sources that are mixed at most: they are parts of a target, such as data sets, not hosts.
+MOST_SOURCES = 1000
 
 
 def target_slots(sources: DataFrame, parts: dict[str, int], period: int) -> DataFrame:
@@ -61,13 +67,13 @@ def mix(docs: DataFrame, parts: dict[str, int] | None = None, block_chars: int =
 
     Read in the order (slot, start, doc_id) the sources have their target shares of blocks for as long as all last.
 
-    Defined results: a null source counts as the empty one; null and empty texts count one character; a null id comes
-    first in its source; rows that repeat an id follow each other by length; an empty table gives an empty result;
-    other columns are ignored.
+    Defined results: a null source counts as the empty one; null and empty texts count one character; null ids come
+    first in their source, in order of a hash of the text; rows that repeat an id follow each other by length; an empty table gives an empty result;
+    other columns are ignored; more than MOST_SOURCES sources are refused.
     """
     carried = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
-    rows = docs.select(*carried, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.greatest(F.coalesce(F.char_length(text_col), F.lit(1)), F.lit(1)).cast("long").alias("size"))
-    rows = rows.withColumn("bucket", F.coalesce(F.floor(F.col("doc_id") / BUCKET_IDS), F.lit(-(1 << 55)))).withColumn("chunk", F.floor(F.col("bucket") / (CHUNK_IDS // BUCKET_IDS)))
+    rows = docs.select(*carried, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.greatest(F.coalesce(F.char_length(text_col), F.lit(1)), F.lit(1)).cast("long").alias("size"), F.pmod(F.xxhash64(text_col), F.lit(NULL_BUCKETS)).alias("null_bucket"))
+    rows = rows.withColumn("bucket", F.coalesce(F.floor(F.col("doc_id") / BUCKET_IDS), F.lit(-(1 << 56)) + F.col("null_bucket"))).drop("null_bucket").withColumn("chunk", F.floor(F.col("bucket") / (CHUNK_IDS // BUCKET_IDS)))
     buckets = rows.groupBy("source", "chunk", "bucket").agg(F.sum("size").alias("held"))
     chunks = buckets.groupBy("source", "chunk").agg(F.sum("held").alias("held"))
     before = lambda *keys, by: F.sum("held").over(Window.partitionBy(*keys).orderBy(by)) - F.col("held")
@@ -78,7 +84,10 @@ def mix(docs: DataFrame, parts: dict[str, int] | None = None, block_chars: int =
     placed = rows.join(starts, ["source", "bucket"]).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.select(*["row"] * carry, "doc_id", "source", "start", F.expr(f"start div {block_chars}").alias("block"))
 
-    schedule = period_schedule(target_slots(rows.select("source").distinct(), parts or {}, period))
-    turns = schedule.groupBy("source", "w", "q").agg(F.map_from_entries(F.collect_list(F.struct("j", "slot"))).alias("slot_of"))
-    out = placed.join(F.broadcast(turns), "source")  # as many entries as a period has slots
+    sources = staged(rows.select("source").distinct(), "sources")
+    n = sources.count()
+    if n > MOST_SOURCES:
+        raise ValueError(f"{n} sources: one period is scheduled in one task, for {MOST_SOURCES} sources at most")
+    turns = period_schedule(target_slots(sources, parts or {}, period)).groupBy("source", "w", "q").agg(F.map_from_entries(F.collect_list(F.struct("j", "slot"))).alias("slot_of"))
+    out = placed.join(F.broadcast(turns), "source")  # a row a source, at most MOST_SOURCES
     return out.select(*["row"] * carry, "doc_id", "source", "start", "block", F.expr("block div w * q + slot_of[block % w]").alias("slot"))

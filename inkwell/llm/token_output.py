@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from ._shared import _BASE, _BASE_INVERSE, _powers, chunked, held, mix64, shared_dir, tidy
+from ._shared import _BASE, _BASE_INVERSE, _powers, chunked, held, id_in, id_out, mix64, shared_dir, tidy
 
 END_ID = 2
 RECORD_CHARS = 1_000_000
-RECORDS = "part int, seq int, n_docs int, n_ids long, doc_ids binary, nulls binary, lens binary, lens_at binary, words binary, words_at binary"
+RECORDS = "part int, seq int, n_docs int, n_ids long, doc_ids binary, lens binary, lens_at binary, words binary, words_at binary"
 #: Pieces whose ids a worker keeps; beyond that the half that was not used for longest goes.
 MOST_PIECES = 1_000_000
 #: Letters, numbers, white space and all others among the characters that are cut here, as ranges.
@@ -183,7 +183,7 @@ def _gathered(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def encoder_for(tokenizer_json: str) -> Encoder:
     """The worker's encoder of a tokenizer file, kept until a task of another kind runs there."""
-    return held(f"encoder {hashlib.sha256(tokenizer_json.encode()).hexdigest()}", lambda: Encoder(tokenizer_json))
+    return held("encoder", lambda: Encoder(tokenizer_json), hashlib.sha256(tokenizer_json.encode()).hexdigest())
 
 
 def write_tokens(docs: DataFrame, path: str, order: list[str], tokenizer_path: str, end_id: int = END_ID) -> None:
@@ -201,10 +201,10 @@ def write_tokens(docs: DataFrame, path: str, order: list[str], tokenizer_path: s
                 words, words_at = simple8b.encode(ids)
                 packed, packed_at = simple8b.encode(lens)
                 doc_ids = batch["doc_id"].iloc[a:b]
-                yield pd.DataFrame([(int(batch["part"].iloc[a]), seq, b - a, len(ids), doc_ids.fillna(0).astype("<i8").to_numpy().tobytes(), np.packbits(doc_ids.isna()).tobytes(), packed.tobytes(), packed_at.astype("<u4").tobytes(), words.tobytes(), words_at.astype("<u4").tobytes())], columns=[c.split()[0] for c in RECORDS.split(", ")])
+                yield pd.DataFrame([(int(batch["part"].iloc[a]), seq, b - a, len(ids), doc_ids.astype("<i8").to_numpy().tobytes(), packed.tobytes(), packed_at.astype("<u4").tobytes(), words.tobytes(), words_at.astype("<u4").tobytes())], columns=[c.split()[0] for c in RECORDS.split(", ")])
                 seq += 1
 
-    placed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *(F.col(c).alias(f"order_{i}") for i, c in enumerate(order)))
+    placed = docs.select(id_in("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *(F.col(c).alias(f"order_{i}") for i, c in enumerate(order)))
     by = [f"order_{i}" for i in range(len(order))]
     placed = placed.repartitionByRange(*by).sortWithinPartitions(*by, "text")
     placed.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInPandas(encode, RECORDS).write.parquet(path)
@@ -234,14 +234,13 @@ def _decoded(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
                 lens = simple8b.decode(words(r.lens), at(r.lens_at), r.n_docs).astype(np.int64)
                 ids = simple8b.decode(words(r.words), at(r.words_at), r.n_ids).astype("<u4")
                 ends, raw = np.cumsum(lens), ids.tobytes()
-                doc_ids = pd.Series(np.frombuffer(r.doc_ids, "<i8")).astype("Int64").mask(np.unpackbits(np.frombuffer(r.nulls, np.uint8))[: r.n_docs].astype(bool))
-                out = pd.DataFrame({"part": r.part, "seq": r.seq, "doc_id": doc_ids, "inside": ends - lens, "n_tokens": lens, "ids_crc32": [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends, lens, strict=True)]})
+                out = pd.DataFrame({"part": r.part, "seq": r.seq, "doc_id": np.frombuffer(r.doc_ids, "<i8"), "inside": ends - lens, "n_tokens": lens, "ids_crc32": [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends, lens, strict=True)]})
                 if with_ids:
                     out["ids"] = [ids[e - n : e].astype(np.int64) for e, n in zip(ends, lens, strict=True)]
                 yield out
 
     out = records.mapInPandas(decode, schema).join(starts, ["part", "seq"])
-    return out.select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    return out.select(id_out(), (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def token_output(docs: DataFrame, order: list[str] | None = None, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

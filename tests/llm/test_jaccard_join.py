@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from inkwell.llm.jaccard_join import Bounds, choose_boundary, jaccard_components, set_keys
+from inkwell.llm.jaccard_join import MOST_SPARED, SPARED_BITS, Bounds, choose_boundary, jaccard_components, linked_rows, set_keys
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -68,6 +68,17 @@ def test_empty_table(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def kept_keys(keys, tags):
+    """The keys that are left when a set gives up what it can, in an order of lists that is the same for all sets."""
+    spared, odd = tags >> 1 & MOST_SPARED, tags & 1
+    keep = np.ones(len(keys), bool)
+    for parity in (0, 1):
+        mine = np.flatnonzero(odd == parity)
+        order = mine[np.argsort(keys[mine] % 104729, kind="stable")]
+        keep[order] = np.arange(len(order)) >= spared[order]
+    return keys[keep], int(tags[0] >> SPARED_BITS + 1)
+
+
 def test_keys_meet_whenever_sets_link():
     bounds, rng = Bounds(90), np.random.default_rng(3)
     edges = bounds.classes(4000)
@@ -81,9 +92,28 @@ def test_keys_meet_whenever_sets_link():
                 for share in (0, 0.5, 0.9, 1):
                     popular = np.sort(rng.permutation(base)[: int(share * n)])
                     if 100 * both >= 90 * union:
-                        assert len(np.intersect1d(set_keys(a, boundary, bounds, edges, popular), set_keys(b, boundary, bounds, edges, popular)))
+                        kept = [kept_keys(*set_keys(s, boundary, bounds, edges, popular)) for s in (a, b)]
+                        assert len(np.intersect1d(kept[0][0], kept[1][0])) >= min(kept[0][1], kept[1][1]) >= 1
 
 
 def test_boundary_follows_cost():
     assert choose_boundary({12: 1000}, Bounds(90)) >= 12
     assert choose_boundary({40: 1000}, Bounds(90)) < 40
+
+
+def test_rows_that_share_an_id_or_have_none_link_by_their_own_texts(spark):
+    rng = random.Random(11)
+    base = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(60)) for _ in range(6)]
+    rows = [(3, base[0]), (5, base[0]), (5, base[1]), (9, base[1] + " tail"), (5, base[2]), (5, base[2])]  # 5 is three texts
+    rows += [(None, base[3]), (20, base[3] + " tail"), (None, base[4]), (None, base[4] + " tail"), (None, base[5]), (30, base[5]), (None, ""), (None, None), (40, base[2] + " x"), (41, "a b"), (None, "A b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = {}
+    for r in jaccard_components(df).collect():
+        out.setdefault((r.doc_id, r.n_shingles), set()).add(r.component_id)
+    assert out == {
+        (3, 58): {3}, (5, 58): {3, 5}, (9, 59): {5}, (None, 58): {20, None, 30}, (20, 59): {20}, (None, 59): {None},
+        (30, 58): {30}, (None, 0): {None}, (40, 59): {5}, (41, 1): {41}, (None, 1): {41},
+    }
+    linked = {(r.doc_id, r.n_shingles): r.component for r in linked_rows(df.where("doc_id is null")).where("n_shingles > 0 and n_shingles <> 58").collect()}
+    both = [r.component for r in linked_rows(df.where("doc_id is null")).where("n_shingles >= 58").collect()]
+    assert linked[None, 1] is not None and len(both) == 4 and len(set(both)) == 3
