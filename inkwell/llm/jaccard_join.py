@@ -118,7 +118,7 @@ def choose_boundary(sizes: dict[int, int], bounds: Bounds) -> int:
 
 def shingle_sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text, in order."""
-    for a, b in chunked(texts, 2_000_000):
+    for a, b in chunked(texts, 1_000_000):
         words, at = word_hashes(texts[a:b])
         h = words[: max(0, len(words) - width + 1)]
         for i in range(1, width):
@@ -237,14 +237,14 @@ def _in_lists(key: np.ndarray, node: np.ndarray, tag: np.ndarray, long: np.ndarr
     return pd.DataFrame({"key": key, "node": node, "n": n, "tag": tag})[n > 1]
 
 
-def _per_set(docs: DataFrame, width: int, schema: str, make) -> DataFrame:
-    """mapInPandas over docs (with text): make(rows, sets) gives the frame of a chunk."""
+def _per_set(docs: DataFrame, width: int, schema: str, make, chars: int = 1_500_000) -> DataFrame:
+    """mapInPandas over docs (with text): make(rows, sets) gives the frame of a chunk of about so many characters."""
 
     @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
-            for a, b in chunked(texts, 4_000_000):
+            for a, b in chunked(texts, chars):
                 yield make(batch.iloc[a:b], list(shingle_sets(texts[a:b], width)))
 
     return docs.mapInPandas(run, schema)
@@ -294,7 +294,7 @@ def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             return out
         return pd.concat((out, pd.DataFrame({"popular": True, "id": tokens[often].view(np.int64), "text_key": 0, "n": seen[often], "digest": b""})), ignore_index=True)
 
-    both = staged(_per_set(docs, width, "popular boolean, id long, text_key long, n long, digest binary", digests), "shingle-sets")
+    both = staged(_per_set(docs, width, "popular boolean, id long, text_key long, n long, digest binary", digests, 4_000_000), "shingle-sets")
     sets = both.where("not popular").select(F.col("id").alias("doc_id"), "text_key", F.col("n").alias("n_shingles"), "digest")
     shared = shared_ids(sets, "doc_id", "digest")
     n_shared = shared.count()
