@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over whole tables, and their SQL where it can express them."""
+"""Queries op1 to op13 over whole tables, and their SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
+from .lexical_search import lexical_search
 from .line_dedup import LINE_TAGS, NOT_TEXT, line_dedup
 from .lm_scoring import lm_scores
 from .mixing import mix
@@ -121,6 +122,24 @@ FROM n WINDOW w AS (PARTITION BY norm)
 """
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
+_TERMS = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents),
+s AS (SELECT count(*) AS n, sum(len(t))::BIGINT AS l FROM d WHERE len(t) > 0),
+tf AS (SELECT doc_id, any_value(n_terms) AS n_terms, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n_terms, unnest(t) AS term FROM d) GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), s),
+q AS (SELECT DISTINCT item_id, unnest(list_distinct({_TERMS})) AS term FROM benchmark),
+f AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n_terms * n) // l))))::BIGINT AS score FROM q JOIN tf USING (term) JOIN w USING (term), s GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM f WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -133,8 +152,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mix_sources": op8_mix_sources,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_lexical_search": op11_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard_join": OP4_SQL, "op7_line_dedup": OP7_SQL, "op8_mix_sources": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op4_ngram_jaccard_join": OP4_SQL, "op7_line_dedup": OP7_SQL, "op8_mix_sources": OP8_SQL, "op10_exact_dedup": OP10_SQL, "op11_lexical_search": OP11_SQL}
