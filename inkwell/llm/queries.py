@@ -14,9 +14,11 @@ from .line_dedup import LINE_TAGS, NOT_TEXT, line_dedup
 from .lm_scoring import lm_scores
 from .mixing import mix
 from .quality import quality
+from .quality_rules import quality_rules
 from .secrets import scan_secrets
 from .substring_dedup import substring_dedup
 from .token_output import token_output
+from .whitening import whiten
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -140,6 +142,15 @@ SELECT * FROM r WHERE rank <= 10
 """
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability", "band")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -153,6 +164,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_lm_scoring": op9_lm_scoring,
         "op10_exact_dedup": op10_exact_dedup,
         "op11_lexical_search": op11_lexical_search,
+        "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_quality_rules": op13_quality_rules,
     }
 
 
