@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import letters, starts_of, stretches
+from ..functions.automaton import Automaton
 from .texts import occurrences
 
 
-#: Lengths of the headwords' beginnings that texts are looked up by, and headwords that may be broadcast.
-ANCHORS, MOST_BROADCAST = (1, 2, 4, 8, 16), 500_000
+#: Letters of headwords to a shard of the dictionary (some 30 bytes each once it is built), and letters searched at a time.
+SHARD_LETTERS, CHUNK_LETTERS = 2_000_000, 2_000_000
 
 
 def positions_of(text: Column, needle: Column) -> Column:
@@ -18,27 +26,46 @@ def positions_of(text: Column, needle: Column) -> Column:
     return starts_of(text, needle, overlapping=True)
 
 
+def build_automata(words: DataFrame, word_col: str = "headword") -> DataFrame:
+    """shard, automaton (pickled): the distinct non-empty headwords, dealt over shards by their hash and built in tasks."""
+    heads = words.select(F.col(word_col).alias("headword")).where("headword <> ''").distinct()
+    letters_held = heads.agg(F.sum(F.char_length("headword"))).first()[0] or 0
+    shards = max(1, -(-letters_held // SHARD_LETTERS))
+
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        patterns = sorted(group["headword"])
+        return pd.DataFrame({"shard": group["shard"].iloc[:1], "automaton": [pickle.dumps((patterns, Automaton(patterns)))]})
+
+    return heads.withColumn("shard", F.pmod(F.xxhash64("headword"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(build, "shard int, automaton binary")
+
+
 def substring_join(texts: DataFrame, words: DataFrame, key: str, text_col: str = "text", word_col: str = "headword") -> DataFrame:
-    """key, headword, start, end of every occurrence of every headword, overlaps included; empty headwords occur nowhere.
+    """key, headword, start, end of every occurrence of every headword, overlaps included; empty headwords and null texts
+    occur nowhere.
 
-    No text is tested against every headword: headwords are keyed by their first characters, as many as the largest of
-    ANCHORS they have, and meet the distinct stretches of that length of each text in an equi-join, whatever the script.
-    Only texts that share the beginning are searched. The headwords' beginnings are broadcast while they are few.
+    Each text is read once for each shard of the dictionary, by an automaton of all the shard's headwords; only
+    occurrences become rows. Shards go to the tasks one at a time and are bounded by SHARD_LETTERS.
     """
-    size = F.lit(ANCHORS[0])
-    for n in ANCHORS[1:]:
-        size = F.when(F.char_length("headword") >= n, n).otherwise(size)
-    heads = words.select(F.col(word_col).alias("headword")).where("headword <> ''").distinct()
-    heads = heads.withColumn("n", size).withColumn("anchor", F.expr("left(headword, n)"))
-    used = sorted(r["n"] for r in heads.select("n").distinct().collect())  # at most as many as ANCHORS has
-    chars = texts.select(key, letters(F.coalesce(F.col(text_col), F.lit(""))).alias("chars"))
-    spread = F.array(*(F.struct(F.lit(n).alias("n"), F.array_distinct(stretches(F.col("chars"), n)).alias("anchors")) for n in used)) if used else F.expr("cast(array() as array<struct<n: int, anchors: array<string>>>)")
-    grams = chars.select(key, F.inline(spread)).select(key, "n", F.explode("anchors").alias("anchor"))
-    small = heads.count() <= MOST_BROADCAST
-    pairs = grams.join(F.broadcast(heads) if small else heads, ["n", "anchor"]).select(key, "headword")
-    found = pairs.join(texts.select(key, text_col), key).where(F.contains(F.col(text_col), F.col("headword")))
-    out = found.select(key, "headword", F.explode(positions_of(F.col(text_col), F.col("headword"))).alias("start"))
-    return out.withColumn("end", F.col("start") + F.char_length("headword") - 1)
+    spark = texts.sparkSession
+    schema = T.StructType([T.StructField(key, texts.schema[key].dataType), T.StructField("headword", T.StringType()), T.StructField("start", T.IntegerType())])
+    rows, found = texts.select(key, F.col(text_col).alias("text_")), spark.createDataFrame([], schema)
+    for shard in build_automata(words, word_col).toLocalIterator():
+        shared = spark.sparkContext.broadcast(bytes(shard["automaton"]))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            patterns, automaton = pickle.loads(shared.value)
+            names = pa.array(patterns, pa.string())
+            for batch in batches:
+                held = [t or "" for t in batch.column(1).to_pylist()]
+                ends, at = np.cumsum([len(t) + 1 for t in held]), 0
+                while at < len(held):
+                    to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_LETTERS, side="right")))
+                    of, pattern, start = automaton.find(held[at:to])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of + at)), names.take(pa.array(pattern)), pa.array(start, pa.int32())], names=[key, "headword", "start"])
+                    at = to
+
+        found = found.unionByName(rows.mapInArrow(search, schema))
+    return found.withColumn("end", F.col("start") + F.char_length("headword") - 1)
 
 
 def merge_matches(matches: DataFrame, headword: str = "headword") -> DataFrame:
@@ -95,4 +122,4 @@ def anchor_votes(texts: DataFrame, anchors: DataFrame, key: str, n: int = 5, tex
     return rows.where(enough | (~any_enough & (F.col("est_start") == -F.col("b.neg")))).select(key, "est_start", "votes")
 
 
-__all__ = ["anchor_votes", "context_text", "dedup_entries", "import_entries", "merge_matches", "ngram_index", "occurrences", "positions_of", "substring_join"]
+__all__ = ["anchor_votes", "build_automata", "context_text", "dedup_entries", "import_entries", "merge_matches", "ngram_index", "occurrences", "positions_of", "substring_join"]
