@@ -55,13 +55,15 @@ def block_matrix(rows: DataFrame, vector: Column, n_rows: int, n_columns: int, b
 
 def scatter(matrix: BlockMatrix, parts: int) -> np.ndarray:
     """transpose(matrix) * matrix, with the middle dimension dealt over `parts` tasks."""
-    java = matrix._java_matrix_wrapper
-    return BlockMatrix(matrix.transpose()._java_matrix_wrapper.call("multiply", java._java_model, parts), BLOCK_COLUMNS, BLOCK_COLUMNS).toLocalMatrix().toArray()
+    turned = matrix.transpose()
+    product = turned._java_matrix_wrapper.call("multiply", matrix._java_matrix_wrapper._java_model, parts)
+    return BlockMatrix(product, BLOCK_COLUMNS, BLOCK_COLUMNS).toLocalMatrix().toArray()
 
 
 def projected(matrix: BlockMatrix, onto: BlockMatrix) -> DataFrame:
     """row, projection (array of doubles) of matrix * onto."""
-    rows = callMLlibFunc("getIndexedRows", matrix.multiply(onto).toIndexedRowMatrix()._java_matrix_wrapper._java_model)
+    product = matrix.multiply(onto).toIndexedRowMatrix()  # a name, or its Java object is let go before the call
+    rows = callMLlibFunc("getIndexedRows", product._java_matrix_wrapper._java_model)
     return MLUtils.convertVectorColumnsToML(rows, "vector").select(F.col("index").alias("row"), vector_to_array("vector").alias("projection"))
 
 
