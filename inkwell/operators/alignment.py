@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import difflib
 import functools
-import json
-import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -17,6 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import glosses
+from ..functions.answers import salvage
+from ..functions.line_diff import line_operations
+
+#: The arrays that models answer with.
+ANSWER_KEYS = ("annotations", "marks")
 KINDS = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType()}
 
 
@@ -78,14 +82,8 @@ def nfc(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(row_type(op="string", line="string")))
 def diff_lines(old: pd.Series, new: pd.Series) -> pd.Series:
-    """Lines of both texts in order: unchanged, removed, added."""
-    def one(a: str, b: str) -> list[tuple]:
-        x, y, out = a.split("\n"), b.split("\n"), []
-        for op, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            out += [("unchanged", s) for s in x[i:j]] if op == "equal" else [("removed", s) for s in x[i:j]] + [("added", s) for s in y[k:m]]
-        return out
-
-    return pd.Series([one(a or "", b or "") for a, b in zip(old, new, strict=True)])
+    """Lines of both texts in order: unchanged (a longest common subsequence), removed, added."""
+    return pd.Series([line_operations((a or "").split("\n"), (b or "").split("\n")) for a, b in zip(old, new, strict=True)])
 
 
 def relabel_variants(pairs: DataFrame, variants: DataFrame) -> DataFrame:
@@ -277,60 +275,26 @@ def map_pages(pages: DataFrame, texts: DataFrame, doc: str, anchor: int = 15) ->
     return both.mapInPandas(place, f"{doc} long, page int, start long, confidence double")
 
 
-_FENCE, _THINK = re.compile(r"```(?:json)?\s*(.*?)```", re.S), re.compile(r"<think>.*?</think>", re.S)
-
-
-def _salvage(raw: str) -> str | None:
-    s = _THINK.sub("", raw or "")
-    if m := _FENCE.search(s):
-        s = m[1]
-    begins = [i for c in "{[" if (i := s.find(c)) >= 0]
-    if not begins:
-        return None
-    try:
-        return json.dumps(json.JSONDecoder(strict=False).raw_decode(s[min(begins) :])[0], ensure_ascii=False)
-    except ValueError:
-        i = s.find("[")
-    if i < 0:
-        return None
-    items, at, decoder = [], i + 1, json.JSONDecoder(strict=False)
-    while at < len(s):
-        at += len(s[at:]) - len(s[at:].lstrip(" \n\t\r,"))
-        try:
-            item, used = decoder.raw_decode(s[at:])
-        except ValueError:
-            break
-        items, at = [*items, item], at + used
-    return json.dumps(items, ensure_ascii=False) if items else None
+@F.pandas_udf(T.StringType())
+def salvage_json_under(raw: pd.Series, keys: pd.Series) -> pd.Series:
+    return pd.Series([salvage(r, list(k)) for r, k in zip(raw, keys, strict=True)])
 
 
-@F.pandas_udf(T.StringType())
-def salvage_json(raw: pd.Series) -> pd.Series:
-    """The JSON value in a model's answer: think tags and fences off; of a cut-off array the items that are whole."""
-    return raw.map(_salvage)
+def salvage_json(raw: Column | str, keys: tuple[str, ...] = ANSWER_KEYS) -> Column:
+    """The JSON value in a model's answer: thinking and fences off; where it is cut off, {key: items} with the whole
+    objects of the array under the first of `keys` that has any."""
+    return salvage_json_under(raw, F.array(*(F.lit(k) for k in keys)))
 
 
-_GLOSS = re.compile(r"(?<=[一-鿿])[가-힣]{1,4}")
+@F.pandas_udf(row_type(clean="string", marks=T.ArrayType(row_type(pos="int", text="string", original="string")), glosses=PLACES, raised=T.ArrayType(row_type(raw_pos="int", spaces="int", letter="string", context="string"))))
+def clean_text(raw: pd.Series, punctuation: pd.Series, take_glosses: pd.Series) -> pd.DataFrame:
+    """Text without marks of `punctuation` (a set of characters; empty: marks stay), glosses and white space, and where
+    those were: the place of a mark or gloss is that of the clean character before it (0 at the beginning). raised has
+    the characters raised by spaces, by their place in the raw text."""
+    return pd.DataFrame([glosses.clean(text or "", marks, bool(marks), take) for text, marks, take in zip(raw, punctuation, take_glosses, strict=True)], columns=["clean", "marks", "glosses", "raised"])
 
 
-@F.pandas_udf(row_type(clean="string", marks=PLACES, glosses=PLACES))
-def clean_text(raw: pd.Series, punctuation: pd.Series) -> pd.DataFrame:
-    """Text without marks of `punctuation` (a set of characters), glosses and white space, and where those were: the
-    place of a mark or gloss is that of the clean character before it (0 at the beginning)."""
-    out = []
-    for text, marks in zip(raw, punctuation, strict=True):
-        clean, found, glosses, text = [], [], [], text or ""
-        spans = {m.start(): m for m in _GLOSS.finditer(text)}
-        i = 0
-        while i < len(text):
-            if m := spans.get(i):
-                glosses.append({"pos": max(0, len(clean) - 1), "text": m[0]})
-                i = m.end()
-                continue
-            if text[i] in marks:
-                found.append({"pos": max(0, len(clean) - 1), "text": text[i]})
-            elif not text[i].isspace():
-                clean.append(text[i])
-            i += 1
-        out.append({"clean": "".join(clean), "marks": found, "glosses": glosses})
-    return pd.DataFrame(out, columns=["clean", "marks", "glosses"])
+@F.pandas_udf(T.ArrayType(row_type(raw_pos="int", text="string", before="string", after="string")))
+def find_glosses(raw: pd.Series) -> pd.Series:
+    """Glosses of up to four syllables that stand between an ideograph and another one, a mark, white space or the end."""
+    return pd.Series([glosses.find_glosses(text or "") for text in raw])

@@ -29,8 +29,10 @@ def route(url: Column, rules: list[tuple[str, str]], default: str | None = None)
 
 
 def slug(title: Column, most: int = 64) -> Column:
-    s = F.regexp_replace(F.lower(F.trim(title)), r"[^a-z0-9]+", "_")
-    return F.substring(F.regexp_replace(s, "^_+|_+$", ""), 1, most)
+    """An id from a title: ASCII letters and digits in lower case, one underscore for spaces, underscores and hyphens
+    between them; all else is dropped. What doesn't begin with a letter gets the prefix doc_; empty if nothing is left."""
+    kept = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(title, "[^A-Za-z0-9 _-]", "")), "[ _-]+", "_"), "^_|_$", "")
+    return F.substring(F.when(kept.rlike("^[0-9]"), F.concat(F.lit("doc_"), kept)).otherwise(kept), 1, most)
 
 
 def asset_id(url: Column) -> Column:
@@ -65,11 +67,13 @@ def decode_008(field: Column) -> Column:
 
 
 def subfields(text: Column, mark: str = "▼") -> Column:
-    """map code -> value of a field `▼aValue /▼bOther`: trailing / ; . , and spaces go, the last of a code counts and
-    empty values are left out. Text without a mark takes its first character for the code."""
-    parts = F.filter(F.split(text, mark), lambda p: p != "")
-    pairs = F.transform(parts, lambda p: F.struct(F.substring(p, 1, 1).alias("k"), F.regexp_replace(F.substring(p, F.lit(2), F.char_length(p)), r"[ /;.,]+$", "").alias("v")))
-    pairs = F.filter(pairs, lambda p: F.trim(p["v"]) != "")
+    """map code -> value of a field `▼aValue /▼bOther`: parts and values are trimmed, as is the run of / ; . , that ends a
+    value; the last of a code counts and empty values are left out. Text without a mark takes its first character for
+    the code."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    parts = F.filter(F.transform(F.split(text, mark), strip), lambda p: p != "")
+    pairs = F.transform(parts, lambda p: F.struct(F.substring(p, 1, 1).alias("k"), strip(F.regexp_replace(p.substr(F.lit(2), F.char_length(p)), r"[/;.,]+\s*$", "")).alias("v")))
+    pairs = F.filter(pairs, lambda p: p["v"] != "")
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(last)
 

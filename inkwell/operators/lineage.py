@@ -11,13 +11,18 @@ def trailer(message: Column, name: str) -> Column:
     return F.nullif(F.trim(F.try_element_at(F.regexp_extract_all(message, F.lit(rf"(?m)^\s*{name}:[^\S\n]*(\S[^\n]*)$"), 1), F.lit(-1))), F.lit(""))
 
 
-def layers_of(message: Column, sub_layers: dict[str, str]) -> Column:
-    """Layers named in a message's first line (L1 to L9, each with the sub-layer words found there), else ['unknown']."""
-    subject = F.split(message, "\n")[0]
-    base = F.array_distinct(F.regexp_extract_all(subject, F.lit(r"\b(L\d)\b"), 1))
-    subs = F.filter(F.array(*(F.when(F.contains(F.lower(subject), F.lit(k)), F.lit(v)) for k, v in sub_layers.items())), lambda x: x.isNotNull())
-    full = F.when(F.size(subs) == 0, base).otherwise(F.flatten(F.transform(base, lambda b: F.transform(subs, lambda s: F.concat(b, F.lit("_"), s)))))
-    return F.when(F.size(base) == 0, F.array(F.lit("unknown"))).otherwise(full)
+#: Words of a message's first line that name a part of a layer.
+SUB_LAYERS = ("punctuation", "hyeonto", "reading", "translation", "annotation")
+
+
+def layers_of(message: Column, words: tuple[str, ...] = SUB_LAYERS) -> Column:
+    """Layers named in a message's first line: L and a digit, then each of them with each of the words found there;
+    ['unknown'] if there is none."""
+    subject = F.split(F.regexp_replace(F.coalesce(message, F.lit("")), r"^\s+", ""), "\n")[0]
+    base = F.array_distinct(F.regexp_extract_all(subject, F.lit(r"(?<![\p{L}\p{N}_])(L\d)(?![\p{L}\p{N}_])"), 1))
+    found = F.filter(F.array(*(F.when(F.contains(F.lower(subject), F.lit(w)), F.lit(w)) for w in words)), lambda x: x.isNotNull())
+    parts = F.flatten(F.transform(found, lambda w: F.transform(base, lambda b: F.concat(b, F.lit("_"), w))))
+    return F.when(F.size(base) == 0, F.array(F.lit("unknown"))).otherwise(F.concat(base, parts))
 
 
 def as_of_link(later: DataFrame, earlier: DataFrame, group: str, ts: str, id_: str) -> DataFrame:
@@ -74,12 +79,6 @@ def check_dependencies(tracked: DataFrame, current: DataFrame, path: str) -> Dat
     return rows.select(path, F.when(settled, F.col("status")).when(differs | (F.col("status") == "changed"), "changed").otherwise("unchanged").alias("status"))
 
 
-def dependency_status(checked: DataFrame, group: str) -> DataFrame:
-    """group, overall: `current` if nothing changed, `outdated` if all did, else `partially_outdated`."""
-    changed = F.col("status") == "changed"
-    return checked.groupBy(group).agg(F.when(F.coalesce(F.bool_and(~changed), F.lit(True)), "current").when(F.bool_and(changed), "outdated").otherwise("partially_outdated").alias("overall"), F.count_if(changed).alias("n_changed"))
-
-
 def as_of_version(versions: DataFrame, paths: DataFrame, at: int, key: str) -> DataFrame:
     """key, path, content as of version `at`: of each key's candidate paths (key, path, priority) the first that has a
     version then. versions: path, seq, content."""

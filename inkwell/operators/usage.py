@@ -34,13 +34,16 @@ def status_counts(rows: DataFrame, group: str, status: str, known: list[str]) ->
 
 
 def cost_estimate(tokens_in: Column, tokens_out: Column, model: Column, prices: dict[str, tuple[float, float]], default: tuple[float, float]) -> Column:
-    """Cost of a call by prices per thousand tokens."""
+    """Cost of a call by prices per thousand tokens; tokens that are not known count as none."""
     price = lambda i: F.coalesce(F.create_map(*(F.lit(x) for k, v in prices.items() for x in (k, v[i])))[model], F.lit(default[i]))
-    return F.round(tokens_in / 1000 * price(0) + tokens_out / 1000 * price(1), 6)
+    known = lambda n: F.coalesce(n, F.lit(0))
+    return F.round(known(tokens_in) / 1000 * price(0) + known(tokens_out) / 1000 * price(1), 6)
 
 
 def cache_key(purpose: Column, provider: Column, model: Column, prompt: Column) -> Column:
-    return F.concat_ws("|", purpose, provider, model, F.char_length(prompt).cast("string"), F.sha2(prompt, 256))
+    """purpose|provider|model|length|hash of a request; a provider or model that is not asked for is `auto`."""
+    asked = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("auto"))
+    return F.concat_ws("|", purpose, asked(provider), asked(model), F.char_length(prompt).cast("string"), F.sha2(prompt, 256))
 
 
 def prune_cache(entries: DataFrame, group: str, now: Column, ttl_s: int = 600, most: int = 256) -> DataFrame:
@@ -50,13 +53,45 @@ def prune_cache(entries: DataFrame, group: str, now: Column, ttl_s: int = 600, m
     return fresh.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most)
 
 
-def retryable(message: Column, signs: tuple[str, ...] = ("timeout", "timed out", "rate limit", "429", "503", "connection", "overloaded")) -> Column:
+#: What messages of errors have that may pass when tried again.
+RETRY_SIGNS = ("503", "unavailable", "timeout", "temporarily", "rate limit", "429", "connection reset", "json", "parse", "truncated", "empty response", "빈 응답")
+#: Fixed values, by purpose: tokens of an answer (a base, a share of the text's length, least, most), and those of the
+#: next try (a factor, least, most). None stands for all other purposes.
+BUDGETS = {"punctuation": (768, 0.35, 768, 2048), "translation": (1400, 0.8, 1400, 4096), "annotation": (2800, 1.6, 4096, 16384), None: (4096, 0.0, 1024, 8192)}
+RETRY_BUDGETS = {"annotation": (1.5, 4096, 24576), "translation": (1.35, 1400, 8192), None: (1.25, 768, 4096)}
+
+
+def retryable(message: Column, signs: tuple[str, ...] = RETRY_SIGNS) -> Column:
     low = F.lower(F.coalesce(message, F.lit("")))
     return F.exists(F.array(*(F.lit(s) for s in signs)), lambda s: F.contains(low, s))
 
 
-def token_budget(length: Column, per_char: float, least: int, most: int) -> Column:
-    return F.least(F.greatest((length * per_char).cast("int"), F.lit(least)), F.lit(most))
+def _within(value: Column, least: Column | int, most: Column | int) -> Column:
+    return F.least(F.greatest(F.floor(value), F.lit(least)), F.lit(most)).cast("long")
+
+
+def _by_purpose(purpose: Column, values: dict, of) -> Column:
+    out = of(*values[None])
+    for name, v in values.items():
+        if name is not None:
+            out = F.when(purpose == name, of(*v)).otherwise(out)
+    return out
+
+
+def token_budget(purpose: Column, length: Column) -> Column:
+    """Tokens that an answer to a text of `length` characters may take."""
+    n = F.greatest(length, F.lit(0)).cast("double")
+    return _by_purpose(purpose, BUDGETS, lambda base, share, least, most: _within(base + F.floor(n * share), least, most))
+
+
+def next_budget(purpose: Column, budget: Column) -> Column:
+    """Tokens of the next try after one of `budget` tokens fell short."""
+    return _by_purpose(purpose, RETRY_BUDGETS, lambda factor, least, most: _within(budget.cast("double") * factor, least, most))
+
+
+def most_items(length: Column) -> Column:
+    """Annotations that are asked for at most in a text of `length` characters."""
+    return F.least(F.greatest(F.floor(F.greatest(length, F.lit(0)) / 8), F.lit(6)), F.lit(24)).cast("long")
 
 
 def upper_median(x: Column) -> Column:

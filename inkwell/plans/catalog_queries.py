@@ -38,13 +38,14 @@ def asset_bundles(t):
 @query("""
 SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS host, CASE WHEN regexp_matches(url, '^https?://m\\.') THEN 'mobile' WHEN regexp_matches(url, '\\.org/') THEN 'org' WHEN regexp_matches(url, '^https?://') THEN 'generic' END AS parser,
   nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page_param,
-  substring(regexp_replace(regexp_replace(lower(trim(regexp_extract(html, '<title>([^<]*)</title>', 1))), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 64) AS slug, substring(md5(url), 1, 12) AS asset_id FROM pages
+  substring(CASE WHEN regexp_matches(s, '^[0-9]') THEN 'doc_' || s ELSE s END, 1, 64) AS slug, substring(md5(url), 1, 12) AS asset_id
+FROM (SELECT *, trim(regexp_replace(regexp_replace(lower(CASE page_id % 3 WHEN 0 THEN page_id || ' -- ' ELSE '' END || regexp_extract(html, '<title>([^<]*)</title>', 1) || ' 論語_'), '[^a-z0-9 _-]', '', 'g'), '[ _-]+', '_', 'g'), '_') AS s FROM pages)
 """)
 def url_route_and_slug(t):
     url = F.col("url")
     return t("pages").select(
         "page_id", ca.host_of(url).alias("host"), ca.route(url, [(r"^https?://m\.", "mobile"), (r"\.org/", "org"), ("^https?://", "generic")]).alias("parser"),
-        F.nullif(F.regexp_extract(url, "[?&]page=([^&#]*)", 1), F.lit("")).alias("page_param"), ca.slug(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("slug"), ca.asset_id(url).alias("asset_id"),
+        F.nullif(F.regexp_extract(url, "[?&]page=([^&#]*)", 1), F.lit("")).alias("page_param"), ca.slug(F.concat(F.when(F.col("page_id") % 3 == 0, F.concat("page_id", F.lit(" -- "))).otherwise(""), F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit(" 論語_"))).alias("slug"), ca.asset_id(url).alias("asset_id"),
     )
 
 
@@ -59,10 +60,10 @@ def marc_008(t):
 
 
 @query("""
-SELECT c_custkey, c_name || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '' END AS a, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_nationkey::VARCHAR END AS b FROM customer
+SELECT c_custkey, c_name || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ' /' END AS a, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_nationkey::VARCHAR END AS b FROM customer
 """)
 def marc_subfields(t):
-    text = F.expr("concat('▼a', c_name, if(c_custkey % 2 = 0, ' /', ' ;.,'), '▼b', c_nationkey, '▼c /', if(c_custkey % 3 = 0, concat('▼b', c_mktsegment), ''))")
+    text = F.expr("concat('▼a', c_name, if(c_custkey % 2 = 0, ' /', ' / ;.,  '), ' ▼ b ', c_nationkey, ' . ▼c /', if(c_custkey % 3 = 0, concat('▼b', c_mktsegment), ''))")
     rows = t("customer").select("c_custkey", ca.subfields(text).alias("m"))
     return rows.select("c_custkey", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"))
 

@@ -153,7 +153,7 @@ def import_sections_flow(t):
     c = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("sections"))
     pages = st.auto_pages(c.withColumn("n", F.size("sections")), "conv_id", "n", F.lit(5), F.lit("main"))
     rows = pages.join(c, "conv_id").select("conv_id", F.col("page_num").cast("bigint").alias("page_num"), F.get("sections", F.col("section_index"))["text"].alias("text"))
-    cleaned = rows.withColumn("c", al.clean_text("text", F.lit(".,")))
+    cleaned = rows.withColumn("c", al.clean_text("text", F.lit(".,"), F.lit(True)))
     return cleaned.select("conv_id", "page_num", F.char_length("c.clean").cast("bigint").alias("n_chars"), F.size("c.marks").cast("bigint").alias("n_marks"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lineage as li
 from ..operators import records as rc
+from ..operators import stewardship as st
 from ..operators import reports as rp
 from ..operators import selection as se
 from ..operators import usage as us
@@ -112,10 +113,10 @@ def commits(t):
 
 @query(f"""
 WITH e AS ({EVENTS})
-SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'h' || event_id END AS linked, 'L' || event_id % 5 || CASE WHEN event_id % 3 = 0 THEN '_L5a' ELSE '' END AS layers FROM e
+SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'h' || event_id END AS linked, 'L' || event_id % 5 || CASE WHEN event_id % 3 = 0 THEN ',L' || event_id % 5 || '_punctuation' ELSE '' END AS layers FROM e
 """)
 def trailers_and_layers(t):
-    return commits(t).select("event_id", li.trailer(F.col("message"), "Based-On-Original").alias("linked"), F.array_join(li.layers_of(F.col("message"), {"punctuation": "L5a", "gloss": "L5b"}), ",").alias("layers"))
+    return commits(t).select("event_id", li.trailer(F.col("message"), "Based-On-Original").alias("linked"), F.array_join(li.layers_of(F.col("message")), ",").alias("layers"))
 
 
 @query("""
@@ -153,13 +154,14 @@ def push_milestones(t):
 @query("""
 WITH d AS (SELECT doc_id, source, 'sha256:' || sha256(replace(text, chr(13) || chr(10), chr(10))) AS h FROM documents),
 c AS (SELECT doc_id, source, CASE WHEN doc_id % 10 = 3 THEN 'acknowledged' WHEN doc_id % 7 = 0 OR doc_id % 5 = 1 THEN 'changed' ELSE 'unchanged' END AS status FROM d)
-SELECT source, CASE WHEN bool_and(status <> 'changed') THEN 'current' WHEN bool_and(status = 'changed') THEN 'outdated' ELSE 'partially_outdated' END AS overall, count(*) FILTER (status = 'changed') AS n_changed FROM c GROUP BY source
+SELECT source, CASE WHEN bool_and(status IN ('unchanged', 'updated')) THEN 'current' WHEN bool_and(status IN ('unchanged', 'updated', 'acknowledged')) THEN 'acknowledged'
+  WHEN bool_or(status = 'acknowledged') AND bool_or(status = 'changed') THEN 'partially_acknowledged' ELSE 'outdated' END AS status, count(*) FILTER (status = 'changed') AS n_changed FROM c GROUP BY source
 """)
 def dependency_rollup(t):
     d = t("documents")
     tracked = d.select("doc_id", "source", li.content_hash(F.col("text")).alias("hash_at_base"), F.when(F.col("doc_id") % 10 == 3, "acknowledged").otherwise("unchanged").alias("status"))
     now = d.where("doc_id % 5 <> 1").select("doc_id", F.when(F.col("doc_id") % 7 == 0, "sha256:other").otherwise(li.content_hash(F.col("text"))).alias("hash_now"))
-    return li.dependency_status(li.check_dependencies(tracked, now, "doc_id").join(d.select("doc_id", "source"), "doc_id"), "source")
+    return st.dependency_status(li.check_dependencies(tracked, now, "doc_id").join(d.select("doc_id", "source"), "doc_id"), "source")
 
 
 @query("""
@@ -203,14 +205,29 @@ def status_counts(t):
 
 
 @query("""
-SELECT conv_id, turn, round(length(text) / 1000 * CASE role WHEN 'user' THEN 0.5 WHEN 'assistant' THEN 1.5 ELSE 1.0 END + turn / 1000 * CASE role WHEN 'user' THEN 1.0 WHEN 'assistant' THEN 2.0 ELSE 3.0 END, 6) AS cost,
-  least(greatest((length(text) * 0.6)::DECIMAL(18,1)::DOUBLE::BIGINT, 64), 512) AS budget, role || '|stub|m|' || length(text) || '|' || sha256(text) AS key FROM conversations WHERE (length(text) * 6) % 10 <> 5
+SELECT conv_id, turn, round(CASE WHEN turn % 3 = 0 THEN 0 ELSE length(text) END / 1000 * CASE role WHEN 'user' THEN 0.5 WHEN 'assistant' THEN 1.5 ELSE 1.0 END + turn / 1000 * CASE role WHEN 'user' THEN 1.0 WHEN 'assistant' THEN 2.0 ELSE 3.0 END, 6) AS cost,
+  role || CASE turn % 4 WHEN 0 THEN '|auto|m|' WHEN 1 THEN '|stub|auto|' WHEN 2 THEN '|auto|auto|' ELSE '|stub|m|' END || length(text) || '|' || sha256(text) AS key FROM conversations
 """)
 def cost_and_cache_key(t):
-    c = t("conversations").where("(length(text) * 6) % 10 <> 5")
-    n = F.char_length("text")
+    """Tokens are not known for every third turn; a provider or model is not asked for, or is empty, for others."""
+    n = F.when(F.col("turn") % 3 != 0, F.char_length("text"))
     cost = us.cost_estimate(n, F.col("turn"), F.col("role"), {"user": (0.5, 1.0), "assistant": (1.5, 2.0)}, (1.0, 3.0))
-    return c.select("conv_id", "turn", cost.alias("cost"), us.token_budget(F.round(n * 0.6), 1.0, 64, 512).cast("long").alias("budget"), us.cache_key(F.col("role"), F.lit("stub"), F.lit("m"), F.col("text")).alias("key"))
+    provider, model = F.expr("case turn % 4 when 0 then '' when 2 then null else 'stub' end"), F.expr("case when turn % 4 in (1, 2) then null else 'm' end")
+    return t("conversations").select("conv_id", "turn", cost.alias("cost"), us.cache_key(F.col("role"), provider, model, F.col("text")).alias("key"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, ['punctuation', 'translation', 'annotation', 'other'][doc_id % 4 + 1] AS purpose, length(text) AS n FROM documents),
+b AS (SELECT *, CASE purpose WHEN 'punctuation' THEN least(greatest(768 + floor(n * 0.35::DOUBLE), 768), 2048) WHEN 'translation' THEN least(greatest(1400 + floor(n * 0.8::DOUBLE), 1400), 4096)
+  WHEN 'annotation' THEN least(greatest(2800 + floor(n * 1.6::DOUBLE), 4096), 16384) ELSE 4096 END::BIGINT AS budget FROM d)
+SELECT doc_id, budget, CASE purpose WHEN 'annotation' THEN least(greatest(floor(budget * 1.5::DOUBLE), 4096), 24576) WHEN 'translation' THEN least(greatest(floor(budget * 1.35::DOUBLE), 1400), 8192)
+  ELSE least(greatest(floor(budget * 1.25::DOUBLE), 768), 4096) END::BIGINT AS next_budget, least(greatest(n // 8, 6), 24) AS most_items FROM b
+""")
+def token_budgets(t):
+    purpose = F.expr("element_at(array('punctuation', 'translation', 'annotation', 'other'), int(doc_id % 4) + 1)")
+    rows = t("documents").select("doc_id", purpose.alias("purpose"), F.char_length("text").alias("n"))
+    rows = rows.withColumn("budget", us.token_budget(F.col("purpose"), F.col("n")))
+    return rows.select("doc_id", "budget", us.next_budget(F.col("purpose"), F.col("budget")).alias("next_budget"), us.most_items(F.col("n")).alias("most_items"))
 
 
 @query("""
@@ -224,9 +241,14 @@ def cache_prune(t):
     return rows.select("user_id", F.col("id").alias("event_id"), "nth")
 
 
-@query("SELECT event_id, lower(event_type || ' ' || props) LIKE '%error%' OR contains(lower(event_type || ' ' || props), '42') AS retryable FROM events")
+#: Messages of errors; the first twelve may pass when tried again.
+MESSAGES = "['HTTP 503', 'Service Unavailable', 'Read timeout', 'temporarily down', 'Rate limit hit', '429', 'Connection reset by peer', 'bad JSON', 'cannot parse', 'truncated', 'Empty response', '빈 응답', 'timed out', 'overloaded', 'connection refused', 'key missing']"
+
+
+@query(f"SELECT event_id, event_id % 16 < 12 AS retryable FROM (SELECT event_id, ({MESSAGES})[event_id % 16 + 1] AS m FROM events)")
 def retryable_flag(t):
-    return t("events").select("event_id", us.retryable(F.concat_ws(" ", "event_type", "props"), ("error", "42")).alias("retryable"))
+    message = F.expr(f"element_at(array({MESSAGES[1:-1]}), int(event_id % 16) + 1)")
+    return t("events").select("event_id", us.retryable(F.concat_ws(": ", "event_type", message)).alias("retryable"))
 
 
 @query("""

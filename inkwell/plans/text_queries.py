@@ -240,13 +240,55 @@ SELECT doc_id, md5(regexp_replace(text, '[.,;:!?]|\s', '', 'g')) AS clean_md5, l
 """)
 def clean_text(t):
     """Texts without punctuation and white space, and the places of their marks."""
-    rows = t("documents").select("doc_id", al.clean_text(F.col("text"), F.lit(".,;:!?")).alias("c"))
+    rows = t("documents").select("doc_id", al.clean_text(F.col("text"), F.lit(".,;:!?"), F.lit(False)).alias("c"))
     return rows.select("doc_id", F.md5("c.clean").alias("clean_md5"), F.size("c.marks").alias("n_marks"), F.size("c.glosses").alias("n_glosses"))
 
 
-@query("SELECT user_id, count(props) AS n FROM events GROUP BY user_id")
+@query("SELECT user_id, count(props) AS n, sum(event_id)::BIGINT AS ids FROM events WHERE props IS NOT NULL GROUP BY user_id")
 def json_salvage(t):
-    """Event properties wrapped in a fence, and arrays of them cut off."""
-    e = t("events").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list("props")), ", ").alias("all"))
-    rows = e.select("user_id", al.salvage_json(F.concat(F.lit("<think>[</think> answer:\n```json\n[ "), "all", F.lit(', {"k": '))).alias("json"))
-    return rows.select("user_id", F.json_array_length("json").alias("n"))
+    """Answers of an object whose second array is cut off: thinking and half a fence before it, brackets in strings and
+    in arrays within the items."""
+    item = F.concat(F.lit('{"id": '), "event_id", F.lit(', "p": '), "props", F.lit(', "q": ["]", [{"x": "}{"}]]}'))
+    e = t("events").where("props is not null").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list(item)), ",\n ").alias("all"))
+    raw = F.concat(F.lit('<think>{"annotations": [</think> answer:\n```json\n{"notes": [1, {"n": 2}], "annotations": [ '), "all", F.lit(', {"id": 5, "cut": "x'))
+    rows = e.select("user_id", F.from_json(al.salvage_json(raw), "annotations array<struct<id: bigint>>").alias("j"))
+    return rows.select("user_id", F.size("j.annotations").cast("bigint").alias("n"), F.aggregate("j.annotations", F.lit(0).cast("bigint"), lambda acc, x: acc + x["id"]).alias("ids"))
+
+
+GLOSS_MARKS = ".,;:!?()"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, translate(text, 'anoti', '天地는은x') AS x FROM documents),
+r AS (SELECT doc_id, regexp_extract_all(x, '[가-힣]+|[{GLOSS_MARKS}]|[ \n\r\t]+|[^가-힣{GLOSS_MARKS} \n\r\t]+') AS r FROM d),
+e AS (SELECT doc_id, unnest(r) AS run, generate_subscripts(r, 1) AS i FROM r),
+k AS (SELECT *, CASE WHEN regexp_matches(run, '^[가-힣]') THEN 'g' WHEN regexp_matches(run, '^[{GLOSS_MARKS}]$') THEN 'm' WHEN regexp_matches(run, '^[ \n\r\t]') THEN 's' ELSE 't' END AS kind FROM e),
+c AS (SELECT *, coalesce(last_value(CASE WHEN kind = 't' THEN regexp_matches(run, '[天地]$') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS on_han, lag(run) OVER w AS before, lead(run) OVER w AS behind FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT d.doc_id, count(*) FILTER (kind = 'm') AS n_marks, coalesce(sum((length(run) + 3) // 4) FILTER (kind = 'g' AND on_han), 0)::BIGINT AS n_taken,
+  count(*) FILTER (kind = 'g' AND length(run) <= 4 AND regexp_matches(before, '[天地]$') AND (behind IS NULL OR regexp_matches(behind, '^[天地{GLOSS_MARKS} \n]'))) AS n_found,
+  md5(coalesce(string_agg(run, '' ORDER BY i) FILTER (kind = 't' OR (kind = 'g' AND NOT on_han)), '')) AS clean_md5
+FROM d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id
+""")
+def gloss_scan(t):
+    """Texts with some letters made ideographs and some made syllables: glosses that are found where they stand, and those
+    that cleaning takes out."""
+    rows = t("documents").select("doc_id", F.translate("text", "anoti", "天地는은x").alias("x"))
+    rows = rows.select("doc_id", al.clean_text("x", F.lit(GLOSS_MARKS), F.lit(True)).alias("c"), F.size(al.find_glosses("x")).cast("bigint").alias("n_found"))
+    taken = F.size("c.glosses").cast("bigint")
+    return rows.select("doc_id", F.size("c.marks").cast("bigint").alias("n_marks"), taken.alias("n_taken"), "n_found", F.md5("c.clean").alias("clean_md5"))
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS j, o_orderpriority AS p FROM orders),
+ab AS (SELECT o_custkey, list(p ORDER BY i) AS a, list(p ORDER BY j) AS b FROM o GROUP BY o_custkey),
+lcs(o_custkey, a, b, i, best) AS (
+  SELECT o_custkey, a, b, 0, list_transform(range(0, len(b) + 1), lambda x: 0::BIGINT) FROM ab
+  UNION ALL SELECT o_custkey, a, b, i + 1, list_transform(range(0, len(b) + 1), lambda k: list_max(list_transform(range(0, k + 1), lambda m: CASE WHEN m > 0 AND b[m] = a[i + 1] THEN best[m] + 1 ELSE best[m + 1] END))) FROM lcs WHERE i < len(a))
+SELECT o_custkey, best[len(b) + 1] AS unchanged, len(a) - best[len(b) + 1] AS removed, len(b) - best[len(b) + 1] AS added FROM lcs WHERE i = len(a)
+""")
+def line_diff_moved(t):
+    """A customer's priorities by date and by price, one a line: lines that moved, and many that are equal."""
+    lines = lambda by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"]), "\n")
+    rows = t("orders").groupBy("o_custkey").agg(lines("o_orderdate").alias("old"), lines("o_totalprice").alias("new"))
+    ops = rows.select("o_custkey", F.explode(al.diff_lines("old", "new")).alias("d"))
+    return ops.groupBy("o_custkey").agg(*(F.count_if(F.col("d.op") == k).alias(k) for k in ("unchanged", "removed", "added")))

@@ -92,7 +92,7 @@ def test_script_classes_carry_forward(spark):
 
 
 def test_cleaning_keeps_places_of_marks_and_glosses(spark):
-    df = spark.createDataFrame([("，天地는 玄黃。",), (None,)], "t string").select(al.clean_text("t", F.lit("，。")).alias("c"))
+    df = spark.createDataFrame([("，天地는 玄黃。",), (None,)], "t string").select(al.clean_text("t", F.lit("，。"), F.lit(True)).alias("c"))
     a, b = (r.c for r in df.collect())
     assert (a.clean, [(m.pos, m.text) for m in a.marks], [(g.pos, g.text) for g in a.glosses]) == ("天地玄黃", [(0, "，"), (3, "。")], [(1, "는")])
     assert b.clean == ""
@@ -120,7 +120,7 @@ def test_as_of_falls_back_to_the_oldest(spark):
 def test_trailer_takes_the_last_line(spark):
     df = spark.createDataFrame([("s\n\nKey: a\nKey:  b ",), ("none",), (None,)], "m string")
     subjects = spark.createDataFrame([("L4: fix L6 and L4 gloss\nL2",), ("none",)], "m string")
-    assert [r[0] for r in subjects.select(li.layers_of(F.col("m"), {"gloss": "g"})).collect()] == [["L4_g", "L6_g"], ["unknown"]]
+    assert [r[0] for r in subjects.select(li.layers_of(F.col("m"), ("gloss", "other"))).collect()] == [["L4", "L6", "L4_gloss", "L6_gloss"], ["unknown"]]
     assert [r[0] for r in df.select(li.trailer(F.col("m"), "Key")).collect()] == ["b", None, None]
 
 
