@@ -14,8 +14,9 @@ repeated STRETCH of words no later place stays whole; up to STRETCH - WINDOW wor
 Defined results: null and empty texts have no sentences and stay as they are; sentences and words compare lower-cased
 with white space collapsed; a sentence that loses some words counts as removed; a window's place that overlaps its
 first place loses the words beyond that only; a null doc_id comes before all others; rows that share a doc_id (or have
-none) are documents of their own where their texts differ, in the order of a hash of the text, and one document where
-their texts are equal: those keep the same sentences; an empty table gives an empty result; other columns are ignored.
+none) are documents of their own, in the order of a hash of the text where their texts differ; of rows that repeat both
+id and text one, no matter which, holds the first places and all others lose whatever their own runs and windows cover;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import _BASE, _BASE_INVERSE, _powers, chunked, id_in, id_out, join_skewed, mix64, staged, tidy, with_tie, word_hashes
+from ._shared import _BASE, _BASE_INVERSE, _powers, chunked, id_in, id_out, join_skewed, mix64, staged, text_key, tidy, with_tie, word_hashes
 
 _CUT = re.compile(r"(\s*\n\s*|(?<=[.!?])\s+)")
 _WORD = re.compile(r"\S+")
@@ -133,9 +134,53 @@ def uncovered(text: str | None, runs: list | None) -> tuple[int, int, str | None
     return (len(parts) + 1) // 2, removed, "".join(left).rstrip()
 
 
+RESULT = "doc_id long, n_sentences int, n_removed int, text string"
+
+
+def first_and_others(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs (doc_id, text) with one row of those that repeat id and text, and the others (None if there are none). A row
+    may repeat as often as it likes: groups are counted, and dealt out where they are joined."""
+    rows = docs.withColumn("name_", F.concat_ws(":", "doc_id", text_key("text")))
+    repeated = staged(rows.groupBy("name_").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-rows")
+    if repeated.isEmpty():
+        return docs, None
+    total = docs.count()
+    rows = join_skewed(rows.withColumn("row_", F.monotonically_increasing_id()), repeated.withColumn("several", F.lit(True)), "name_", total, "row_", how="left")
+    copies = rows.where("several").select("name_", "doc_id", "text").withColumn("row_", F.monotonically_increasing_id())
+    copies = staged(copies, "copies")  # their numbers stand from here on
+    first = staged(copies.groupBy("name_").agg(F.min("row_").alias("first_"), F.count(F.lit(1)).alias("n")), "first-copies")
+    copies = join_skewed(copies, first, "name_", total, "row_")
+    once = rows.where("several is null").unionByName(copies.where("row_ = first_"), allowMissingColumns=True)
+    return once.select("doc_id", "text"), copies.where("row_ <> first_").select("doc_id", "text")
+
+
+def own_runs_removed(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
+    """substring_dedup of rows whose texts all stand elsewhere before."""
+
+    @tidy
+    def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for a, b in chunked([t or "" for t in texts], 1_000_000):
+                held = [t or "" for t in texts[a:b]]
+                covered: list[list[dict]] = [[] for _ in held]
+                of, first, last, _ = runs_of(held, min_sentences, min_words)
+                for i, x, y in zip(of.tolist(), first.tolist(), last.tolist(), strict=True):
+                    covered[i].append({"first": x, "last": y})
+                of, word, _ = windows_of(held)
+                for i, w in zip(of.tolist(), word.tolist(), strict=True):
+                    covered[i].append({"first": _WORDS + w, "last": _WORDS + w + WINDOW - 1})
+                done = pd.DataFrame([uncovered(t, runs) for t, runs in zip(texts[a:b], covered, strict=True)], columns=["n_sentences", "n_removed", "text"])
+                done.insert(0, "doc_id", batch["doc_id"].to_numpy()[a:b])
+                yield done
+
+    return docs.select("doc_id", "text").mapInPandas(strip, RESULT)
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 20) -> DataFrame:
     """One row per row of docs: doc_id, n_sentences, n_removed, text (what is left of it)."""
-    docs = with_tie(docs.select(id_in(id_col), F.col(text_col).alias("text")))
+    docs, others = first_and_others(docs.select(id_in(id_col), F.col(text_col).alias("text")))
+    docs = with_tie(docs)
     spans = sentence_spans(docs, min_sentences, min_words)
     place = F.struct("doc_id", "tie", "first")
     counted = spans.groupBy("h").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -159,4 +204,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield done
 
     kept = docs.join(covered, (docs["doc_id"] == covered["of"]) & (docs["tie"] == covered["of_tie"]), "left").drop("of", "of_tie", "tie")
-    return kept.mapInPandas(rebuild, "doc_id long, n_sentences int, n_removed int, text string").withColumn("doc_id", id_out())
+    out = kept.mapInPandas(rebuild, RESULT)
+    if others is not None:
+        out = out.unionByName(own_runs_removed(others, min_sentences, min_words))
+    return out.withColumn("doc_id", id_out())

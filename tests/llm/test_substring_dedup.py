@@ -1,5 +1,8 @@
 import random
 
+from pyspark.sql import functions as F
+
+from inkwell.llm import substring_dedup as sd
 from inkwell.llm.substring_dedup import _CUT, substring_dedup
 
 
@@ -77,6 +80,25 @@ def test_rows_that_share_an_id_lose_only_their_own_sentences(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     out = sorted((r.doc_id or -1, r.text) for r in substring_dedup(df).collect())
     kept = lambda i: sorted(t for k, t in out if k == i)
-    assert kept(1) == [common + " First tail."] and kept(5) == sorted(["Head.", own + " Last words here.", own + " Last words here."])
+    assert kept(1) == [common + " First tail."] and kept(5) == sorted(["Head.", own + " Last words here.", ""])  # one of the rows that repeat stays
     assert nulls[2] in kept(-1) and kept((1 << 53) + 1) == ["Alone here."] and kept(9) == [""]
     assert sorted(kept(-1)) in (sorted([nulls[0], nulls[1], nulls[2]]), sorted(["", nulls[1] + " " + nulls[0], nulls[2]]))
+
+
+def test_copies_under_one_id_or_none_are_removed(spark):
+    text = " ".join(f"Sentence number {i} has quite a few words of its own here." for i in range(8))
+    short = "Too short to be a run."
+    for ids in ((None, None), (7, 7), (1, 2), (7, 7, 7, None, None)):
+        rows = [(i, text) for i in ids] + [(i, short) for i in ids] + [(99, None), (99, None)]
+        got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert sorted(r.n_removed for r in got if r.n_sentences == 8) == [0] + [8] * (len(ids) - 1)
+        assert sum(r.text == short for r in got) == len(ids) and sum(r.text is None for r in got) == 2
+
+
+def test_a_third_of_all_rows_may_be_one_row(spark):
+    text = " ".join(f"Sentence {i} of the passage that a third of the table holds." for i in range(6))
+    rows = [(None, text)] * 3000 + [(i, f"Document {i} says {i * 7} things. And it says {i * 13} more of them.") for i in range(6000)]
+    once, others = sd.first_and_others(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("coalesce(doc_id, -9223372036854775808) as doc_id", "text").repartition(8))
+    assert once.count() == 6001 and others.count() == 2999
+    assert max(r["n"] for r in others.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()) < 2000
+    assert sorted(r.n_removed for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("n_sentences = 6").collect()) == [0] + [6] * 2999
