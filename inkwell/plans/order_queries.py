@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import order as od
+from ..operators import page_align as pg
 from .registry import query
 
 #: Lines in cells of three columns. By order: tall or wide lines, and the wider gap between columns or between rows.
@@ -96,3 +97,19 @@ def page_reading_order(t):
         "0 as x1", "l_linenumber * 50 as y1", "200 as x2", "l_linenumber * 50 + 20 as y2",
     )
     return od.page_order(rows, "page")
+
+
+@query(r"""
+WITH c AS (SELECT conv_id, turn, text, length(regexp_replace(text, '[^\p{Latin}]', '', 'g')) AS n FROM conversations),
+d AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM c GROUP BY conv_id),
+l AS (SELECT conv_id, length(text) AS size, list_filter(list_transform(string_split(text, ''), lambda x, i: CASE WHEN regexp_matches(x, '^\p{Latin}$') THEN i - 1 END), lambda x: x IS NOT NULL) AS places FROM d),
+p AS (SELECT conv_id, turn, places[(coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN n < 15 THEN 0 WHEN n < 30 THEN n - 15 ELSE n // 2 - 7 END + 1)::BIGINT] AS place, size FROM c JOIN l USING (conv_id)),
+s AS (SELECT conv_id, turn, size, CASE WHEN row_number() OVER w = 1 THEN 0 ELSE (lag(place) OVER w + place) // 2 END AS start FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn::INTEGER AS page, start, coalesce(lead(start) OVER (PARTITION BY conv_id ORDER BY turn), size) AS "end", true AS found FROM s
+""")
+def chained_pages(t):
+    """Conversations as texts and their turns as pages: where each turn lies, by the places of its anchors."""
+    c = t("conversations")
+    whole = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "").alias("text"))
+    out = pg.align_pages(c.select("conv_id", F.col("turn").alias("page"), "text"), whole, "conv_id", r"\p{IsLatin}")
+    return out.select("conv_id", "page", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), (F.col("confidence") > 0.5).alias("found"))
