@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
 
 Engine = Callable[[pd.Series], pd.Series]
 ANSWER = "answer string, engine string, error string"
@@ -75,3 +76,21 @@ def compare(requests: DataFrame, key: str, prompt: str, engines: dict[str, Engin
 def echo(prompts: pd.Series) -> pd.Series:
     """The stub engine: says what it was asked, in upper case."""
     return prompts.str.upper()
+
+
+class Readers:
+    """Data sources by the name they are read by: the seam through which readers of other formats plug in."""
+
+    def __init__(self) -> None:
+        self.sources: dict[str, type[DataSource]] = {}
+
+    def add(self, source: type[DataSource]) -> None:
+        if source.name() in self.sources:
+            raise ValueError(f"a reader {source.name()} is registered already")
+        self.sources[source.name()] = source
+
+    def register(self, spark: SparkSession) -> list[str]:
+        """Make all of them formats of spark.read; returns their names."""
+        for source in self.sources.values():
+            spark.dataSource.register(source)
+        return sorted(self.sources)

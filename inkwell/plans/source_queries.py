@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import packages as pk
 from ..sources import pages as pg
 from .registry import query
 
@@ -37,3 +38,20 @@ def layer_fallback(t):
 def format_sniff(t):
     head = F.expr("case doc_id % 4 when 0 then unhex('D0CF11E0A1B11AE1') when 1 then unhex('504B0304') when 2 then unhex('25504446') else unhex('00') end")
     return t("documents").select("doc_id", pg.sniff_format(F.concat(head, F.encode("text", "UTF-8"))).alias("format"))
+
+
+@query("""
+WITH p AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS i, unnest(s) AS text FROM (SELECT doc_id, string_split(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\r]', '', 'g'), chr(10) || chr(10)) AS s FROM documents)),
+l AS (SELECT doc_id, i, array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10)) AS text FROM p)
+SELECT doc_id, 'section' AS kind, i AS nth, md5(trim(text)) AS text_md5 FROM l WHERE trim(text) <> ''
+UNION ALL SELECT doc_id, 'footnote', 1, md5(trim(source)) FROM documents WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, 'error', NULL, NULL FROM documents WHERE doc_id % 50 = 7
+""")
+def package_sections(t):
+    """Documents written as packages and read again: sections at empty lines, a note in every third, and some that are cut
+    off behind a whole copy."""
+    docs = t("documents").select("doc_id", F.split(F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F\r]", ""), "\n\n").alias("s"), F.when(F.col("doc_id") % 3 == 0, F.array("source")).alias("notes"))
+    whole = pk.packages_of(docs, F.col("doc_id").cast("string"), F.col("s"), F.col("notes"))
+    cut = whole.where("path % 50 = 7").withColumn("content", F.expr("substring(content, 1, length(content) - 40)"))
+    rows = pk.parse_packages(whole.unionByName(cut))
+    return rows.select(F.col("path").cast("long").alias("doc_id"), "kind", F.col("index").cast("long").alias("nth"), F.when(F.col("kind") != "error", F.md5(F.trim("text"))).alias("text_md5"))
