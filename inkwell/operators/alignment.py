@@ -130,7 +130,7 @@ def _most_alike(needle: str, text: str, starts: np.ndarray, votes: Counter) -> t
     or in order.
     """
     chars, n, size = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), len(text), len(needle)
-    lengths = sorted({k for k in (size, size - 2, size + 2) if k > 0})
+    lengths = [size]
     shared = np.zeros((len(lengths), len(starts)), np.int64)
     for c, k in Counter(needle).items():
         seen = np.concatenate(([0], np.cumsum(chars == ord(c), dtype=np.int64)))
@@ -151,34 +151,43 @@ def _most_alike(needle: str, text: str, starts: np.ndarray, votes: Counter) -> t
     return best
 
 
+#: The likeness below which a text is nowhere, and letters a window may grow on either side.
+LEAST_LIKENESS, MARGIN = 0.3, 2
+
+
 def _window(needle: str, text: str) -> tuple[int, int, float]:
-    """(start, length, ratio) of the part of text most like needle; the whole text where nothing is like it. Looked for
-    around all places of three probes of 5 characters, else of 3, else everywhere."""
-    if not needle or not text:
-        return 0, len(text), 0.0
-    votes, last, around = Counter(), len(text) - len(needle), np.zeros(len(text) + 2, np.int64)
+    """(start, length, ratio) of the part of text most like needle: as long as the needle, or with MARGIN letters more on
+    both sides where that is more alike. The whole text where it is no longer than the needle, or nothing in it is like
+    it. Looked for around all places of three probes of 5 characters, else of 3, else everywhere."""
+    if not needle or len(text) <= len(needle):
+        return 0, len(text), difflib.SequenceMatcher(None, needle, text).ratio() if needle and text else 0.0
+    size, last = len(needle), len(text) - len(needle)
+    votes, around = Counter(), np.zeros(len(text) + 2, np.int64)
     for n in (5, 3):
-        for at in {0, max(0, len(needle) // 2 - n), max(0, len(needle) - n)}:
-            probe, i = needle[at : at + n], -1
-            while len(probe) == n and (i := text.find(probe, i + 1)) >= 0:
-                votes[max(0, i - at)] += 1
-                if (low := max(0, i - len(needle) + 5)) <= (high := min(i, last)):
+        probes = [0] * (size >= n) + [size // 2] * (size >= 2 * n) + [size - n] * (size >= 3 * n)
+        for at in probes:
+            i = -1
+            while (i := text.find(needle[at : at + n], i + 1)) >= 0:
+                votes[min(max(0, i - at), last)] += 1
+                if (low := max(0, i - size + 5)) <= (high := min(i, last)):
                     around[low] += 1
                     around[high + 1] -= 1
         if votes:
             break
-    if votes:
-        near = np.cumsum(around[:-2]) > 0
-        near[list(votes)] = True
-        starts = np.flatnonzero(near)
-    else:
-        starts = np.arange(max(1, last + 1))
-    ratio, _, start, length = _most_alike(needle, text, starts, votes)
-    return (-start, -length, ratio) if ratio >= 0.3 else (0, len(text), ratio)
+    near = np.cumsum(around[:-2])[: last + 1] > 0 if votes else np.ones(last + 1, bool)
+    near[list(votes)] = True
+    ratio, _, start, _ = _most_alike(needle, text, np.flatnonzero(near), votes)
+    if ratio < LEAST_LIKENESS:
+        return 0, len(text), ratio
+    start = -start
+    low, high = max(0, start - MARGIN), min(len(text), start + size + MARGIN)
+    wider = difflib.SequenceMatcher(None, needle, text[low:high]).ratio()
+    return (low, high - low, wider) if wider > ratio else (start, size, ratio)
 
 
 @F.pandas_udf(row_type(start="int", length="int", ratio="double"))
 def best_window(needle: pd.Series, text: pd.Series) -> pd.DataFrame:
+    """Places count in the text as it is given; callers compose both (nfc) first."""
     return pd.DataFrame([_window(a or "", b or "") for a, b in zip(needle, text, strict=True)], columns=["start", "length", "ratio"])
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def where_equal(rows: DataFrame, wanted: dict[str, object]) -> DataFrame:
@@ -126,3 +127,13 @@ def delete_at(rows: DataFrame, items: str, index: Column, guard: Callable[[Colum
 def collapse_empty(value: Column, leaves: list[str]) -> Column:
     """A struct, or null if all of its leaves are null."""
     return F.when(F.coalesce(*(value[x].cast("string") for x in leaves)).isNull(), F.lit(None)).otherwise(value)
+
+
+def collapse_nested(value: Column | str, kind: T.DataType) -> Column:
+    """A value of a type with every struct in it null whose fields are all null, from the innermost on."""
+    value = F.col(value) if isinstance(value, str) else value
+    if not isinstance(kind, T.StructType) or not kind.fields:
+        return value
+    fields = [collapse_nested(value[f.name], f.dataType) for f in kind.fields]
+    some = reduce(lambda a, b: a | b, (f.isNotNull() for f in fields))
+    return F.when(some, F.struct(*(f.alias(k.name) for f, k in zip(fields, kind.fields, strict=True))))

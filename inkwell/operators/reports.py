@@ -123,10 +123,10 @@ def corrected_blocks(texts: DataFrame, blocks: DataFrame, corrections: DataFrame
 def page_alignment(lines: DataFrame, refs: DataFrame, variants: DataFrame, page: str, block: str) -> DataFrame:
     """page, block and alignment_stats of every block's recognised text with the part of the page's text most like it,
     and of the whole page (block '*'). lines: page, block, pos (of the block), line_no, text; refs: page, text; variants:
-    a, b. Line breaks don't count; blocks without text are left out."""
+    a, b. Line breaks don't count, and texts are put in composed form; blocks without text are left out."""
     of_block = lines.withColumn("key", F.struct(page, block)).groupBy("key").agg(F.min("pos").alias("pos"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "").alias("ocr"))
-    of_block = of_block.where("ocr <> ''").select(F.col(f"key.{page}").alias(page), F.col(f"key.{block}").cast("string").alias(block), "pos", "ocr")
-    clean = refs.select(page, F.translate("text", "\n\r", "").alias("ref"))
+    of_block = of_block.where("ocr <> ''").withColumn("ocr", al.nfc("ocr")).select(F.col(f"key.{page}").alias(page), F.col(f"key.{block}").cast("string").alias(block), "pos", "ocr")
+    clean = refs.select(page, al.nfc(F.translate("text", "\n\r", "")).alias("ref"))
     window = of_block.join(clean, page).withColumn("w", al.best_window("ocr", "ref"))
     parts = window.select(page, block, "ocr", F.substring("ref", F.col("w.start") + 1, F.col("w.length")).alias("ref"))
     whole = se.joined_in_order(of_block, page, ["pos", block], "ocr").withColumnRenamed("text", "ocr").join(clean, page).select(page, F.lit("*").alias(block), "ocr", "ref")

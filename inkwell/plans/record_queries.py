@@ -165,13 +165,13 @@ def dependency_rollup(t):
 
 
 @query("""
-WITH v AS (SELECT props AS path, event_id AS seq, value AS content FROM events), l AS (SELECT path, max_by(content, seq) AS content FROM v WHERE seq <= (SELECT quantile_disc(event_id, 0.5) FROM events) GROUP BY path),
+WITH v AS (SELECT props AS path, event_id AS seq, value AS content FROM events), l AS (SELECT path, max_by(content, seq) AS content FROM v WHERE seq <= (SELECT max(event_id) // 2 FROM events) GROUP BY path),
 p AS (SELECT DISTINCT user_id AS layer, props AS path, user_id % 3 AS priority FROM events)
 SELECT layer, min_by(path, (priority, path)) AS path, min_by(content, (priority, path)) AS content FROM p JOIN l USING (path) GROUP BY layer
 """)
 def layer_as_of_version(t):
     e = t("events")
-    half = int(e.agg(F.percentile("event_id", 0.5)).first()[0])
+    half = e.agg(F.max("event_id")).first()[0] // 2
     return li.as_of_version(e.selectExpr("props as path", "event_id as seq", "value as content"), e.selectExpr("user_id as layer", "props as path", "user_id % 3 as priority").distinct(), half, "layer")
 
 
@@ -283,3 +283,22 @@ def snapshot_round_trip(t):
     from ..sources import snapshots
 
     return snapshots.import_rows(snapshots.export_rows(t("conversations")))
+
+
+@query("""
+SELECT o_orderkey, list_filter(['clerk' || CASE WHEN o_orderkey % 2 = 0 THEN '=c' END, 'status=' || o_orderstatus, 'note' || CASE WHEN o_orderkey % 5 = 0 THEN '=n' END], lambda x: x IS NOT NULL) AS kept FROM orders
+""")
+def null_values_dropped(t):
+    """Fields of a draft as a map; those without a value are left out."""
+    m = F.expr("map('clerk', if(o_orderkey % 2 = 0, 'c', null), 'status', o_orderstatus, 'note', if(o_orderkey % 5 = 0, 'n', null))")
+    return t("orders").select("o_orderkey", F.transform(F.map_entries(rc.drop_null_values(m)), lambda e: F.concat_ws("=", e["key"], e["value"])).alias("kept"))
+
+
+@query("""
+SELECT p_partkey, p_partkey % 2 = 0 OR p_partkey % 3 = 0 OR p_partkey % 5 = 0 AS place, p_partkey % 3 = 0 OR p_partkey % 5 = 0 AS inner_place, p_partkey % 7 = 0 AS other FROM part
+""")
+def empty_structs(t):
+    """A struct within a struct: each is null once all below it are."""
+    tree = F.expr("named_struct('place', named_struct('city', if(p_partkey % 2 = 0, 'c', null), 'more', named_struct('lat', if(p_partkey % 3 = 0, 1, null), 'lon', if(p_partkey % 5 = 0, 2D, null))), 'other', named_struct('x', if(p_partkey % 7 = 0, true, null)))")
+    rows = t("part").select("p_partkey", tree.alias("v")).select("p_partkey", rc.collapse_nested("v", t("part").select(tree.alias("v")).schema["v"].dataType).alias("v"))
+    return rows.select("p_partkey", F.col("v.place").isNotNull().alias("place"), F.col("v.place.more").isNotNull().alias("inner_place"), F.col("v.other").isNotNull().alias("other"))

@@ -102,6 +102,17 @@ def markdown_link_extract(t):
     return pa.markdown_links(t("supplier").select("s_suppkey", md.alias("md")), "s_suppkey", "md").select("s_suppkey", "pos", "label", "link")
 
 
+@query("""
+SELECT page_id, 0 AS pos, 'the book' AS label, 'https://lib.org/a/' || page_id || '/vol/b.pdf' AS link FROM pages UNION ALL SELECT page_id, 1, 'scan', 'https://lib.org/img/p' || page_id % 7 || '.jpg' FROM pages
+UNION ALL SELECT page_id, 2, NULL, 'https://other.org/x.png' FROM pages UNION ALL SELECT page_id, 4, NULL, regexp_replace(url, '#.*$', '') FROM pages
+""")
+def markdown_relative_links(t):
+    """Links with titles, images, relative and repeated ones, resolved against the page they are on."""
+    md = F.expr("""concat('[the book](vol/b.pdf "a title") and ![scan](/img/p', page_id % 7, '.jpg) [](//other.org/x.png "t") [again](./vol/b.pdf#p2) [m](mailto:a@b) ', url, ' (', 'https://lib.org/in/brackets', ')')""")
+    rows = t("pages").select("page_id", md.alias("md"), F.concat(F.lit("https://lib.org/a/"), "page_id", F.lit("/index.html")).alias("base"))
+    return pa.markdown_links(rows, "page_id", "md", "base").select("page_id", "pos", "label", "link")
+
+
 @query("""
 WITH l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line FROM documents),
 c AS (SELECT lang, line, len(regexp_extract_all(line, '[à-ÿ]')) > len(regexp_extract_all(line, '[th]')) AS orig FROM l)
@@ -196,6 +207,28 @@ def page_alignment(t):
     return rp.page_alignment(lines, refs, variants, "conv_id", "block").select("conv_id", "block", "total", "accuracy")
 
 
+CHUNKS = """SELECT conv_id, turn, k, substring(x, 90 * k + 1, 90) AS block, right(substring(x, 1, 90 * k), 40) || regexp_replace(substring(x, 90 * k + 1, 90), '(.{5}).(.{4})', '\\1~\\2', 'g') || substring(x, 90 * k + 91, 40) AS ref
+  FROM (SELECT *, unnest(range(0, (length(x) + 89) // 90)) AS k FROM (SELECT conv_id, turn, regexp_replace(text, '\\s', '', 'g') AS x FROM conversations))"""
+
+
+@query(f"""
+SELECT conv_id, turn, k, length(block) AS total, length(block) // 10 AS n_mismatch, round((length(block) - length(block) // 10) / length(block), 4) AS accuracy FROM ({CHUNKS}) WHERE length(block) >= 30
+""")
+def page_alignment_altered(t):
+    """Turns in blocks of 90 letters, each found again in a page that has its text with every tenth letter wrong, between
+    40 letters of what comes before and behind it. Last blocks of fewer than 30 letters are too short for SQL to say."""
+    x = t("conversations").select("conv_id", "turn", F.regexp_replace("text", r"\s", "").alias("x"))
+    rows = x.select("*", F.explode(F.expr("filter(sequence(0, (length(x) + 89) div 90), k -> 90 * k < length(x))")).alias("k"))
+    piece = F.expr("substring(x, int(90 * k + 1), 90)")
+    before = F.expr("right(substring(x, 1, int(90 * k)), 40)")
+    ref = F.concat(before, F.regexp_replace(piece, "(.{5}).(.{4})", "$1~$2"), F.expr("substring(x, int(90 * k + 91), 40)"))
+    rows = rows.select(F.struct("conv_id", "turn", "k").alias("page"), piece.alias("text"), ref.alias("ref")).where("length(text) >= 30")
+    lines = rows.select("page", F.lit(1).alias("block"), F.lit(1).alias("pos"), F.lit(1).alias("line_no"), "text")
+    variants = t("nation").selectExpr("'é' as a", "'e' as b").distinct()
+    out = rp.page_alignment(lines, rows.select("page", F.col("ref").alias("text")), variants, "page", "block").where("block = '1'")
+    return out.select("page.conv_id", "page.turn", F.col("page.k").cast("long").alias("k"), "total", "n_mismatch", "accuracy")
+
+
 @query("""
 SELECT o_orderkey, 'text' AS kind, o_orderstatus AS content FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'marks', '[' || o_custkey || ']' FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'translation', 't' FROM orders WHERE o_orderkey % 5 = 0
 """)
@@ -232,12 +265,12 @@ def text_layer(t):
 
 @query("""
 WITH v AS (SELECT user_id AS page, CASE WHEN event_type = 'view' THEN NULL ELSE event_type END AS block, event_id AS version, props FROM events),
-n AS (SELECT page, block, max(version) AS version, max_by(props, version) AS content FROM v WHERE version <= (SELECT quantile_disc(event_id, 0.5) FROM events) GROUP BY ALL)
+n AS (SELECT page, block, max(version) AS version, max_by(props, version) AS content FROM v WHERE version <= (SELECT max(event_id) // 2 FROM events) GROUP BY ALL)
 SELECT page, block, version, content FROM n a WHERE block IS NOT NULL OR NOT EXISTS (SELECT 1 FROM n b WHERE b.page = a.page AND b.block IS NOT NULL)
 """)
 def layers_as_of(t):
     e = t("events")
-    half = e.agg(F.percentile("event_id", 0.5).alias("p")).select(F.floor("p").alias("cut"))
+    half = e.agg(F.expr("max(event_id) div 2").alias("cut"))
     rows = e.selectExpr("concat_ws('/', user_id, if(event_type = 'view', null, event_type)) as path", "event_id as version", "props as content").crossJoin(F.broadcast(half))
     page, block = F.split_part("path", F.lit("/"), F.lit(1)).cast("bigint"), F.nullif(F.split_part("path", F.lit("/"), F.lit(2)), F.lit(""))
     return rp.layers_as_of(rows, "path", block, page, F.col("cut")).select("page", "block", "version", "content")
