@@ -99,9 +99,29 @@ def upper_median(x: Column) -> Column:
     return F.element_at(F.sort_array(F.collect_list(x)), (F.count(x) / 2).cast("int") + 1)
 
 
+#: Ranks around the middle, as a share, between which the median is looked for; sketches are twice as exact.
+NEAR = 0.0002
+
+
+def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, median: exact, without gathering a key's values. A sketch, which merges across tasks, gives two values with the
+    middle surely between them; what is below them is counted, and only distinct values between them are put in order."""
+    known = rows.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"))
+    bounds = known.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", F.array(F.lit(0.5 - NEAR), F.lit(0.5 + NEAR)), F.lit(int(2 / NEAR))).alias("p"))
+    near = known.join(bounds.select(F.col(key).alias("k_"), F.col("p")[0].alias("low"), F.col("p")[1].alias("high")), F.col(key).eqNullSafe(F.col("k_"))).where("v <= high")
+    counted = near.groupBy(key, F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    lists = counted.groupBy(F.col(key).alias("k_")).agg(F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0)).alias("below"), F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("v", "c")))).alias("mid"))
+    both = bounds.join(lists, F.col(key).eqNullSafe(F.col("k_")))
+    # the value with so many rows before it, by a fold that counts up to it
+    at = lambda rank: F.aggregate("mid", F.struct(F.col("below").alias("upto"), F.lit(None).cast("double").alias("v")), lambda acc, x: F.struct((acc["upto"] + x["c"]).alias("upto"), F.when(acc["v"].isNull() & (acc["upto"] + x["c"] > rank), x["v"]).otherwise(acc["v"]).alias("v")))["v"]
+    return both.select(key, ((at(F.expr("(n - 1) div 2")) + at(F.expr("n div 2"))) / 2).alias("median"))
+
+
 def timing_stats(rows: DataFrame, key: str, seconds: str) -> DataFrame:
-    """key, num, total, mean, median; percentiles merge across tasks, so no key is gathered as a list."""
-    return rows.groupBy(key).agg(F.count(seconds).alias("num"), F.round(F.sum(seconds), 4).alias("total"), F.round(F.avg(seconds), 4).alias("mean"), F.round(F.median(seconds), 4).alias("median"))
+    """key, num, total, mean, median of the seconds that are known; a key may have any number of rows."""
+    stats = rows.groupBy(key).agg(F.count(seconds).alias("num"), F.round(F.sum(seconds), 4).alias("total"), F.round(F.avg(seconds), 4).alias("mean"))
+    middle = medians(rows, key, seconds).withColumnRenamed(key, "of_")
+    return stats.join(middle, F.col(key).eqNullSafe(F.col("of_")), "left").select(key, "num", "total", "mean", F.round("median", 4).alias("median"))
 
 
 def recent(rows: DataFrame, group: str, item: str, ts: str, id_: str, most: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..sources import packages as pk
 from ..sources import pages as pg
+from ..sources import work_snapshots as ws
+from ..streaming.usage import shared_folder
 from .registry import query
 
 
@@ -55,3 +57,27 @@ def package_sections(t):
     cut = whole.where("path % 50 = 7").withColumn("content", F.expr("substring(content, 1, length(content) - 40)"))
     rows = pk.parse_packages(whole.unionByName(cut))
     return rows.select(F.col("path").cast("long").alias("doc_id"), "kind", F.col("index").cast("long").alias("nth"), F.when(F.col("kind") != "error", F.md5(F.trim("text"))).alias("text_md5"))
+
+
+@query("""
+SELECT doc_id || '_new' AS work, 3 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS n_files, md5(text) AS text_md5, '{"block_id":"b' || doc_id % 4 || '","marks":[' || doc_id || ']}' AS marks, CASE WHEN doc_id % 4 > 1 THEN 1 ELSE 0 END AS n_warnings
+FROM documents WHERE doc_id % 10 <> 9
+""")
+def work_snapshots(t):
+    """Documents as works with a text, a layout, marks and some with corrections: written as snapshots, checked, and
+    restored. Every tenth has no title and is refused; marks of some name a block that the layout doesn't have."""
+    docs = t("documents").select(F.col("doc_id").cast("string").alias("work"), "doc_id", "text")
+    manifest = F.when(F.col("doc_id") % 10 != 9, F.format_string('{"document_id": "d%d", "title": "t"}', "doc_id")).otherwise("{}")
+    layout = F.lit('{"part_id": "v", "page_number": 1, "blocks": [{"block_id": "b0"}, {"block_id": "b1"}]}')
+    files = [
+        ("original", "manifest.json", manifest), ("original", "L4_text/pages/v_page_001.txt", F.col("text")), ("original", "L3_layout/v_page_001.json", layout),
+        ("original", "L4_text/corrections/v_page_001_corrections.json", F.when(F.col("doc_id") % 3 == 0, '{"corrections": [1]}')), ("interpretation", "L5_reading/main_text/v_page_001_punctuation.json", F.format_string('{"marks": [%d], "block_id": "b%d"}', "doc_id", F.col("doc_id") % 4)),
+    ]
+    rows = docs.select("work", F.inline(F.array(*(F.struct(F.lit(a).alias("area"), F.lit(p).alias("path"), c.alias("content"), F.lit(1).cast("long").alias("size")) for a, p, c in files)))).where("content is not null")
+    folder = shared_folder(rows.sparkSession)
+    ws.build(rows).write.parquet(folder)
+    made = rows.sparkSession.read.parquet(folder)
+    warned = ws.validate(made).where("level = 'warning'").groupBy(F.concat("work", F.lit("_new")).alias("work")).agg(F.count(F.lit(1)).alias("n_warnings"))
+    only = lambda path: F.max(F.when(F.col("path").endswith(path), F.col("content")))
+    back = ws.restore(made, "_new").groupBy("work").agg(F.count(F.lit(1)).alias("n_files"), F.md5(only(".txt")).alias("text_md5"), only("_punctuation.json").alias("marks"))
+    return back.join(warned, "work", "left").select("work", "n_files", "text_md5", "marks", F.coalesce("n_warnings", F.lit(0)).alias("n_warnings"))

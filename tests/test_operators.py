@@ -7,6 +7,7 @@ from inkwell.operators import lineage as li
 from inkwell.operators import records as rc
 from inkwell.operators import spans as sp
 from inkwell.operators import texts as tx
+from inkwell.operators import usage as us
 
 
 def one(df):
@@ -163,3 +164,16 @@ def test_adjacent_duplicates_compare_with_the_last_kept(spark):
     rows = [(1, 1, 1, 0.5, 0.0, 0.0, 10.0, 10.0), (1, 2, 2, 0.9, 0.5, 0.0, 10.0, 10.0), (1, 3, 3, 0.1, 0.0, 0.0, 10.0, 9.5), (1, 4, 4, 0.1, 50.0, 0.0, 60.0, 10.0), (2, 5, 1, 0.1, 0.0, 0.0, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "page long, id long, rank int, conf double, x1 double, y1 double, x2 double, y2 double")
     assert sorted(r.id for r in la.drop_adjacent(df, "page").collect()) == [2, 4, 5]
+
+
+def test_medians_are_exact_without_gathering(spark):
+    import random
+    from statistics import median
+
+    rng = random.Random(1)
+    groups = {"one": [3.5], "two": [1.0, 4.0], "same": [7.0] * 3000, "many": [rng.random() for _ in range(30_001)], "even": [float(rng.randrange(50)) for _ in range(20_000)], None: [1.0, 2.0, 9.0], "none": []}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("many", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    assert dict(one(us.medians(df, "k", "v"))) == {k: median(vs) for k, vs in groups.items() if vs}
+    stats = {r.k: (r.num, r.median) for r in us.timing_stats(df, "k", "v").collect()}
+    assert stats["none"] == (0, None) and stats["two"] == (2, 2.5) and stats[None] == (3, 2.0)
