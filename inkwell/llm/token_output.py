@@ -205,8 +205,10 @@ def write_tokens(docs: DataFrame, path: str, order: list[str], tokenizer_path: s
                 seq += 1
 
     placed = docs.select(id_in("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *(F.col(c).alias(f"order_{i}") for i, c in enumerate(order)))
-    by = [f"order_{i}" for i in range(len(order))]
-    placed = placed.repartitionByRange(*by).sortWithinPartitions(*by, "text")
+    # rows of equal order are dealt out by a hash of the text, and rows that repeat that too by where they stand
+    placed = placed.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    by = [*(f"order_{i}" for i in range(len(order))), "tie", "row"]
+    placed = placed.repartitionByRange(*by).sortWithinPartitions(*by)
     placed.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInPandas(encode, RECORDS).write.parquet(path)
 
 
@@ -246,7 +248,8 @@ def _decoded(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
 def token_output(docs: DataFrame, order: list[str] | None = None, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Write the ids of all documents and read them back: doc_id, start, n_tokens, ids_crc32, a row per row of docs.
 
-    Defined results: null and empty texts have the end id alone; rows of equal order follow each other by text; a null
+    Defined results: null and empty texts have the end id alone; rows of equal order follow each other by a hash of the text, however
+    many they are; a null
     id comes first; an empty table gives an empty result; other columns are ignored.
     """
     import uuid

@@ -61,3 +61,18 @@ def test_files_hold_all_documents_in_order(spark, tokenizer, tmp_path):
 def test_null_ids_and_repeats(spark):
     df = spark.createDataFrame([(None, "a"), (3, "b"), (3, "b")], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.start) for r in token_output(df).collect()) == [(-1, 0), (3, 2), (3, 4)]
+
+
+def test_a_third_of_all_rows_may_have_no_id_and_one_text(spark, tmp_path):
+    rows = [(None, "the same text in every row")] * 2000 + [(i, f"text {i}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a table would be one part
+    try:
+        got = token_output(df, path=str(tmp_path / "ids")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = spark.read.parquet(str(tmp_path / "ids")).groupBy("part").sum("n_docs").collect()
+    assert len(parts) > 1 and max(r[1] for r in parts) < 3000  # of 6,000 rows, a third of them alike
+    starts = sorted((r.start, r.n_tokens, r.doc_id) for r in got)
+    assert len(got) == 6000 and all(a[0] + a[1] == b[0] for a, b in zip(starts, starts[1:], strict=False))
+    assert [x[2] for x in starts] == [None] * 2000 + list(range(4000))
