@@ -55,10 +55,16 @@ def test_best_window_looks_at_every_place(spark):
     rows = [far, bare, *((word(size), word(rng.choice((30, 80, 200)))) for _ in range(12))]
     got = [tuple(r.w) for r in spark.createDataFrame(rows, "n string, t string").coalesce(1).select(al.best_window("n", "t").alias("w")).collect()]
     assert got[0][:2] == (len(decoys), len(far[0])) and abs(got[1][0] - 300) < 2
+    alike = lambda n, part: difflib.SequenceMatcher(None, n, part).ratio()
     for (n, t), (start, length, ratio) in zip(rows[1:], got[1:], strict=True):
-        every = max((difflib.SequenceMatcher(None, n, t[s : s + k]).ratio(), -s, -k) for s in range(len(t) - len(n) + 1) for k in (len(n), len(n) - 2, len(n) + 2))
-        probes = [p for k in (5, 3) for p in (n[:k], n[size // 2 - k : size // 2], n[-k:])]
-        assert ratio <= every[0] and (any(p in t for p in probes) or every[0] < 0.3 or (start, length, ratio) == (-every[1], -every[2], every[0]))
+        windows = [(alike(n, t[s : s + len(n)]), -s) for s in range(len(t) - len(n) + 1)]
+        best, back = max(windows)
+        low, high = max(0, -back - 2), min(len(t), -back + len(n) + 2)
+        want = (0, len(t)) if best < 0.3 else (low, high - low) if alike(n, t[low:high]) > best else (-back, len(n))
+        probes = [p for k in (5, 3) for p in (n[:k], n[len(n) // 2 : len(n) // 2 + k], n[-k:])]
+        assert (start, length) == want or (any(p in t for p in probes) and ratio <= max(alike(n, t[max(0, s - 2) : s + len(n) + 2 * k]) for s in range(len(t)) for k in (0, 1)))
+    short = spark.createDataFrame([("abc", "abcd"), ("abcd", "abc"), ("", "abc"), ("abc", None)], "n string, t string").select(al.best_window("n", "t").alias("w")).collect()
+    assert [(r.w.start, r.w.length) for r in short] == [(0, 3), (0, 3), (0, 3), (0, 0)]
 
 
 def test_altered_pages_are_mapped(spark):
