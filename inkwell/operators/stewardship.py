@@ -111,20 +111,20 @@ def trash_entry(name: Column) -> Column:
 def page_image(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """wanted (doc, part_id, page_num) with name: the file of the page by `part_page_NNN.ext`, else `page_NNN.ext`, else
     any `*_pNNN.ext` or `*_pNNNN.ext` (the first by name; extensions in either case); null if there is none. files:
-    doc, name."""
+    doc, name. Joins are merged: Spark takes wanted pages, which come of an explode, for as few as what they came of."""
     stem = F.regexp_extract("name", r"^(.*)\.([^.]+)$", 1)
     ext = F.array_position(F.array(*(F.lit(e) for e in IMAGES)), F.lower(F.regexp_extract("name", r"^(.*)\.([^.]+)$", 2)))
     known = files.select("doc", "name", stem.alias("stem"), ext.alias("ext"), F.col("name").rlike(r"\.[a-z]+$").alias("lower")).where("ext > 0")
     page, low = F.format_string("page_%03d", "page_num"), F.format_string("_p%03d", "page_num")
     named = [(0, F.concat("part_id", F.lit("_"), page)), (1, page)]
     asked = wanted.select("doc", "part_id", "page_num", F.inline(F.array(*(F.struct(F.lit(i).alias("rank"), n.alias("stem")) for i, n in named))))
-    exact = asked.join(known.where("lower"), ["doc", "stem"]).select("doc", "part_id", "page_num", "rank", "ext", "name")
+    exact = asked.join(known.where("lower").hint("merge"), ["doc", "stem"]).select("doc", "part_id", "page_num", "rank", "ext", "name")
     tails = known.select("doc", "ext", "name", F.regexp_extract("stem", r"(_p\d{3,4})$", 1).alias("tail")).where("tail <> ''")
-    by_tail = wanted.select("doc", "part_id", "page_num", F.explode(F.array_distinct(F.array(low, F.format_string("_p%04d", "page_num")))).alias("tail")).join(tails, ["doc", "tail"])
+    by_tail = wanted.select("doc", "part_id", "page_num", F.explode(F.array_distinct(F.array(low, F.format_string("_p%04d", "page_num")))).alias("tail")).join(tails.hint("merge"), ["doc", "tail"])
     rank = F.when(F.char_length("tail") == 5, 2).otherwise(3)
     found = exact.unionByName(by_tail.select("doc", "part_id", "page_num", rank.alias("rank"), F.lit(0).cast("bigint").alias("ext"), "name"))
     best = found.groupBy("doc", "part_id", "page_num").agg(F.min(F.struct("rank", "ext", "name")).alias("best"))
-    return wanted.join(best, ["doc", "part_id", "page_num"], "left").select("doc", "part_id", "page_num", F.col("best.name").alias("name"))
+    return wanted.join(best.hint("merge"), ["doc", "part_id", "page_num"], "left").select("doc", "part_id", "page_num", F.col("best.name").alias("name"))
 
 
 def first_given(*choices: Column) -> Column:
