@@ -29,6 +29,21 @@ def row_type(**fields: object) -> T.StructType:
     return T.StructType([T.StructField(k, KINDS.get(v, v)) for k, v in fields.items()])
 
 
+#: Letters of the texts whose results are made at a time. A batch is 10,000 texts, and what is told of a text's lines and
+#: marks is many times its size.
+PIECE_LETTERS = 500_000
+
+
+def pieces(texts: pd.Series) -> Iterator[slice]:
+    """Slices of texts that follow each other, of PIECE_LETTERS letters or of one text."""
+    ends = np.cumsum([len(t or "") for t in texts], dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE_LETTERS, side="right")))
+        yield slice(at, to)
+        at = to
+
+
 PAIRS = T.ArrayType(row_type(kind="string", ocr="string", ref="string", ocr_at="int", ref_at="int"))
 PLACES = T.ArrayType(row_type(pos="int", text="string"))
 
@@ -81,9 +96,11 @@ def nfc(text: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.ArrayType(row_type(op="string", line="string")))
-def diff_lines(old: pd.Series, new: pd.Series) -> pd.Series:
+def diff_lines(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Lines of both texts in order: unchanged (a longest common subsequence), removed, added."""
-    return pd.Series([line_operations((a or "").split("\n"), (b or "").split("\n")) for a, b in zip(old, new, strict=True)])
+    for old, new in batches:
+        for s in pieces(old):
+            yield pd.Series([line_operations((a or "").split("\n"), (b or "").split("\n")) for a, b in zip(old[s], new[s], strict=True)])
 
 
 def relabel_variants(pairs: DataFrame, variants: DataFrame) -> DataFrame:
@@ -296,14 +313,19 @@ def salvage_json(raw: Column | str, keys: tuple[str, ...] = ANSWER_KEYS) -> Colu
 
 
 @F.pandas_udf(row_type(clean="string", marks=T.ArrayType(row_type(pos="int", text="string", original="string")), glosses=PLACES, raised=T.ArrayType(row_type(raw_pos="int", spaces="int", letter="string", context="string"))))
-def clean_text(raw: pd.Series, punctuation: pd.Series, take_glosses: pd.Series) -> pd.DataFrame:
+def clean_text(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Text without marks of `punctuation` (a set of characters; empty: marks stay), glosses and white space, and where
     those were: the place of a mark or gloss is that of the clean character before it (0 at the beginning). raised has
     the characters raised by spaces, by their place in the raw text."""
-    return pd.DataFrame([glosses.clean(text or "", marks, bool(marks), take) for text, marks, take in zip(raw, punctuation, take_glosses, strict=True)], columns=["clean", "marks", "glosses", "raised"])
+    for raw, punctuation, take_glosses in batches:
+        for s in pieces(raw):
+            rows = [glosses.clean(text or "", marks, bool(marks), take) for text, marks, take in zip(raw[s], punctuation[s], take_glosses[s], strict=True)]
+            yield pd.DataFrame(rows, columns=["clean", "marks", "glosses", "raised"])
 
 
 @F.pandas_udf(T.ArrayType(row_type(raw_pos="int", text="string", before="string", after="string")))
-def find_glosses(raw: pd.Series) -> pd.Series:
+def find_glosses(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Glosses of up to four syllables that stand between an ideograph and another one, a mark, white space or the end."""
-    return pd.Series([glosses.find_glosses(text or "") for text in raw])
+    for raw in batches:
+        for s in pieces(raw):
+            yield pd.Series([glosses.find_glosses(text or "") for text in raw[s]])

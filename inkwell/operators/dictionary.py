@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +19,7 @@ from .texts import occurrences
 
 
 #: Letters of headwords to a shard of the dictionary (some 30 bytes each once it is built), and letters searched at a time.
-SHARD_LETTERS, CHUNK_LETTERS = 2_000_000, 2_000_000
+SHARD_LETTERS, CHUNK_LETTERS = 2_000_000, 500_000
 
 
 def positions_of(text: Column, needle: Column) -> Column:
@@ -56,11 +57,11 @@ def substring_join(texts: DataFrame, words: DataFrame, key: str, text_col: str =
             patterns, automaton = pickle.loads(shared.value)
             names = pa.array(patterns, pa.string())
             for batch in batches:
-                held = [t or "" for t in batch.column(1).to_pylist()]
-                ends, at = np.cumsum([len(t) + 1 for t in held]), 0
-                while at < len(held):
+                # only the texts of a chunk are made strings
+                ends, at = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1), 0
+                while at < len(ends):
                     to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_LETTERS, side="right")))
-                    of, pattern, start = automaton.find(held[at:to])
+                    of, pattern, start = automaton.find([t or "" for t in batch.column(1).slice(at, to - at).to_pylist()])
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of + at)), names.take(pa.array(pattern)), pa.array(start, pa.int32())], names=[key, "headword", "start"])
                     at = to
 

@@ -1,5 +1,8 @@
 """Plans and kernels whose cost has to follow the input: no estimate, batch or page may make one step hold it all."""
 
+import pandas as pd
+
+from inkwell.operators import alignment as al
 from inkwell.operators import stewardship as st
 
 
@@ -13,3 +16,14 @@ def test_wanted_pages_are_not_broadcast(spark):
     out = st.page_image(wanted, files)
     assert "BroadcastHashJoin" not in plan_of(out)
     assert {(r.doc, r.page_num): r.name for r in out.collect() if r.name} == {(0, 1): "page_001.png", (1, 0): "x_p0000.JPG", (2, 1): "v1_page_001.tif"}
+
+
+def test_texts_of_a_batch_are_taken_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(al, "PIECE_LETTERS", 10)
+    texts = ["abcd", None, "e" * 30, "", "fghij", "klmno", "p"]
+    got = list(al.pieces(pd.Series(texts)))
+    assert [(s.start, s.stop) for s in got] == [(0, 2), (2, 3), (3, 6), (6, 7)]
+    assert all(sum(len(t or "") for t in texts[s]) <= 10 or len([t for t in texts[s] if t]) == 1 for s in got)
+    assert list(al.pieces(pd.Series([], dtype=object))) == []
+    sizes = [len(x) for x in al.clean_text.func(iter([(pd.Series(texts), pd.Series(["."] * 7), pd.Series([True] * 7))]))]
+    assert sizes == [2, 1, 3, 1]
