@@ -3,6 +3,7 @@
 import pandas as pd
 
 from inkwell.operators import alignment as al
+from inkwell.operators import layout as la
 from inkwell.operators import stewardship as st
 
 
@@ -27,3 +28,12 @@ def test_texts_of_a_batch_are_taken_in_pieces(spark, monkeypatch):
     assert list(al.pieces(pd.Series([], dtype=object))) == []
     sizes = [len(x) for x in al.clean_text.func(iter([(pd.Series(texts), pd.Series(["."] * 7), pd.Series([True] * 7))]))]
     assert sizes == [2, 1, 3, 1]
+
+
+def test_lines_and_blocks_of_a_page_make_no_pairs(spark):
+    lines = spark.createDataFrame([(1, 1, 0.0, 0.0, 2.0, 2.0), (1, 2, 8.0, 8.0, 9.0, 9.0), (1, 2, 1.0, 1.0, 2.0, 2.0), (2, 3, 0.0, 0.0, 1.0, 1.0)], "page int, line int, x1 double, y1 double, x2 double, y2 double")
+    blocks = spark.createDataFrame([(1, "a", 1, 0.0, 0.0, 5.0, 5.0), (1, "b", 0, 1.0, 1.0, 4.0, 4.0), (1, "c", 2, 30.0, 0.0, 31.0, 1.0)], "page int, block string, pos int, x1 double, y1 double, x2 double, y2 double")
+    out = la.assign_lines(lines, blocks, "page")
+    assert sorted(map(tuple, out.collect())) == [(1, 1, "a", "inside"), (1, 2, "b", "inside"), (2, 3, "unmatched", "none")]
+    join = next(i for i, x in enumerate(plan_of(out).splitlines()) if "Join" in x)
+    assert any("collect_list" in x for x in plan_of(out).splitlines()[join:])
