@@ -83,7 +83,13 @@ def blocks_within(blocks: DataFrame, page: str, margin: float = MARGIN, cell: in
     inner = blocks.select(page, F.col("block").alias("inner"), F.col("points").alias("corners"), F.floor(corner["x"] / cell).alias("cx"), F.floor(corner["y"] / cell).alias("cy"))
     outer = _in_cells(blocks.select(page, F.col("block").alias("outer"), "points"), margin, cell)
     near = lambda p: holds(F.col("points"), p["x"].cast("double"), p["y"].cast("double")) | (distance(F.col("points"), p["x"].cast("double"), p["y"].cast("double")) <= margin)
-    return inner.join(outer, [page, "cx", "cy"]).where((F.col("inner") != F.col("outer")) & F.forall("corners", near)).select(page, "inner", "outer")
+    side = lambda f, points, axis: f(F.transform(points, lambda p: p[axis])).cast("double")
+    edges = [(axis, f"{axis}{n}", f) for axis in ("x", "y") for n, f in ((1, F.array_min), (2, F.array_max))]
+    inner = inner.withColumns({f"i_{name}": side(f, "corners", axis) for axis, name, f in edges})
+    outer = outer.withColumns({f"o_{name}": side(f, "points", axis) for axis, name, f in edges})
+    # most pairs stick out by their boxes already; outlines are for the rest
+    within = (F.col("inner") != F.col("outer")) & (F.col("i_x1") >= F.col("o_x1") - margin) & (F.col("i_x2") <= F.col("o_x2") + margin) & (F.col("i_y1") >= F.col("o_y1") - margin) & (F.col("i_y2") <= F.col("o_y2") + margin)
+    return inner.join(outer, [page, "cx", "cy"]).where(within & F.forall("corners", near)).select(page, "inner", "outer")
 
 
 @F.pandas_udf(T.ArrayType(row_type(owner=T.LongType(), into=T.LongType())))

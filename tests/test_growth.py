@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from inkwell.operators import alignment as al
 from inkwell.operators import layout as la
+from inkwell.operators import order as od
 from inkwell.operators import parsing as ps
+from inkwell.operators import polygons as po
 from inkwell.operators import stewardship as st
 
 
@@ -52,3 +54,19 @@ def test_an_item_is_read_once(spark):
     got = {r.id: r.i for r in out.collect()}
     assert [(got[r.id].title, got[r.id].creator, got[r.id].subjects) for r in want] == [(r.title, r.creator, r.subjects) for r in want]
     assert (got[1].title, got[1].isbn, got[1].ndc9, got[1].material, got[1].see_also) == ("a & b", "2", "9", "m", "u")
+
+
+def test_pages_of_the_same_boxes_are_worked_out_once():
+    seen = []
+    page = lambda *boxes: [dict(zip(od.SIDES, b, strict=True)) for b in boxes]
+    places = od._per_page(lambda b: seen.append(len(b)) or list(range(len(b)))).func
+    one, two = page((0, 0, 1, 1), (2, 0, 3, 1)), page((0, 0, 1, 1), (2, 0, 3, 2))
+    assert places(pd.Series([one, two, one, [], one])).tolist() == [[0, 1], [0, 1], [0, 1], [], [0, 1]] and seen == [2, 2, 0]
+
+
+def test_boxes_are_tried_before_outlines(spark):
+    square = lambda a, n: [(a, a), (a + n, a), (a + n, a + n), (a, a + n)]
+    blocks = spark.createDataFrame([(1, 1, square(0, 300)), (1, 2, square(50, 20)), (1, 3, square(320, 30)), (1, 4, square(290, 10))], "page int, block int, points array<struct<x: int, y: int>>")
+    out = po.blocks_within(blocks, "page")
+    assert sorted(map(tuple, out.collect())) == [(1, 2, 1), (1, 4, 1), (1, 4, 3)]
+    assert "i_x1" in plan_of(out)
