@@ -70,6 +70,8 @@ def align_counts(ocr: pd.Series, ref: pd.Series) -> pd.DataFrame:
     """How many pairs align_chars gives, by kind, and the mismatched ones."""
 
     def one(a: str, b: str) -> tuple:
+        if a == b:  # SequenceMatcher takes them as one stretch too, but in quadratic time
+            return len(a), len(a), 0, 0, []
         exact = inserted = deleted = 0
         wrong: list[tuple] = []
         for op, i, j, k, m in difflib.SequenceMatcher(None, a, b).get_opcodes():
@@ -179,6 +181,8 @@ def _window(needle: str, text: str) -> tuple[int, int, float]:
     if not needle or len(text) <= len(needle):
         return 0, len(text), difflib.SequenceMatcher(None, needle, text).ratio() if needle and text else 0.0
     size, last = len(needle), len(text) - len(needle)
+    if (found := text.find(needle)) >= 0:  # nothing is more alike, and of places as much alike the first counts
+        return found, size, 1.0
     votes, around = Counter(), np.zeros(len(text) + 2, np.int64)
     for n in (5, 3):
         probes = [0] * (size >= n) + [size // 2] * (size >= 2 * n) + [size - n] * (size >= 3 * n)

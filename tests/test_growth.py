@@ -1,6 +1,10 @@
 """Plans and kernels whose cost has to follow the input: no estimate, batch or page may make one step hold it all."""
 
+import difflib
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from inkwell.operators import alignment as al
@@ -70,3 +74,30 @@ def test_boxes_are_tried_before_outlines(spark):
     out = po.blocks_within(blocks, "page")
     assert sorted(map(tuple, out.collect())) == [(1, 2, 1), (1, 4, 1), (1, 4, 3)]
     assert "i_x1" in plan_of(out)
+
+
+def test_equal_texts_are_not_matched_letter_by_letter(spark, monkeypatch):
+    text = "一二三 abc " * 40
+    monkeypatch.setattr(al.difflib, "SequenceMatcher", lambda *a: (_ for _ in ()).throw(AssertionError("matched")))
+    assert al.align_counts.func(pd.Series([text, None]), pd.Series([text, ""])).iloc[:, :4].to_numpy().tolist() == [[320, 320, 0, 0], [0, 0, 0, 0]]
+    assert al._window("三 abc 一", "x" + text) == (3, 7, 1.0)
+    monkeypatch.undo()
+    assert difflib.SequenceMatcher(None, text, text).get_opcodes() == [("equal", 0, 320, 0, 320)]
+
+
+def test_pages_of_as_many_boxes_are_worked_out_together(spark):
+    seen = []
+    kernel = lambda b: seen.append(b.shape) or np.tile(np.arange(b.shape[1]), (len(b), 1))
+    side = pa.array([[1.0, 2.0], [], [3.0], [4.0, 5.0]])
+    assert od._by_size(side, side, side, side, kernel).to_pylist() == [[0, 1], [], [0], [0, 1]] and sorted(seen) == [(1, 1, 4), (2, 2, 4)]
+    notes = [(1, 1, 1, 0, 0, 9, 30), (1, 2, 2, 9, 0, 18, 30), (1, 3, 3, 17, 0, 26, 30), (2, 1, 1, 0, 0, 9, 30), (3, 1, 1, 0, 0, 9, 30), (3, 2, 2, 50, 0, 59, 30), (3, 3, 3, 9, 0, 18, 30)]
+    out = od.inline_groups(spark.createDataFrame(notes, "page int, id int, pos int, x1 int, y1 int, x2 int, y2 int"), ["page"])
+    assert sorted((r.page, r.id, r.seed, r.nth) for r in out.collect()) == [(1, 1, 1, 1), (1, 2, 1, 2), (1, 3, 3, 1), (2, 1, 1, 1), (3, 1, 1, 1), (3, 2, 2, 1), (3, 3, 1, 2)]
+
+
+def test_lines_in_bands_need_no_comparator(monkeypatch):
+    boxes = np.array([[[50, 0, 58, 30], [0, 40, 8, 70], [1, 0, 9, 30]], [[0, 0, 8, 30], [2, 40, 10, 70], [4, 0, 12, 30]]], float)
+    want = [od.in_bands(-b[:, 0], b[:, 1], 8 * od.SAME_COLUMN) for b in boxes]
+    tried = []
+    monkeypatch.setattr(od, "in_bands", lambda *a, f=od.in_bands: tried.append(1) or f(*a))
+    assert od._line_orders(boxes).tolist() == want and len(tried) == 1  # the second page's columns run into each other
