@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import glosses
 from ..functions.answers import salvage
+from ..functions.likeness import ratio as ratio_of
 from ..functions.line_diff import line_operations
 
 #: The arrays that models answer with.
@@ -89,7 +90,7 @@ def align_counts(ocr: pd.Series, ref: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+    return pd.Series([ratio_of(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 @F.pandas_udf(T.StringType())
@@ -132,21 +133,11 @@ def text_stats(rows: DataFrame, keys: list[str], variants: DataFrame) -> DataFra
     return out.select(*keys, "total", "n_exact", "n_variant", "n_mismatch", "n_insertion", "n_deletion", accuracy.alias("accuracy"))
 
 
-def _common(masks: dict[str, int], full: int, text: str) -> int:
-    """Length of the longest common subsequence of text and the needle whose characters' places are masks."""
-    v = full
-    for c in text:
-        if m := masks.get(c):
-            v = ((v + (v & m)) | (v & ~m)) & full
-    return (full & ~v).bit_count()
-
-
 def _most_alike(needle: str, text: str, starts: np.ndarray, votes: Counter) -> tuple[float, bool, int, int]:
     """(ratio, voted for, -start, -length) of the window most like needle, of those that begin at starts. Starts with
     votes come before others as much alike; those with most are tried first.
 
-    No window is left out but by a bound: SequenceMatcher matches no more characters than both have in common, counted
-    or in order.
+    No window is left out but by a bound: the ratio (difflib's) matches no more characters than both have in common.
     """
     chars, n, size = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), len(text), len(needle)
     lengths = [size]
@@ -156,17 +147,14 @@ def _most_alike(needle: str, text: str, starts: np.ndarray, votes: Counter) -> t
         for row, length in zip(shared, lengths, strict=True):
             row += np.minimum(seen[np.minimum(starts + length, n)] - seen[starts], k)
     bound = np.concatenate([2.0 * row / (size + np.minimum(length, n - starts)) for row, length in zip(shared, lengths, strict=True)])
-    masks, full, best = {}, (1 << size) - 1, (0.0, False, 0, 0)
-    for i, c in enumerate(needle):
-        masks[c] = masks.get(c, 0) | 1 << i
+    best = (0.0, False, 0, 0)
     tried = [(2.0, s, length) for s, _ in votes.most_common(8) for length in lengths]
     rest = np.argsort(-bound, kind="stable")
     for upper, s, length in chain(tried, ((bound[i], int(starts[i % len(starts)]), lengths[i // len(starts)]) for i in rest)):
         if upper < best[0]:
             break
         window = text[s : s + length]
-        if 2.0 * _common(masks, full, window) / (size + len(window)) >= best[0]:
-            best = max(best, (difflib.SequenceMatcher(None, needle, window).ratio(), s in votes, -s, -length))
+        best = max(best, (ratio_of(needle, window), s in votes, -s, -length))
     return best
 
 
@@ -179,7 +167,7 @@ def _window(needle: str, text: str) -> tuple[int, int, float]:
     both sides where that is more alike. The whole text where it is no longer than the needle, or nothing in it is like
     it. Looked for around all places of three probes of 5 characters, else of 3, else everywhere."""
     if not needle or len(text) <= len(needle):
-        return 0, len(text), difflib.SequenceMatcher(None, needle, text).ratio() if needle and text else 0.0
+        return 0, len(text), ratio_of(needle, text) if needle and text else 0.0
     size, last = len(needle), len(text) - len(needle)
     if (found := text.find(needle)) >= 0:  # nothing is more alike, and of places as much alike the first counts
         return found, size, 1.0
@@ -202,7 +190,7 @@ def _window(needle: str, text: str) -> tuple[int, int, float]:
         return 0, len(text), ratio
     start = -start
     low, high = max(0, start - MARGIN), min(len(text), start + size + MARGIN)
-    wider = difflib.SequenceMatcher(None, needle, text[low:high]).ratio()
+    wider = ratio_of(needle, text[low:high])
     return (low, high - low, wider) if wider > ratio else (start, size, ratio)
 
 
@@ -237,7 +225,7 @@ def _anchor_place(anchor: str, whole: str, at: int, grams: Callable[[], dict], n
     for k in offsets:
         votes.update(i - k for i in grams().get(anchor[k : k + n], ()) if i - k >= at)
     places = sorted(i for i, v in votes.items() if v >= max(1, len(offsets) // 2)) or [i for i, _ in votes.most_common(1)]
-    ratio, i = max(((difflib.SequenceMatcher(None, anchor, whole[i : i + len(anchor)]).ratio(), -i) for i in places), default=(0.0, 0))
+    ratio, i = max(((ratio_of(anchor, whole[i : i + len(anchor)]), -i) for i in places), default=(0.0, 0))
     return (-i, ratio) if ratio >= max(0.6, 1.0 - 2.0 / len(anchor)) else (-1, ratio)
 
 

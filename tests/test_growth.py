@@ -1,18 +1,24 @@
 """Plans and kernels whose cost has to follow the input: no estimate, batch or page may make one step hold it all."""
 
 import difflib
+import random
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from inkwell.functions.likeness import ratio
+from inkwell.functions.tasks import ROWS_A_TASK, dealt
 from inkwell.operators import alignment as al
 from inkwell.operators import layout as la
 from inkwell.operators import order as od
 from inkwell.operators import parsing as ps
 from inkwell.operators import polygons as po
+from inkwell.operators import records as rc
 from inkwell.operators import stewardship as st
+from inkwell.operators import variants as va
+from inkwell.sources import packages as pk
 
 
 def plan_of(df):
@@ -101,3 +107,35 @@ def test_lines_in_bands_need_no_comparator(monkeypatch):
     tried = []
     monkeypatch.setattr(od, "in_bands", lambda *a, f=od.in_bands: tried.append(1) or f(*a))
     assert od._line_orders(boxes).tolist() == want and len(tried) == 1  # the second page's columns run into each other
+
+
+def test_ratio_is_that_of_difflib():
+    r = random.Random(2)
+    for n in (0, 1, 5, 90, 199, 200, 201, 330):
+        for letters in ("ab", "abcdefghij klmnop", "etaoinshrdlu cmfwyp" * 4 + "qzxjkvbgあ"):
+            b = "".join(r.choice(letters) for _ in range(n))
+            for a in (b, b[3:] + "xy", b.replace("e", "é").replace("a", "ä"), b[::-1], ""):
+                assert ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def test_rows_of_packages_are_handed_on_together(spark, monkeypatch):
+    files = spark.createDataFrame([(i, [f"a & <{i}>", "b"], ["n"] if i % 2 else None) for i in range(50)], "id int, s array<string>, notes array<string>").coalesce(1)
+    made = pk.packages_of(files, F.col("id").cast("string"), F.col("s"), F.col("notes"))
+    out = pk.parse_packages(made).coalesce(1)
+    got = sorted((int(r.path), r.kind, r["index"], r.text) for r in out.collect())
+    assert got == sorted([(i, "section", j, x) for i in range(50) for j, x in enumerate((f"a & <{i}>", "b"))] + [(i, "footnote", 1, "n") for i in range(1, 50, 2)])
+    assert "MapInArrow" in plan_of(out)
+
+
+def test_pairs_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    assert dealt(spark.range(3), 9 * ROWS_A_TASK, "id").rdd.getNumPartitions() == 9 and dealt(spark.range(3), 3, "id").rdd.getNumPartitions() == 4
+    monkeypatch.setattr("inkwell.functions.tasks.ROWS_A_TASK", 2)
+    groups = spark.createDataFrame([(list(range(6)),), ([1, 1, 2],), (None,)], "chars array<int>")
+    out = rc.variant_pairs(groups, "chars", spark.createDataFrame([(2, 1), (0, 9)], "a int, b int"))
+    assert sorted(map(tuple, out.collect())) == [(i, j) for i in range(6) for j in range(i + 1, 6) if (i, j) != (1, 2)]
+    assert out.rdd.getNumPartitions() == 8  # 16 pairs
+    files = spark.createDataFrame([(i, "a,b\nb,a\nc,d\nalone\n") for i in range(20)], "file int, text string")
+    new, report = va.import_variants(files, spark.createDataFrame([("b", "a")], "a string, b string"), "csv")
+    assert sorted(map(tuple, new.collect())) == [(i, "c", "d") for i in range(20)]
+    assert {(r.added, r.skipped, len(r.errors)) for r in report.collect()} == {(1, 2, 1)} and report.count() == 20
+    assert "hashpartitioning(file" in plan_of(report) and ", 23), REPARTITION_BY_NUM" in plan_of(report)
