@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.tasks import dealt
 from ..sources import packages as pk
 from ..sources import pages as pg
 from ..sources import work_snapshots as ws
@@ -52,7 +53,7 @@ UNION ALL SELECT doc_id, 'error', NULL, NULL FROM documents WHERE doc_id % 50 =
 def package_sections(t):
     """Documents written as packages and read again: sections at empty lines, a note in every third, and some that are cut
     off behind a whole copy."""
-    docs = t("documents").select("doc_id", F.split(F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F\r]", ""), "\n\n").alias("s"), F.when(F.col("doc_id") % 3 == 0, F.array("source")).alias("notes"))
+    docs = dealt(t("documents"), 0, "doc_id").select("doc_id", F.split(F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F\r]", ""), "\n\n").alias("s"), F.when(F.col("doc_id") % 3 == 0, F.array("source")).alias("notes"))
     whole = pk.packages_of(docs, F.col("doc_id").cast("string"), F.col("s"), F.col("notes"))
     cut = whole.where("path % 50 = 7").withColumn("content", F.expr("substring(content, 1, length(content) - 40)"))
     rows = pk.parse_packages(whole.unionByName(cut))
