@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.tasks import dealt
+
 
 def where_equal(rows: DataFrame, wanted: dict[str, object]) -> DataFrame:
     """Rows whose columns equal all wanted values; a wanted null equals a null."""
@@ -84,9 +86,11 @@ def variant_pairs(groups: DataFrame, chars: str, existing: DataFrame) -> DataFra
     """a, b (a < b) of all pairs of different characters in each group's array, without pairs that exist already."""
     c = F.array_distinct(F.col(chars))
     pairs = F.flatten(F.transform(c, lambda x: F.transform(F.filter(c, lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    made = groups.select(F.inline(pairs)).distinct()
-    known = existing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return made.join(known, ["a", "b"], "left_anti")
+    n = F.size(c).cast("bigint")
+    total = groups.agg(F.sum(F.when(n > 1, n * (n - 1) / 2))).first()[0] or 0
+    known = existing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("old"))
+    both = groups.select(F.inline(pairs)).withColumn("old", F.lit(False)).unionByName(known)
+    return dealt(both, int(total), "a", "b").groupBy("a", "b").agg(F.bool_or("old").alias("old")).where("not old").select("a", "b")
 
 
 def lookup_in_order(wanted: DataFrame, rows: DataFrame, key: str, list_col: str, group: str) -> DataFrame:

@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.tasks import dealt
 from .alignment import row_type
 
 _BETWEEN = {"csv": ",", "tsv": "\t", "text": r"[\s↔=→⇔]+"}
 #: Lines of a file that tell its form, and how many of them need to have its separator.
 HEAD_LINES, NEEDED = 5, 2
+#: Letters of a file to a pair, about: what tasks are dealt out by.
+LETTERS_A_ROW = 8
 FOUND = row_type(format="string", pairs=T.ArrayType(row_type(a="string", b="string")), errors=T.ArrayType(T.StringType()))
 
 
@@ -81,10 +84,11 @@ def import_variants(files: DataFrame, existing: DataFrame, form: str = "auto") -
     beginning. All pairs of a line or group count; pairs of one character with itself, and those that are known or came
     before, are skipped.
     """
-    parsed = files.select("file", parse_variants(F.col("text"), F.lit(form)).alias("p")).select("file", "p.*")
+    letters = files.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    parsed = dealt(files.select("file", "text"), letters // LETTERS_A_ROW, "file").select("file", parse_variants(F.col("text"), F.lit(form)).alias("p")).select("file", "p.*")
     known = existing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     made = parsed.select("file", F.inline("pairs")).where("a <> b").select("file", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    new = made.join(known, ["a", "b"], "left_anti").select("file", "a", "b")
-    added = new.groupBy("file").agg(F.count(F.lit(1)).alias("added"))
-    report = parsed.join(added, "file", "left").select("file", "format", F.coalesce("added", F.lit(0)).cast("long").alias("added"), (F.size("pairs") - F.coalesce("added", F.lit(0))).cast("long").alias("skipped"), "errors")
+    new = dealt(made, letters // LETTERS_A_ROW, "a", "b").join(known, ["a", "b"], "left_anti").select("file", "a", "b")
+    added = dealt(new, letters // LETTERS_A_ROW, "file").groupBy("file").agg(F.count(F.lit(1)).alias("added"))
+    report = parsed.select("file", "format", F.size("pairs").alias("n"), "errors").join(added, "file", "left").select("file", "format", F.coalesce("added", F.lit(0)).cast("long").alias("added"), (F.col("n") - F.coalesce("added", F.lit(0))).cast("long").alias("skipped"), "errors")
     return new, report

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.tasks import dealt
 from ..operators import alignment as al
 from ..operators import citations as ci
 from ..operators import gram_index as gi
@@ -102,6 +103,7 @@ SELECT p.file, ['csv', 'tsv', 'text', 'json'][p.file % 4 + 1] AS format, coalesc
 def variant_files(t):
     """A file of variants for each order, in one of four forms, with remarks and one line that has no pair."""
     rows = t("lineitem").selectExpr("l_orderkey as file", "concat('p', l_partkey % 40) as a", "concat('p', l_suppkey % 40) as b")
+    rows = dealt(rows, rows.count(), "file")
     rows = rows.select("file", F.expr("element_at(array(concat(a, ' , ', b), concat(a, '\\t', b), concat(a, if(a < b, ' ↔ ', '→'), b), concat('[\"', a, '\", \"', b, '\"]')), int(file % 4) + 1)").alias("line"))
     body = rows.groupBy("file").agg(F.array_sort(F.collect_list("line")).alias("lines"))
     head = F.expr("element_at(array('# a,b\\n// c,d\\n', '# a\\tb\\n// c\\td\\n', '# a b\\n\\n', ''), int(file % 4) + 1)")

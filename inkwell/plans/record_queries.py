@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.tasks import dealt
 from ..operators import lineage as li
 from ..operators import records as rc
 from ..operators import stewardship as st
@@ -98,7 +99,8 @@ SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.a = m.a AND k.b = m.b)
 """)
 def variant_bulk_import(t):
     """The parts of every order as a group of variants; pairs of first and second lines are known already."""
-    lines = t("lineitem")
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    lines = dealt(lines, lines.count(), "l_orderkey")
     at = lambda n: F.max(F.when(F.col("l_linenumber") == n, F.col("l_partkey")))
     known = lines.groupBy("l_orderkey").agg(at(1).alias("a"), at(2).alias("b")).where("a is not null and b is not null")
     return rc.variant_pairs(lines.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("chars")), "chars", known)
