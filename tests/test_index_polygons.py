@@ -34,6 +34,17 @@ def test_phrases_are_found_without_shuffling_the_index(spark, tmp_path):
     spark.sql(f"drop table {index}")
 
 
+def test_index_has_a_row_for_each_gram_of_a_block(spark, tmp_path):
+    texts = spark.createDataFrame([(str(i), "abcdefgh" if i % 2 else "fghabcde") for i in range(100)] + [("x", "abcdefgh"), ("x", "abcdefgh")], "id string, text string").coalesce(1)
+    rows = gi.postings(texts, "id").collect()
+    assert len(rows) == 8 and sum(r["keys"] is not None for r in rows) == 1  # seven grams; none over the end of a text
+    index = gi.write_index(texts, "id", folder=str(tmp_path))
+    asked = spark.createDataFrame([(1, "cdefgh"), (2, "habcd"), (3, "hfgha"), (4, "efghabcdefg")], "q int, phrase string")
+    got = sorted(map(tuple, gi.find_phrases(spark, index, asked, "q", "id").collect()))
+    assert got == sorted([(1, str(i), 2) for i in range(1, 100, 2)] + [(1, "x", 2)] * 2 + [(2, str(i), 2) for i in range(0, 100, 2)])
+    spark.sql(f"drop table {index}")
+
+
 def polygon(rng, cx, cy, r):
     turns = sorted(rng.random() * 2 * math.pi for _ in range(rng.randrange(3, 9)))
     return [(round(cx + r * math.cos(a)), round(cy + r * math.sin(a))) for a in turns]
