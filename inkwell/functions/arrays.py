@@ -52,6 +52,10 @@ def starts_of(text: Column, needle: Column, overlapping: bool = False) -> Column
 
 def stretches(chars: Column, n: int) -> Column:
     """array<string>: all stretches of n letters, in order of their places; none if there are fewer letters."""
-    last = F.size(chars) - n
-    at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(at, lambda i: piece(chars, i, n))
+
+    def cut(c: Column) -> Column:
+        last = F.size(c) - n
+        at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.transform(at, lambda i: piece(c, i, n))
+
+    return once(chars, cut)

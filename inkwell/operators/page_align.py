@@ -42,25 +42,27 @@ def heaviest_chain(order: np.ndarray, place: np.ndarray, weight: np.ndarray) ->
     equally heavy chains the one with earlier places."""
     rows = np.lexsort((-place, order))
     levels, rank = np.unique(place, return_inverse=True)
-    tree: list[tuple[float, int]] = [(0.0, -1)] * (len(levels) + 1)  # heaviest chain that ends before a place, by prefix
+    none = (0.0, 1, -1)
+    tree = [none] * (len(levels) + 1)  # heaviest chain that ends before a place, by prefix: weight, -place of its end, row
     before = np.full(len(place), -1)
-    for i in rows.tolist():
-        best, k = (0.0, -1), int(rank[i])
+
+    def heaviest(k: int) -> tuple[float, int, int]:
+        best = none
         while k > 0:
-            if tree[k][0] > best[0]:
+            if tree[k][:2] > best[:2]:
                 best = tree[k]
             k &= k - 1
-        before[i], total, k = best[1], best[0] + float(weight[i]), int(rank[i]) + 1
+        return best
+
+    for i in rows.tolist():
+        best, k = heaviest(int(rank[i])), int(rank[i]) + 1
+        before[i], mine = best[2], (best[0] + float(weight[i]), -int(place[i]), i)
         while k < len(tree):
-            if total > tree[k][0]:
-                tree[k] = (total, i)
+            if mine[:2] > tree[k][:2]:
+                tree[k] = mine
             k += k & -k
-    best, k = (0.0, -1), len(levels)
-    while k > 0:
-        if tree[k][0] > best[0]:
-            best = tree[k]
-        k &= k - 1
-    chain, at = [], best[1]
+    best = heaviest(len(levels))
+    chain, at = [], best[2]
     while at >= 0:
         chain.append(at)
         at = int(before[at])

@@ -2,11 +2,17 @@
 
 import itertools
 import random
+import time
 import unicodedata
 
+import duckdb
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
+from inkwell.functions.arrays import letters, stretches
 from inkwell.operators.page_align import align_pages, heaviest_chain
+from inkwell.plans import catalog as plans
 
 PAGES = ["天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏", "閏餘成歲律呂調陽雲騰致雨露結爲霜金生麗水玉出崑岡", "劍號巨闕珠稱夜光果珍李柰菜重芥薑海鹹河淡鱗潛羽翔"]
 
@@ -65,3 +71,30 @@ def test_one_long_document(spark):
     near = [abs(r.start - (middle[i - 1] + middle[i]) // 2) <= 40 for i, r in enumerate(got) if i and not 98 < i < 106]
     assert sum(near) >= 0.97 * len(near)
     assert sum(r.confidence > 0.6 for r in got) > 270 and got[250].confidence > 0.6
+
+
+def test_of_equally_heavy_chains_the_one_with_earlier_places():
+    chain = lambda order, place: heaviest_chain(np.array(order, np.int64), np.array(place, np.int64), np.ones(len(order))).tolist()
+    assert chain([0, 1, 1, 2], [0, 5, 9, 12]) == [0, 1, 3] and chain([0, 0, 1, 2, 2], [7, 2, 8, 20, 11]) == [1, 2, 4]
+
+
+def test_chained_pages_of_repeated_anchors_equal_their_sql(spark, tmp_path):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    said = [word(n) for n in (60, 200, 200, 15, 20, 9, 14, 31, 40)]
+    middle = [t[len(t) // 2 - 7 :][:15] for t in said]
+    said[1] = said[1][:150] + middle[1] + said[1][165:]  # again behind itself
+    said[2] = said[2][:40] + middle[2] + said[2][55:]  # and before itself
+    turns = [(1, k, t) for k, t in enumerate(said)] + [(2, 0, "abcdeabcdeabcde" * 2), (2, 1, "abcdeabcdeabcde"), (2, 2, word(50)), (3, 0, "E, é 1. " * 9), (3, 1, "Ééé e é e.")]
+    pd.DataFrame(turns, columns=["conv_id", "turn", "text"]).to_parquet(tmp_path / "conversations.parquet")
+    got = sorted(map(tuple, plans.QUERIES["chained_pages"](spark, str(tmp_path)).select("conv_id", "page", "start", "end", "found").collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet'")
+    assert got == sorted(con.execute(plans.SQL["chained_pages"]).fetchall())
+
+
+def test_stretches_split_a_text_once(spark):
+    rows = spark.createDataFrame([("ab" * 30_000,)], "t string")
+    began = time.time()
+    assert rows.select(F.size(F.array_distinct(stretches(letters(F.col("t")), 5))), F.size(stretches(letters(F.col("t")), 5))).first() == (2, 59_996)
+    assert time.time() - began < 30
