@@ -211,12 +211,55 @@ CHUNKS = """SELECT conv_id, turn, k, substring(x, 90 * k + 1, 90) AS block, righ
   FROM (SELECT *, unnest(range(0, (length(x) + 89) // 90)) AS k FROM (SELECT conv_id, turn, regexp_replace(text, '\\s', '', 'g') AS x FROM conversations))"""
 
 
+def matched(name: str, windows: str) -> str:
+    """A recursive table of the stretches that SequenceMatcher meets in a and b of windows (id, low, a, b): id, low, i, j, n
+    where met. Of a pair of ranges that is the longest stretch, of those the first in a, and of those the first in b; then
+    the ranges before it and behind it. starts are where stretches of n letters begin in a that b has too."""
+    return f"""{name}(id, low, met, i, j, n, a, b, starts) AS (
+  SELECT id, low, false, 0::BIGINT, 0::BIGINT, 0::BIGINT, a, b, range(1, length(a) + 1) FROM {windows}
+  UNION ALL
+  SELECT id, low, part = 1, CASE part WHEN 0 THEN i WHEN 1 THEN i + p - 1 WHEN 2 THEN i ELSE i + p - 1 + n END, CASE part WHEN 0 THEN j WHEN 1 THEN j + q - 1 WHEN 2 THEN j ELSE j + q - 1 + n END, CASE part WHEN 0 THEN n + 1 WHEN 1 THEN n ELSE 0 END,
+    CASE part WHEN 0 THEN a WHEN 1 THEN '' WHEN 2 THEN left(a, p - 1) ELSE substr(a, p + n) END, CASE part WHEN 0 THEN b WHEN 1 THEN '' WHEN 2 THEN left(b, q - 1) ELSE substr(b, q + n) END,
+    CASE part WHEN 0 THEN longer WHEN 2 THEN range(1, p) WHEN 3 THEN range(1, length(a) - p - n + 2) END
+  FROM (SELECT *, starts[1] AS p, instr(b, substr(a, starts[1], n)) AS q, unnest(CASE WHEN len(longer) > 0 THEN [0] WHEN n > 0 THEN [1, 2, 3] ELSE [] END) AS part
+    FROM (SELECT *, list_filter(starts, lambda x: x + n <= length(a) AND contains(b, substr(a, x, n + 1))) AS longer FROM {name} WHERE NOT met AND a <> '' AND b <> '')))"""
+
+
 @query(f"""
-SELECT conv_id, turn, k, length(block) AS total, length(block) // 10 AS n_mismatch, round((length(block) - length(block) // 10) / length(block), 4) AS accuracy FROM ({CHUNKS}) WHERE length(block) >= 30
+WITH RECURSIVE t AS MATERIALIZED (SELECT row_number() OVER (ORDER BY conv_id, turn, k) AS id, conv_id, turn, k, nfc_normalize(block) AS a, nfc_normalize(ref) AS r, length(a) AS size, length(r) - length(a) AS last FROM ({CHUNKS}) WHERE length(block) >= 30),
+e AS MATERIALIZED (SELECT DISTINCT id, size, last, probe, unnest(list_filter(range(0, length(r) - 4), lambda x: substr(r, x + 1, 5) = substr(a, probe + 1, 5))) AS i FROM (SELECT *, unnest([0, size // 2, size - 5]) AS probe FROM t WHERE last > 0)),
+v AS MATERIALIZED (SELECT DISTINCT id, least(greatest(i - probe, 0), last) AS low, true AS voted FROM e),
+c AS (SELECT id, unnest(range(greatest(i - size + 5, 0), least(i, last) + 1)) AS low FROM e UNION SELECT id, low FROM v),
+g AS MATERIALIZED (SELECT id, a, r, size, list_transform(list_distinct(string_split(a, '')), lambda x: {{'c': x, 'n': size - length(replace(a, x, ''))}}) AS own FROM t WHERE last > 0),
+w AS MATERIALIZED (SELECT id, low, size, a, b, coalesce(voted, false) AS voted, list_sum(list_transform(own, lambda x: least(x.n, size - length(replace(b, x.c, '')))))::BIGINT AS most FROM (SELECT *, substr(r, low + 1, size) AS b FROM c JOIN g USING (id)) LEFT JOIN v USING (id, low)),
+w1 AS MATERIALIZED (SELECT * FROM w WHERE voted QUALIFY row_number() OVER (PARTITION BY id ORDER BY most DESC, low) = 1),
+{matched("m1", "w1")},
+n1 AS MATERIALIZED (SELECT id, low, coalesce(sum(n) FILTER (met), 0)::BIGINT AS n FROM m1 GROUP BY id, low),
+w2 AS MATERIALIZED (SELECT w.* FROM w JOIN n1 USING (id) WHERE w.low <> n1.low AND (most > n OR most = n AND voted AND w.low < n1.low)),
+{matched("m2", "w2")},
+n2 AS (SELECT id, low, coalesce(sum(n) FILTER (met), 0)::BIGINT AS n FROM m2 GROUP BY id, low),
+best AS MATERIALIZED (SELECT id, low, size, n FROM (SELECT * FROM n1 UNION ALL SELECT * FROM n2) JOIN w USING (id, low) QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, voted DESC, low) = 1),
+w3 AS MATERIALIZED (SELECT id, greatest(low - 2, 0) AS low, best.low AS inner_low, t.size, n, a, substr(r, greatest(low - 2, 0) + 1, least(low + t.size + 2, length(r)) - greatest(low - 2, 0)) AS b FROM best JOIN t USING (id) WHERE 10 * n >= 3 * t.size),
+{matched("m3", "w3")},
+n3 AS (SELECT id, coalesce(sum(n) FILTER (met), 0)::BIGINT AS n FROM m3 GROUP BY id),
+wider AS MATERIALIZED (SELECT id, w3.b FROM w3 JOIN n3 USING (id) WHERE 2 * n3.n * size > w3.n * (size + length(b))),
+w4 AS MATERIALIZED (SELECT id, 0 AS low, a, r AS b FROM t WHERE last <= 0 OR id IN (SELECT id FROM best WHERE 10 * n < 3 * size)),
+{matched("m4", "w4")},
+x AS (SELECT id, i, j, n FROM m3 SEMI JOIN wider USING (id) WHERE met UNION ALL SELECT id, i, j, n FROM m4 WHERE met
+  UNION ALL SELECT id, i, j, m.n FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2) m JOIN best USING (id, low) ANTI JOIN wider USING (id) ANTI JOIN w4 USING (id) WHERE met),
+y AS (SELECT id, a, b FROM w JOIN best USING (id, low) ANTI JOIN wider USING (id) ANTI JOIN w4 USING (id) UNION ALL SELECT id, a, wider.b FROM wider JOIN t USING (id) UNION ALL SELECT id, a, b FROM w4),
+z AS (SELECT id, a, b, n, coalesce(lag(i + n) OVER p, 0) AS i0, coalesce(lag(j + n) OVER p, 0) AS j0, i - i0 AS di, j - j0 AS dj FROM (SELECT * FROM x UNION ALL SELECT id, length(a), length(b), 0 FROM y) JOIN y USING (id) WINDOW p AS (PARTITION BY id ORDER BY i, j, n DESC)),
+s AS (SELECT id, sum(n + greatest(di, dj))::BIGINT AS total, sum(n)::BIGINT AS exact, sum(least(di, dj))::BIGINT AS wrong,
+  sum(len(list_filter(range(1, least(di, dj) + 1), lambda x: substr(a, i0 + x, 1) || substr(b, j0 + x, 1) IN ('ée', 'eé'))))::BIGINT AS variants FROM z GROUP BY id)
+SELECT conv_id, turn, k, total, wrong - variants AS n_mismatch, round((exact + variants) / total, 4) AS accuracy FROM s JOIN t USING (id)
 """)
 def page_alignment_altered(t):
     """Turns in blocks of 90 letters, each found again in a page that has its text with every tenth letter wrong, between
-    40 letters of what comes before and behind it. Last blocks of fewer than 30 letters are too short for SQL to say."""
+    40 letters of what comes before and behind it. Last blocks of fewer than 30 letters are left out. What a text that
+    repeats itself is met with is not its own letters alone, so SQL finds the window and the stretches as the operator
+    does: w are the windows around the places of the probes (the first is in every page), of which those are tried (w1,
+    w2) whose letters in common would do for more than the most of the first; w3 is the best one with the margin, w4 the
+    whole page. A probe of three letters is never needed."""
     x = t("conversations").select("conv_id", "turn", F.regexp_replace("text", r"\s", "").alias("x"))
     rows = x.select("*", F.explode(F.expr("filter(sequence(0, (length(x) + 89) div 90), k -> 90 * k < length(x))")).alias("k"))
     piece = F.expr("substring(x, int(90 * k + 1), 90)")

@@ -78,6 +78,17 @@ def test_of_equally_heavy_chains_the_one_with_earlier_places():
     assert chain([0, 1, 1, 2], [0, 5, 9, 12]) == [0, 1, 3] and chain([0, 0, 1, 2, 2], [7, 2, 8, 20, 11]) == [1, 2, 4]
 
 
+def both(spark, path, name, turns):
+    """The rows of a query over conversations, and of its SQL."""
+    pd.DataFrame(turns, columns=["conv_id", "turn", "text"]).to_parquet(path / "conversations.parquet")
+    pd.DataFrame({"n_nationkey": [0]}).to_parquet(path / "nation.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/conversations.parquet'")
+    want = con.execute(plans.SQL[name])
+    columns = [c[0] for c in want.description]
+    return sorted(map(tuple, plans.QUERIES[name](spark, str(path)).select(*columns).collect())), sorted(want.fetchall())
+
+
 def test_chained_pages_of_repeated_anchors_equal_their_sql(spark, tmp_path):
     rng = random.Random(7)
     word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
@@ -86,11 +97,16 @@ def test_chained_pages_of_repeated_anchors_equal_their_sql(spark, tmp_path):
     said[1] = said[1][:150] + middle[1] + said[1][165:]  # again behind itself
     said[2] = said[2][:40] + middle[2] + said[2][55:]  # and before itself
     turns = [(1, k, t) for k, t in enumerate(said)] + [(2, 0, "abcdeabcdeabcde" * 2), (2, 1, "abcdeabcdeabcde"), (2, 2, word(50)), (3, 0, "E, é 1. " * 9), (3, 1, "Ééé e é e.")]
-    pd.DataFrame(turns, columns=["conv_id", "turn", "text"]).to_parquet(tmp_path / "conversations.parquet")
-    got = sorted(map(tuple, plans.QUERIES["chained_pages"](spark, str(tmp_path)).select("conv_id", "page", "start", "end", "found").collect()))
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet'")
-    assert got == sorted(con.execute(plans.SQL["chained_pages"]).fetchall())
+    got, want = both(spark, tmp_path, "chained_pages", turns)
+    assert got == want
+
+
+def test_altered_blocks_of_repetitive_texts_equal_their_sql(spark, tmp_path):
+    rng = random.Random(11)
+    drawn = ["".join(rng.choice(letters_) for _ in range(n)) for letters_ in ("ab", "éea", "abcdefgh") for n in (30, 89, 200)]
+    said = ["ción" * 40, "tion the " * 30, "ab" * 15, "abcdefg" * 13, "e" * 100, "é" * 45 + "e" * 60, "a~b" * 50, "ab cd." * 4, *drawn]
+    got, want = both(spark, tmp_path, "page_alignment_altered", [(k, 0, t) for k, t in enumerate(said)])
+    assert got == want and len({r[3] for r in got}) > 6 and sum(r[5] < 0.85 for r in got) > 3
 
 
 def test_stretches_split_a_text_once(spark):
