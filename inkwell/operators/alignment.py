@@ -215,18 +215,28 @@ def _grams(text: str, n: int = 5) -> dict[str, list[int]]:
     return out
 
 
-def _anchor_place(anchor: str, whole: str, at: int, grams: Callable[[], dict], n: int = 5) -> tuple[int, float]:
-    """(place of the anchor from `at` on, ratio): exact, else where most of its n-grams say; place -1 if not alike."""
-    if (i := whole.find(anchor, at)) >= 0:
-        return i, 1.0
+def _likeness(anchor: str, window: str) -> float:
+    """difflib's ratio, or that of the letters equal in their places: difflib may pair letters that repeat with others."""
+    return max(ratio_of(anchor, window), 2 * sum(a == b for a, b in zip(anchor, window, strict=False)) / (len(anchor) + len(window)))
+
+
+def _anchor_place(anchor: str, whole: str, at: int, near: int, grams: Callable[[], dict], n: int = 5) -> tuple[int, float]:
+    """(place of the anchor from `at` on, ratio): exact, else where most of its n-grams say; place -1 if not alike. Of
+    places as much alike the one nearest to `near` counts: a passage may stand within an earlier page as well."""
+    nearest = lambda i: (-abs(i - near), -i)
+    if exact := [i for i in (whole.rfind(anchor, at, max(0, near + len(anchor) - 1)), whole.find(anchor, max(at, near))) if i >= 0]:
+        return max(exact, key=nearest), 1.0
     if len(anchor) < n:
         return _anchor_between(anchor, whole, at, len(whole))
     offsets, votes = range(0, len(anchor) - n + 1, n // 2 + 1), Counter()
     for k in offsets:
         votes.update(i - k for i in grams().get(anchor[k : k + n], ()) if i - k >= at)
     places = sorted(i for i, v in votes.items() if v >= max(1, len(offsets) // 2)) or [i for i, _ in votes.most_common(1)]
-    ratio, i = max(((ratio_of(anchor, whole[i : i + len(anchor)]), -i) for i in places), default=(0.0, 0))
-    return (-i, ratio) if ratio >= max(0.6, 1.0 - 2.0 / len(anchor)) else (-1, ratio)
+    alike = {i: _likeness(anchor, whole[i : i + len(anchor)]) for i in places}
+    # letters that the text lacks at its end count as unlike
+    best = max(places, key=lambda i: (alike[i] * (len(anchor) + min(len(anchor), len(whole) - i)), *nearest(i)), default=-1)
+    ratio = alike.get(best, 0.0)
+    return (best if ratio >= max(0.6, 1.0 - 2.0 / len(anchor)) else -1), ratio
 
 
 def _anchor_between(anchor: str, whole: str, low: int, high: int) -> tuple[int, float]:
@@ -243,15 +253,16 @@ def _place_pages(texts: list[str], whole: str, anchor: int) -> list[tuple[int, f
     grams = functools.cache(lambda: _grams(whole))
     cuts = [sorted({0, max(0, (len(t) - anchor) // 2), max(0, len(t) - anchor)}) if t else [] for t in texts]
     placed: list[tuple[int, float] | None] = []
-    at = 0
+    at = near = 0  # a page begins no earlier than `at`, and near where the pages before it end
     for text, offsets in zip(texts, cuts, strict=True):
-        hits = [(i - k, r) for k in offsets for i, r in [_anchor_place(text[k : k + anchor], whole, at, grams)] if i >= 0]
+        hits = [(i - k, r) for k in offsets for i, r in [_anchor_place(text[k : k + anchor], whole, at, near + k, grams)] if i >= 0]
         if not hits:
             placed.append(None)
+            near += len(text)
             continue
         start = max(0, sorted(i for i, _ in hits)[len(hits) // 2])
         placed.append((start, sum(r for _, r in hits) / len(offsets)))
-        at = start + anchor
+        at, near = start + min(anchor, len(text)), start + len(text)
     found = list(placed)
     for p, (text, offsets) in enumerate(zip(texts, cuts, strict=True)):
         if found[p] is None and text:
@@ -276,9 +287,10 @@ def map_pages(pages: DataFrame, texts: DataFrame, doc: str, anchor: int = 15) ->
     """doc, page, start, confidence: where each page's text begins in the document's whole text.
 
     Pages are looked up in order, each after the one before it, so this is a kernel per document. Of each page up to
-    three anchors are looked up: exactly, else by the votes of their n-grams and a ratio; the page begins at the median
-    of what they say. Pages not found so are looked up at every place between their found neighbours (confidence
-    times 0.9). Pages that are nowhere have confidence 0 and share the gap between their neighbours evenly.
+    three anchors are looked up: exactly, else by the votes of their n-grams and a ratio; of places as much alike the
+    nearest to the end of the page before counts. The page begins at the median of what they say. Pages not found so are
+    looked up at every place between their found neighbours (confidence times 0.9). Pages that are nowhere have
+    confidence 0 and share the gap between their neighbours evenly.
     """
     both = pages.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("pages")).join(texts.select(doc, F.col("text").alias("whole")), doc)
 

@@ -85,6 +85,20 @@ def test_altered_pages_are_mapped(spark):
     assert out[0][3] == 1.0 and out[4][3] == out[6][3] == 0.0 and 0 < out[5][3] < out[2][3] < 1.0
 
 
+def test_pages_that_stand_within_earlier_pages_are_mapped():
+    import random
+    import re
+
+    rng = random.Random(5)
+    page = lambda n: "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(n))
+    first, short = page(154), page(11)
+    for texts in ([first, "X" + first[36:73], page(80)], [first, first[30:], first], [page(60), short, short, page(20)], ["E" * 20, page(12), "E" * 20], ["ab" * 9, "ab" * 9]):
+        altered = [re.sub("(?s)(.{14}).", r"\1~", t) for t in texts]
+        placed = al._place_pages(altered, "".join(texts), 15)
+        assert [start for start, _ in placed] == [sum(map(len, texts[:i])) for i in range(len(texts))]
+        assert all(confidence > 0.6 for _, confidence in placed)
+
+
 def test_corrections_apply_from_the_end_and_skip_stale_ones(spark):
     texts = spark.createDataFrame([(1, "abcd"), (2, "zz")], "id int, text string")
     patches = spark.createDataFrame([(1, 1, "b", "X"), (1, 3, "d", "YY"), (1, 2, "q", "!"), (1, None, "a", "!")], "id int, char_index int, original string, corrected string")
