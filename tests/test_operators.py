@@ -197,3 +197,20 @@ def test_medians_are_exact_without_gathering(spark):
     assert dict(one(us.medians(df, "k", "v"))) == {k: median(vs) for k, vs in groups.items() if vs}
     stats = {r.k: (r.num, r.median) for r in us.timing_stats(df, "k", "v").collect()}
     assert stats["none"] == (0, None) and stats["two"] == (2, 2.5) and stats[None] == (3, 2.0)
+
+
+def test_every_line_is_put_into_a_block(spark, tmp_path):
+    import duckdb
+    import pandas as pd
+
+    from inkwell.plans import catalog as plans
+
+    # order, number, part, supplier, status: two lines of one box, one number with two boxes, one line twice, a page without blocks
+    rows = [(1, 1, 5, 7, "O"), (2, 1, 5, 7, "O"), (3, 2, 8, 9, "O"), (3, 2, 20, 30, "O"), (4, 3, 6, 2, "O"), (4, 3, 6, 2, "O"), (9, 1, 5, 7, "O"), (5, 1, 5, 7, "F"), (6, 2, 21, 30, "F")]
+    table = pd.DataFrame(rows, columns=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus"]).astype({"l_linenumber": "int32"})
+    table.assign(l_quantity=9.0).to_parquet(tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    got = sorted(map(tuple, plans.QUERIES["line_to_block"](spark, str(tmp_path)).select("page", "line", "block", "how").collect()))
+    assert [r[1] for r in got] == [9, 17, 26, 26, 35, 35, 73]
+    assert got == sorted(con.execute(f"SELECT page, line, block, how FROM ({plans.SQL['line_to_block']})").fetchall())
