@@ -1,5 +1,5 @@
-"""Lines in blocks of any outline, by priority of the blocks' kinds, and blocks within blocks. Blocks and points meet in
-cells of a grid, so no page tests all of its pairs."""
+"""Lines in blocks of any outline, by priority of the blocks' kinds, and blocks within blocks. Lines meet blocks in cells
+of a grid; blocks meet those of their page by their boxes first."""
 
 from __future__ import annotations
 
@@ -76,20 +76,21 @@ def assign_by_kind(lines: DataFrame, blocks: DataFrame, page: str, kinds: tuple[
     return at.select(page, "id").join(first, [page, "id"], "left").select(page, "id", "b.kind", "b.block")
 
 
-def blocks_within(blocks: DataFrame, page: str, margin: float = MARGIN, cell: int = CELL) -> DataFrame:
+def blocks_within(blocks: DataFrame, page: str, margin: float = MARGIN) -> DataFrame:
     """page, inner, outer of the blocks (page, block, points) all whose corners another block of the page holds, give or
-    take the margin."""
-    corner = F.get("points", F.lit(0))
-    inner = blocks.select(page, F.col("block").alias("inner"), F.col("points").alias("corners"), F.floor(corner["x"] / cell).alias("cx"), F.floor(corner["y"] / cell).alias("cy"))
-    outer = _in_cells(blocks.select(page, F.col("block").alias("outer"), "points"), margin, cell)
-    near = lambda p: holds(F.col("points"), p["x"].cast("double"), p["y"].cast("double")) | (distance(F.col("points"), p["x"].cast("double"), p["y"].cast("double")) <= margin)
-    side = lambda f, points, axis: f(F.transform(points, lambda p: p[axis])).cast("double")
+    take the margin.
+
+    Blocks meet by their page alone, each once on either side: a row for each cell of a grid that a block covers was many
+    times the blocks on disk. Blocks that lie together by page already are not shuffled again.
+    """
+    side = lambda f, axis: f(F.transform("points", lambda p: p[axis])).cast("double")
     edges = [(axis, f"{axis}{n}", f) for axis in ("x", "y") for n, f in ((1, F.array_min), (2, F.array_max))]
-    inner = inner.withColumns({f"i_{name}": side(f, "corners", axis) for axis, name, f in edges})
-    outer = outer.withColumns({f"o_{name}": side(f, "points", axis) for axis, name, f in edges})
+    inner = blocks.select(page, F.col("block").alias("inner"), F.col("points").alias("corners"), *(side(f, axis).alias(f"i_{name}") for axis, name, f in edges))
+    outer = blocks.select(page, F.col("block").alias("outer"), "points", *(side(f, axis).alias(f"o_{name}") for axis, name, f in edges))
+    near = lambda p: holds(F.col("points"), p["x"].cast("double"), p["y"].cast("double")) | (distance(F.col("points"), p["x"].cast("double"), p["y"].cast("double")) <= margin)
     # most pairs stick out by their boxes already; outlines are for the rest
     within = (F.col("inner") != F.col("outer")) & (F.col("i_x1") >= F.col("o_x1") - margin) & (F.col("i_x2") <= F.col("o_x2") + margin) & (F.col("i_y1") >= F.col("o_y1") - margin) & (F.col("i_y2") <= F.col("o_y2") + margin)
-    return inner.join(outer, [page, "cx", "cy"]).where(within & F.forall("corners", near)).select(page, "inner", "outer")
+    return inner.join(outer, page).where(within & F.forall("corners", near)).select(page, "inner", "outer")
 
 
 @F.pandas_udf(T.ArrayType(row_type(owner=T.LongType(), into=T.LongType())))
@@ -114,10 +115,10 @@ def _owners(blocks: pd.Series, pairs: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def absorbed(blocks: DataFrame, page: str, margin: float = MARGIN, cell: int = CELL) -> DataFrame:
+def absorbed(blocks: DataFrame, page: str, margin: float = MARGIN) -> DataFrame:
     """page, block, owner, into of blocks (page, block: long, points): in order of their numbers a block goes into the first
     other one that it lies in and that has not gone itself (null: none); owner is where it ends up, or itself."""
-    pairs = blocks_within(blocks, page, margin, cell).groupBy(page).agg(F.collect_list(F.struct("inner", "outer")).alias("pairs"))
+    pairs = blocks_within(blocks, page, margin).groupBy(page).agg(F.collect_list(F.struct("inner", "outer")).alias("pairs"))
     every = blocks.groupBy(page).agg(F.collect_list("block").alias("blocks")).join(pairs, page, "left")
     none = F.expr("cast(array() as array<struct<inner: bigint, outer: bigint>>)")
     owned = every.withColumn("owners", _owners(F.col("blocks"), F.coalesce("pairs", none)))

@@ -55,8 +55,10 @@ SELECT i.page, i.block AS inner, o.block AS outer FROM b i JOIN b o ON i.page =
 WHERE (SELECT bool_and(sqrt(pow(greatest(o.x1 - x, x - o.x2, 0), 2) + pow(greatest(o.y1 - y, y - o.y2, 0), 2)) <= 50) FROM (SELECT unnest([i.x1, i.x2, i.x2, i.x1]) AS x, unnest([i.y1, i.y1, i.y2, i.y2]) AS y))
 """)
 def blocks_in_blocks(t):
-    side = lambda f, i, a: f(F.get("points", F.lit(i))[a])
-    b = page_blocks(t).groupBy("page", "block").agg(side(F.min, 0, "x").alias("x1"), side(F.min, 0, "y").alias("y1"), side(F.max, 2, "x").alias("x2"), side(F.max, 2, "y").alias("y2"))
+    at = lambda i, a: F.get("points", F.lit(i))[a]
+    rows = page_blocks(t).select("page", "block", at(0, "x").alias("x1"), at(0, "y").alias("y1"), at(2, "x").alias("x2"), at(2, "y").alias("y2"))
+    rows = dealt(rows, rows.count(), "page")  # the one shuffle: blocks and pairs are by page too
+    b = rows.groupBy("page", "block").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
     corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     return po.blocks_within(b.select("page", "block", F.array(corner("x1", "y1"), corner("x2", "y1"), corner("x2", "y2"), corner("x1", "y2")).alias("points")), "page")
 

@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,6 +19,7 @@ from inkwell.operators import polygons as po
 from inkwell.operators import records as rc
 from inkwell.operators import stewardship as st
 from inkwell.operators import variants as va
+from inkwell.plans import catalog as plans
 from inkwell.sources import packages as pk
 
 
@@ -82,6 +84,26 @@ def test_boxes_are_tried_before_outlines(spark):
     assert "i_x1" in plan_of(out)
 
 
+def test_blocks_meet_by_page_without_a_row_for_each_cell(spark, tmp_path):
+    square = lambda a, n: [(a, a), (a + n, a), (a + n, a + n), (a, a + n)]
+    rows = [(1, 1, square(0, 100_000)), (1, 2, square(50, 20)), (1, 2, square(600, 20)), (None, 3, square(0, 900)), (None, 4, square(1, 1)), (2, 5, []), (2, 6, square(-30, 9)), (2, 7, square(0, 9)), (2, None, square(0, 9)), (3, 8, None)]
+    out = po.blocks_within(spark.createDataFrame(rows, "page int, block int, points array<struct<x: int, y: int>>"), "page")
+    assert sorted(map(tuple, out.collect())) == [(1, 2, 1), (1, 2, 1), (2, 6, 7), (2, 7, 6)]
+    assert "Generate" not in plan_of(out)
+    table = pd.DataFrame([(k // 9, k % 4, k * 7, k * 3, 5.0 + k % 40) for k in range(900)], columns=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"])
+    table.to_parquet(tmp_path / "lineitem.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = plans.QUERIES["blocks_in_blocks"](spark, str(tmp_path))
+        assert plan_of(out).count("Exchange hashpartitioning(page") == plan_of(out).count("REPARTITION_BY_NUM") == 2  # of which one is read again
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+        assert sorted(map(tuple, out.collect())) == sorted(con.execute(plans.SQL["blocks_in_blocks"]).fetchall())
+        assert plan_of(out).count("ReusedExchange") >= 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_equal_texts_are_not_matched_letter_by_letter(spark, monkeypatch):
     text = "一二三 abc " * 40
     monkeypatch.setattr(al.difflib, "SequenceMatcher", lambda *a: (_ for _ in ()).throw(AssertionError("matched")))
