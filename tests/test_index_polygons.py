@@ -45,6 +45,23 @@ def test_index_has_a_row_for_each_gram_of_a_block(spark, tmp_path):
     spark.sql(f"drop table {index}")
 
 
+def test_index_is_no_larger_than_its_texts(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(gi, "BLOCK_LETTERS", 3000)
+    docs = [(i, "".join(rng.choice("abcd 日") for _ in range(rng.choice((3, 40, 400))))) for i in range(60)] + [(60, "abcab" * 50), (60, "abcab" * 50), (61, "")]
+    texts = spark.createDataFrame(docs, "id long, text string").repartition(3)
+    rows = gi.postings(texts, "id").where("keys is null").collect()
+    assert sum(len(r.steps) for r in rows) <= sum(len(t) for _, t in docs) / 5 and len({r.block for r in rows}) >= 3
+    index = gi.write_index(texts, "id", folder=str(tmp_path))
+    cut = [t[k : k + n] for _, t in docs for n in (5, 8, 9, 10, 14, 33) for k in [rng.randrange(len(t) + 1)] if len(t) >= n]
+    phrases = [(i, p) for i, p in enumerate([*cut, "abcab" * 5, "bcaba" * 2, "abcabd" * 2, "z" * 9, "aaaaz", docs[0][1] + docs[1][1]])] + [(None, "abcab" * 3)]
+    asked = spark.createDataFrame([((q, "k"), p) for q, p in phrases], "q struct<i: int, k: string>, phrase string")
+    got = sorted((-1 if r.q.i is None else r.q.i, r.id, r.start) for r in gi.find_phrases(spark, index, asked, "q", "id").collect())
+    assert got == sorted((-1 if q is None else q, i, k) for q, p in phrases if len(p) >= 5 for i, t in docs for k in range(len(t)) if t.startswith(p, k))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    spark.sql(f"drop table {index}")
+
+
 def polygon(rng, cx, cy, r):
     turns = sorted(rng.random() * 2 * math.pi for _ in range(rng.randrange(3, 9)))
     return [(round(cx + r * math.cos(a)), round(cy + r * math.sin(a))) for a in turns]
